@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from tillbook.plans import summary_queries  # noqa: F401
+from tillbook.plans import money_queries, summary_queries  # noqa: F401
 from tillbook.plans.registry import ORACLES, QUERIES  # noqa: F401
