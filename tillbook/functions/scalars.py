@@ -67,7 +67,7 @@ def safe_date(year, month, day) -> Column:
 def date_from_day_or_iso(value, year, month) -> Column:
     """F5 for edits: a bare day of month, or an ISO ``YYYY-MM-DD`` date."""
     v = F.trim(col_of(value).cast("string"))
-    as_day = safe_date(year, month, F.try_to_number(v, "99"))
+    as_day = safe_date(year, month, v.try_cast("int"))
     return F.when(v.rlike(r"^[0-9]{1,2}$"), as_day).otherwise(F.try_to_date(v, "yyyy-MM-dd"))
 
 

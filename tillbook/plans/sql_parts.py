@@ -176,3 +176,8 @@ ngrid0 AS (SELECT s.year, s.month,
    LEFT JOIN cd ON cd.year = s.year AND cd.month = s.month),
 ngrid1 AS (SELECT *, CAST(i1 + i2 + i3 + liq + cd AS DECIMAL(38,4)) AS nw FROM ngrid0),
 ngrid AS (SELECT *, COALESCE(lag(nw) OVER (ORDER BY year, month), 0) AS prev FROM ngrid1)"""
+
+
+KNOWN = f"""known AS (SELECT DISTINCT 'primary' AS kind, c_mktsegment AS category FROM customer
+          UNION SELECT DISTINCT 'primary', {f1('p_type')} FROM part
+          UNION SELECT DISTINCT 'secondary', n_name FROM nation)"""

@@ -93,8 +93,7 @@ def resolve_categories(spark, sf_dir):
     return K.resolve_categories(vals, "value", t.customer, "c_mktsegment")
 
 
-KNOWN = """known AS (SELECT DISTINCT 'primary' AS kind, c_mktsegment AS category FROM customer
-          UNION SELECT DISTINCT 'secondary', n_name FROM nation)"""
+KNOWN = Q.KNOWN
 
 
 @register("category_domain", f"""

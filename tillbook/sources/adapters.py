@@ -173,7 +173,9 @@ def mappings(t: Tables) -> DataFrame:
 
 
 def known_categories(t: Tables) -> DataFrame:
-    """Known categories: market segments (primary) and nation names (secondary)."""
+    """Known categories: market segments and normalised part types (primary),
+    nation names (secondary)."""
     pri = t.customer.select(F.lit("primary").alias("kind"), F.col("c_mktsegment").alias("category"))
+    typ = t.part.select(F.lit("primary").alias("kind"), normalize_category("p_type").alias("category"))
     sec = t.nation.select(F.lit("secondary").alias("kind"), F.col("n_name").alias("category"))
-    return pri.unionByName(sec).distinct()
+    return pri.unionByName(typ).unionByName(sec).distinct()
