@@ -62,7 +62,14 @@ def summaries_long(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence
 
     Returns ``(by..., kind, category, year, month, amount)`` with amount double.
     """
-    stacked = _stack_kinds(ledger, kinds, by)
+    return summaries_from_stacked(_stack_kinds(ledger, kinds, by), kinds, by, months)
+
+
+def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = (),
+                           months: DataFrame | None = None) -> DataFrame:
+    """The summary from ``(by..., kind, category, year, month, amt)`` rows,
+    where ``amt`` is a decimal amount: raw ledger rows or any pre-aggregated
+    cells of them (sums compose), such as a stream's running totals."""
     keep = F.col("category").isNotNull() & (F.col("category") != TOTAL_LABEL)
     # One aggregation: category cells and month totals (grouping sets).
     agg = (stacked

@@ -65,4 +65,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    if root.startswith("file:"):
+        root = "/" + root[len("file:"):].lstrip("/")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
