@@ -7,11 +7,11 @@ with an explicit value list, so no extra job discovers the months.
 Scale notes
 -----------
 * One aggregation (partial + final hash aggregate) over the ledger produces
-  every category cell *and* the per-month Total via GROUPING SETS; all later
-  steps work on month-level aggregates (bounded by categories x 12 per year
-  and ledger), never on raw rows.
+  every category's twelve month cells *and* the Total row via GROUPING SETS;
+  the ledger is scanned once.  All later steps work on those aggregates
+  (bounded by categories per year and ledger), never on raw rows.
 * The dense grid (gaps are 0.0) expands each category row by the at most 12
-  months of its year: a bounded ``explode``, never a cross join.
+  recorded months of its year: a bounded expansion, never a cross join.
 * Hot keys (one ledger or category holding a third of the rows) are absorbed
   by the map-side partial aggregation before any shuffle.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.domains import KINDS, MONTHS, MONTH_COLUMNS, PRIMARY_DISPLAY_ORDER, TOTAL_LABEL, \
@@ -69,42 +69,43 @@ def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by:
                            months: DataFrame | None = None) -> DataFrame:
     """The summary from ``(by..., kind, category, year, month, amt)`` rows,
     where ``amt`` is a decimal amount: raw ledger rows or any pre-aggregated
-    cells of them (sums compose), such as a stream's running totals."""
-    keep = F.col("category").isNotNull() & (F.col("category") != TOTAL_LABEL)
-    # One aggregation: category cells and month totals (grouping sets).
-    agg = (stacked
-           .withColumn("amt_kept", F.when(keep, F.col("amt")))
-           .groupingSets([[*by, "kind", "year", "month", "category"],
-                          [*by, "kind", "year", "month"]],
-                         *by, "kind", "year", "month", "category")
-           .agg(F.sum("amt_kept").alias("amount"),
-                F.grouping("category").alias("is_total")))
-    totals = (agg.where(F.col("is_total") == 1)
-              .select(*by, "kind", "year", "month",
-                      F.coalesce(F.col("amount"), F.lit(0).cast("decimal(28,2)")).alias("amount")))
+    cells of them (sums compose), such as a stream's running totals.
+
+    Plan: ONE aggregation over the input (GROUPING SETS of (year, category)
+    and (year) with twelve month-masked sums, so partial aggregation folds a
+    year's rows map-side), then one window per (ledger, kind, year) over the
+    few aggregated rows to learn the recorded months, then a bounded 12-way
+    expansion.  The input is scanned once.
+    """
+    keys = [*by, "kind", "year"]
     if months is not None:
         extra = (months.select(*by, "year", "month").distinct()
-                 .withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))))
-        totals = (totals.unionByName(extra.withColumn("amount", F.lit(None).cast("decimal(28,2)")))
-                  .groupBy(*by, "kind", "year", "month")
-                  .agg(F.coalesce(F.sum("amount"), F.lit(0).cast("decimal(28,2)")).alias("amount")))
-    cells = agg.where((F.col("is_total") == 0) & keep)
-    year_keys = [*by, "kind", "year"]
-    # Per (ledger, kind, year): the recorded months (at most 12).
-    recorded = totals.groupBy(*year_keys).agg(F.collect_set("month").alias("months"))
-    # Per (ledger, kind, year, category): month -> amount (at most 12 entries).
-    per_cat = (cells.groupBy(*year_keys, "category")
-               .agg(F.map_from_entries(F.collect_list(F.struct("month", "amount"))).alias("cells")))
-    dense = (per_cat.join(recorded, year_keys)
-             .select(*year_keys, "category", F.explode("months").alias("month"), "cells")
-             .select(*year_keys, "month", "category",
-                     F.coalesce(F.try_element_at("cells", F.col("month")),
-                                F.lit(0).cast("decimal(28,2)")).alias("amount")))
-    total_rows = totals.select(*year_keys, "month", F.lit(TOTAL_LABEL).alias("category"), "amount")
-    return (dense.unionByName(total_rows)
-            .select(*by, "kind", "category", F.col("year").cast("int").alias("year"),
-                    F.col("month").cast("int").alias("month"),
-                    F.col("amount").cast("double").alias("amount")))
+                 .withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+                 .withColumn("category", F.lit(None).cast("string"))
+                 .withColumn("amt", F.lit(None).cast("decimal(18,2)")))
+        stacked = stacked.select(*by, "kind", "category", "year", "month", "amt").unionByName(extra)
+    cat = F.col("category")
+    keep = cat.isNotNull() & (cat != TOTAL_LABEL)
+    zero = F.lit(0).cast("decimal(18,2)")
+    # Kept amount, or 0 for removed rows: every row marks its month as recorded.
+    contrib = F.when(keep, F.coalesce(F.col("amt"), zero)).otherwise(zero)
+    month_sums = [F.sum(F.when(F.col("month") == m, contrib)).alias(f"_m{m}") for m in MONTHS]
+    agg = (stacked.groupingSets([[*keys, "category"], keys], *keys, "category")
+           .agg(*month_sums, F.grouping("category").alias("_total")))
+    # Recorded months of the (ledger, kind, year): the Total row's non-null cells.
+    flags = F.array(*[F.col(f"_m{m}").isNotNull() for m in MONTHS])
+    w = Window.partitionBy(*keys)
+    agg = agg.withColumn("_rec", F.max(F.when(F.col("_total") == 1, flags)).over(w))
+    total = F.col("_total") == 1
+    cells = F.array(*[F.struct(F.lit(m).alias("month"),
+                               F.coalesce(F.col(f"_m{m}"), zero.cast("decimal(28,2)")).alias("amount"),
+                               F.col("_rec")[m - 1].alias("_r")) for m in MONTHS])
+    rows = (agg.where(total | keep)
+            .select(*keys, F.when(total, F.lit(TOTAL_LABEL)).otherwise(cat).alias("category"),
+                    F.inline(F.filter(cells, lambda e: e["_r"]))))
+    return rows.select(*by, "kind", "category", F.col("year").cast("int").alias("year"),
+                       F.col("month").cast("int").alias("month"),
+                       F.col("amount").cast("double").alias("amount"))
 
 
 def summary_long(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = (),

@@ -42,7 +42,9 @@ def ledger(t: Tables, with_ledger_id: bool = False) -> DataFrame:
     supplier), for multi-ledger jobs.
     """
     li = t.lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    pt = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
+    # Normalise categories on the dimension side: once per part, not per line item.
+    pt = t.part.select("p_partkey", "p_name", normalize_category("p_type").alias("p_type"),
+                       normalize_category("p_brand").alias("p_brand"))
     j = li.join(pt, li.l_partkey == pt.p_partkey)
     cols = [F.col("l_suppkey").alias("ledger_id")] if with_ledger_id else []
     d = F.col("l_shipdate").cast("date")
@@ -53,8 +55,8 @@ def ledger(t: Tables, with_ledger_id: bool = False) -> DataFrame:
         F.col("l_extendedprice").alias("expense_amount"),
         F.lit(DEFAULT_CURRENCY).alias("currency"),
         to_ref_currency("l_extendedprice").alias("expense_in_ref_currency"),
-        normalize_category("p_type").alias("primary_category"),
-        normalize_category("p_brand").alias("secondary_category"),
+        F.col("p_type").alias("primary_category"),
+        F.col("p_brand").alias("secondary_category"),
         F.year(d).alias("year"),
         F.month(d).alias("month"),
     )
@@ -104,11 +106,15 @@ def asset_name_of_part(partkey) -> F.Column:
     return F.concat(F.lit("Part#"), F.col(partkey).cast("string"))
 
 
-def holdings(t: Tables) -> DataFrame:
-    """Investment holdings: quantity per part asset and ship month."""
+def _held(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_partkey", "l_quantity", *_ym("l_shipdate"))
     return (li.groupBy("l_partkey", "year", "month")
-            .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
+            .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity")))
+
+
+def holdings(t: Tables) -> DataFrame:
+    """Investment holdings: quantity per part asset and ship month."""
+    return (_held(t)
             .select(asset_name_of_part("l_partkey").alias("asset_name"),
                     _pick(F.col("l_partkey"), INVESTMENT_CATEGORIES).alias("category"),
                     F.lit("").alias("link"), "year", "month", "quantity"))
@@ -120,8 +126,9 @@ def prices(t: Tables) -> DataFrame:
     Parts whose key is a multiple of 7 get no price rows, so that positions
     with a missing price (valued null) occur in the data.
     """
-    months = (t.lineitem.select("l_partkey", *_ym("l_shipdate"))
-              .distinct())
+    # The months an asset is held: the holdings' own keys (same plan, so
+    # Spark reuses the holdings aggregation instead of scanning twice).
+    months = _held(t).select("l_partkey", "year", "month")
     pt = t.part.select("p_partkey", "p_retailprice").where(F.pmod("p_partkey", F.lit(7)) != 0)
     return (months.join(pt, months.l_partkey == pt.p_partkey)
             .select(asset_name_of_part("l_partkey").alias("asset_name"), "year", "month",
