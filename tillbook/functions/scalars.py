@@ -19,7 +19,8 @@ __all__ = [
     "col_of", "normalize_category", "mapping_key", "month_label", "month_column",
     "safe_date", "date_from_day_or_iso", "day_of_month", "month_abbr", "month_name",
     "round_whole", "round2", "fill_zero", "guarded_pct", "fmt_amount", "fmt_percent",
-    "to_ref_currency", "money", "money_sum", "to_double", "contains_ci",
+    "to_ref_currency", "money", "money_sum", "to_double", "contains_ci", "cents", "from_cents",
+    "cents_sum",
 ]
 
 
@@ -123,6 +124,25 @@ def to_ref_currency(amount) -> Column:
     return col_of(amount) * F.lit(REF_CURRENCY_RATE)
 
 
+def cents(v) -> Column:
+    """Money as exact integer cents (half-up), for fast order-independent sums.
+
+    Long sums stay in primitive aggregation buffers (no BigDecimal), and an
+    overflow fails loudly under ANSI mode instead of wrapping.
+    """
+    return F.round(col_of(v) * F.lit(100)).cast("long")
+
+
+def from_cents(c) -> Column:
+    """Cents back to a money double (exact division, correctly rounded)."""
+    return col_of(c) / F.lit(100.0)
+
+
+def cents_sum(v) -> Column:
+    """Order-independent money sum in cents (long)."""
+    return F.sum(cents(v))
+
+
 def money(v, scale: int = MONEY_SCALE) -> Column:
     """Exact decimal form of a money double, so sums do not depend on order."""
     return col_of(v).cast(T.DecimalType(18, scale))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.domains import DERIVED_CASHFLOW_ROWS, INCOME_CATEGORIES, TOTAL_LABEL
-from tillbook.functions.scalars import guarded_pct, money, money_sum, round2
+from tillbook.functions.scalars import cents, guarded_pct, money_sum, round2
 
 def _zero():
     return F.lit(0).cast("decimal(28,2)")
@@ -23,8 +23,9 @@ def _zero():
 def month_totals(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A3 alone: the primary summary's Total per (by, year, month)."""
     keep = F.col("primary_category").isNotNull() & (F.col("primary_category") != TOTAL_LABEL)
+    spent = F.sum(F.when(keep, cents("expense_in_ref_currency")))
     return (ledger.groupBy(*by, "year", "month")
-            .agg(F.coalesce(F.sum(F.when(keep, money("expense_in_ref_currency"))), _zero())
+            .agg(F.coalesce((spent.cast("decimal(28,0)") / 100).cast("decimal(28,2)"), _zero())
                  .alias("spending")))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.domains import MAX_SELECTION, TOTAL_LABEL, category_column
-from tillbook.functions.scalars import money_sum, month_abbr, round_whole
+from tillbook.functions.scalars import cents_sum, from_cents, month_abbr, round_whole
 from tillbook.operators.summaries import month_spend
 
 
@@ -56,7 +56,7 @@ def year_share(summary: DataFrame, kind: str = "primary", by: Sequence[str] = ()
     positive total (tested before rounding), as whole numbers."""
     cat = category_column(kind)
     return (summary.where((F.col(cat) != TOTAL_LABEL) & (F.col(cat) != ""))
-            .groupBy(*by, "year", cat).agg(money_sum("amount").alias("_t"))
+            .groupBy(*by, "year", cat).agg(from_cents(cents_sum("amount")).alias("_t"))
             .where(F.col("_t") > 0)
             .select(*by, "year", F.col(cat).alias("category"), round_whole("_t").alias("value")))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tillbook.domains import KINDS, MONTHS, MONTH_COLUMNS, PRIMARY_DISPLAY_ORDER, TOTAL_LABEL, \
     category_column
-from tillbook.functions.scalars import money, money_sum
+from tillbook.functions.scalars import cents, cents_sum, from_cents
 
 AMOUNT = "expense_in_ref_currency"
 
@@ -35,7 +35,7 @@ def month_spend(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = ()
     """A1: spend per category for every (year, month); a null category is its own group."""
     cat = category_column(kind)
     return (ledger.groupBy(*by, "year", "month", cat)
-            .agg(money_sum(AMOUNT).cast("double").alias(alias)))
+            .agg(from_cents(cents_sum(AMOUNT)).alias(alias)))
 
 
 def _stack_kinds(ledger: DataFrame, kinds: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def _stack_kinds(ledger: DataFrame, kinds: Sequence[str], by: Sequence[str]) ->
         category_column(k)
     entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(category_column(k)).alias("category"))
                         for k in kinds])
-    return (ledger.select(*by, "year", "month", money(AMOUNT).alias("amt"),
+    return (ledger.select(*by, "year", "month", cents(AMOUNT).alias("amt"),
                           F.inline(entries)))
 
 
@@ -68,7 +68,7 @@ def summaries_long(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence
 def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = (),
                            months: DataFrame | None = None) -> DataFrame:
     """The summary from ``(by..., kind, category, year, month, amt)`` rows,
-    where ``amt`` is a decimal amount: raw ledger rows or any pre-aggregated
+    where ``amt`` is an amount in cents (long): raw ledger rows or any pre-aggregated
     cells of them (sums compose), such as a stream's running totals.
 
     Plan: ONE aggregation over the input (GROUPING SETS of (year, category)
@@ -82,11 +82,11 @@ def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by:
         extra = (months.select(*by, "year", "month").distinct()
                  .withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
                  .withColumn("category", F.lit(None).cast("string"))
-                 .withColumn("amt", F.lit(None).cast("decimal(18,2)")))
+                 .withColumn("amt", F.lit(None).cast("long")))
         stacked = stacked.select(*by, "kind", "category", "year", "month", "amt").unionByName(extra)
     cat = F.col("category")
     keep = cat.isNotNull() & (cat != TOTAL_LABEL)
-    zero = F.lit(0).cast("decimal(18,2)")
+    zero = F.lit(0).cast("long")
     # Kept amount, or 0 for removed rows: every row marks its month as recorded.
     contrib = F.when(keep, F.coalesce(F.col("amt"), zero)).otherwise(zero)
     month_sums = [F.sum(F.when(F.col("month") == m, contrib)).alias(f"_m{m}") for m in MONTHS]
@@ -98,14 +98,14 @@ def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by:
     agg = agg.withColumn("_rec", F.max(F.when(F.col("_total") == 1, flags)).over(w))
     total = F.col("_total") == 1
     cells = F.array(*[F.struct(F.lit(m).alias("month"),
-                               F.coalesce(F.col(f"_m{m}"), zero.cast("decimal(28,2)")).alias("amount"),
+                               F.coalesce(F.col(f"_m{m}"), zero).alias("amount"),
                                F.col("_rec")[m - 1].alias("_r")) for m in MONTHS])
     rows = (agg.where(total | keep)
             .select(*keys, F.when(total, F.lit(TOTAL_LABEL)).otherwise(cat).alias("category"),
                     F.inline(F.filter(cells, lambda e: e["_r"]))))
     return rows.select(*by, "kind", "category", F.col("year").cast("int").alias("year"),
                        F.col("month").cast("int").alias("month"),
-                       F.col("amount").cast("double").alias("amount"))
+                       from_cents("amount").alias("amount"))
 
 
 def summary_long(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = (),
@@ -204,7 +204,7 @@ def category_totals(long_summary: DataFrame, by: Sequence[str] = ()) -> DataFram
             .where(F.col("category").isNotNull() & (F.col("category") != "")
                    & (F.col("category") != TOTAL_LABEL))
             .groupBy(*by, "kind", "category")
-            .agg(F.coalesce(money_sum("amount"), F.lit(0)).cast("double").alias("total")))
+            .agg(from_cents(F.coalesce(cents_sum("amount"), F.lit(0).cast("long"))).alias("total")))
 
 
 def dense_month_grid(facts: DataFrame, keys: Sequence[str], value: str = "value",

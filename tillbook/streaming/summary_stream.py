@@ -1,7 +1,7 @@
 """Keep the expense summaries current as expenses arrive.
 
-A Structured Streaming job folds arriving ledger rows into running decimal
-totals per (by, kind, category, year, month) -- state is bounded by
+A Structured Streaming job folds arriving ledger rows into running exact
+totals (cents) per (by, kind, category, year, month) -- state is bounded by
 categories x months, not by rows.  Any date may arrive late, so there is no
 watermark.  Each micro-batch (``update`` mode) carries the new totals of the
 groups it touched; ``foreachBatch`` merges them into a versioned Parquet
@@ -26,7 +26,7 @@ CELL_KEYS = ("kind", "category", "year", "month")
 
 def running_cells(ledger_stream: DataFrame, kinds: Sequence[str] = KINDS,
                   by: Sequence[str] = ()) -> DataFrame:
-    """Streaming aggregation: decimal total per (by, kind, category, year, month)."""
+    """Streaming aggregation: total cents per (by, kind, category, year, month)."""
     stacked = _stack_kinds(ledger_stream, kinds, by)
     return (stacked.groupBy(*by, *CELL_KEYS)
             .agg(F.sum("amt").alias("amt")))
