@@ -179,12 +179,21 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
 # --------------------------------------------------------------------------
 
 def upsert_cells(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Replace ``value`` at ``keys`` by the change value, inserting missing cells."""
-    ch = changes.select(*keys, F.col(value).alias("_v"), F.lit(True).alias("_set"))
+    """Replace ``value`` at ``keys`` by the change value, inserting missing
+    cells; other columns of an inserted cell come from the change row."""
+    attrs = [c for c in table.columns if c not in (*keys, value) and c in changes.columns]
+    ch = changes.select(*keys, F.col(value).alias("_v"), F.lit(True).alias("_set"),
+                        *[F.col(c).alias(f"_a_{c}") for c in attrs])
     j = table.join(ch, list(keys), "full")
-    return j.select(*[F.col(c) if c != value else
-                      F.when(F.col("_set"), F.col("_v")).otherwise(F.col(value)).alias(value)
-                      for c in table.columns])
+    cols = []
+    for c in table.columns:
+        if c == value:
+            cols.append(F.when(F.col("_set"), F.col("_v")).otherwise(F.col(value)).alias(value))
+        elif c in attrs:
+            cols.append(F.coalesce(F.col(c), F.col(f"_a_{c}")).alias(c))
+        else:
+            cols.append(F.col(c))
+    return j.select(*cols)
 
 
 def set_income(income: DataFrame, changes: DataFrame,

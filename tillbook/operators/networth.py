@@ -146,3 +146,18 @@ def value_table_totals(holdings, prices, by: Sequence[str] = ()) -> DataFrame:
         "category",
         F.when(F.col("_t") == 1, F.coalesce("s", _zero())).otherwise(F.col("s")).cast("double")
         .alias("value"))
+
+
+def table_with_totals(facts: DataFrame, name_col: str, value: str, attrs: Sequence[str] = (),
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Any month table (holdings, prices, balances) with a Total
+    row per month (GROUPING SETS; one aggregation).  Totals ignore nulls
+    and are 0 when nothing is set."""
+    keys = [*by, "year", "month", name_col, *attrs]
+    agg = (facts.groupingSets([keys, [*by, "year", "month"]], *keys)
+           .agg(F.sum(money(value, POSITION_SCALE)).alias("_s"), F.grouping(name_col).alias("_t")))
+    total = F.col("_t") == 1
+    return agg.select(
+        *by, "year", "month",
+        F.when(total, F.lit(TOTAL_LABEL)).otherwise(F.col(name_col)).alias(name_col), *attrs,
+        F.when(total, F.coalesce("_s", _zero())).otherwise(F.col("_s")).cast("double").alias(value))

@@ -112,3 +112,25 @@ SELECT year, month, slice, CAST(round_even(v, 2) AS DOUBLE) AS value FROM ngrid,
 WHERE v > 0""")
 def allocation_month(spark, sf_dir):
     return N.allocation(*_nw(spark, sf_dir))
+
+
+@register("balance_table_totals", f"""
+WITH {Q.BALANCES}
+SELECT year, month, asset_name, category, currency, value FROM liq_f
+UNION ALL
+SELECT year, month, 'Total', NULL, NULL, CAST(COALESCE(SUM({Q.money('value', 4)}), 0) AS DOUBLE)
+FROM liq_f GROUP BY year, month""")
+def balance_table_totals(spark, sf_dir):
+    _, _, liq, _ = _nw(spark, sf_dir)
+    return N.table_with_totals(liq, "asset_name", "value", attrs=["category", "currency"])
+
+
+@register("holdings_table_totals", f"""
+WITH {Q.HOLDINGS}
+SELECT year, month, asset_name, category, link, quantity FROM hold
+UNION ALL
+SELECT year, month, 'Total', NULL, NULL, CAST(COALESCE(SUM({Q.money('quantity', 4)}), 0) AS DOUBLE)
+FROM hold GROUP BY year, month""")
+def holdings_table_totals(spark, sf_dir):
+    h, _, _, _ = _nw(spark, sf_dir)
+    return N.table_with_totals(h, "asset_name", "quantity", attrs=["category", "link"])
