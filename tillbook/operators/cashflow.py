@@ -1,16 +1,15 @@
 """Cashflow statement: A6, A7, J7 and the datasets C4, C5, C10.
 
 Every (ledger, year) gets a fixed 12-month spine (a bounded explode of
-``sequence(1, 12)``); income is pivoted over the 4 fixed categories and
-spending is the month Total of the primary summary.  Both are month-level
-aggregates, so the joins onto the spine are small and key-aligned.
+``sequence(1, 12)``); income per fixed category and spending (the month
+Total of the primary summary) come from one aggregation over both inputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.domains import DERIVED_CASHFLOW_ROWS, INCOME_CATEGORIES, TOTAL_LABEL
@@ -29,31 +28,38 @@ def month_totals(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                  .alias("spending")))
 
 
-def _year_month_spine(years: DataFrame, by: Sequence[str]) -> DataFrame:
-    return years.select(*by, "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-
-
 def cashflow_grid(income: DataFrame, ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A6 + A7 + J7, one row per (by, year, month) with decimal columns:
     the 4 income categories, income, spending, saving, and saving_pct (double).
 
-    Years are those with income or expenses; each gets all 12 months.
+    Plan: income rows and ledger rows are stacked as columns and folded by
+    ONE aggregation to (by, year, month) (each input scanned once, partial
+    aggregation map-side), then each (by, year)'s at most 12 months are
+    folded into a map and expanded over all 12 months.  Years are those with
+    income or expenses.
     """
-    inc = (income.where(F.col("category").isin(INCOME_CATEGORIES))
-           .groupBy(*by, "year", "month").pivot("category", INCOME_CATEGORIES)
-           .agg(money_sum("value")))
-    spend = month_totals(ledger, by)
-    years = (inc.select(*by, "year").unionByName(spend.select(*by, "year")).distinct())
     keys = [*by, "year", "month"]
-    grid = (_year_month_spine(years, by)
-            .join(inc, keys, "left")
-            .join(spend, keys, "left"))
-    cats = [F.coalesce(F.col(f"`{c}`"), _zero()) for c in INCOME_CATEGORIES]
-    income_total = cats[0] + cats[1] + cats[2] + cats[3]
-    out = grid.select(*keys, *[c.alias(n) for c, n in zip(cats, INCOME_CATEGORIES)],
-                      income_total.cast("decimal(28,2)").alias("Income"),
-                      F.coalesce("spending", _zero()).alias("Spending"))
-    out = out.withColumn("Saving", (F.col("Income") - F.col("Spending")).cast("decimal(28,2)"))
+    none = F.lit(None).cast("long")
+    cols = [*INCOME_CATEGORIES, "Spending"]
+    keep = F.col("primary_category").isNotNull() & (F.col("primary_category") != TOTAL_LABEL)
+    inc = income.where(F.col("category").isin(INCOME_CATEGORIES)).select(
+        *keys, *[F.when(F.col("category") == c, cents("value")).alias(c) for c in INCOME_CATEGORIES],
+        none.alias("Spending"))
+    spend = ledger.select(*keys, *[none.alias(c) for c in INCOME_CATEGORIES],
+                          F.when(keep, cents("expense_in_ref_currency")).alias("Spending"))
+    month = inc.unionByName(spend).groupBy(*keys).agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in cols])
+    folded = (month.groupBy(*by, "year")
+              .agg(F.map_from_entries(F.collect_list(
+                  F.struct("month", F.struct(*[F.col(f"`{c}`") for c in cols])))).alias("_cells")))
+    g = folded.select(*by, "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), "_cells")
+    cell = F.try_element_at("_cells", F.col("month"))
+    g = g.select(*keys, *[F.coalesce(cell[c], F.lit(0).cast("long")).alias(c) for c in cols])
+    income_c = F.col(f"`{INCOME_CATEGORIES[0]}`")
+    for c in INCOME_CATEGORIES[1:]:
+        income_c = income_c + F.col(f"`{c}`")
+    g = g.withColumn("Income", income_c).withColumn("Saving", F.col("Income") - F.col("Spending"))
+    out = g.select(*keys, *[(F.col(f"`{c}`").cast("decimal(28,0)") / 100).cast("decimal(28,2)").alias(c)
+                            for c in [*INCOME_CATEGORIES, "Income", "Spending", "Saving"]])
     return out.withColumn("Saving %", guarded_pct(F.col("Saving").cast("double"),
                                                   F.col("Income").cast("double")))
 
@@ -74,10 +80,10 @@ def cashflow_bars(income: DataFrame, ledger: DataFrame, by: Sequence[str] = ())
     series = ["Income", "Spending", "Saving"]
     entries = F.array(*[F.struct(F.lit(s).alias("series"), round2(F.col(s)).alias("value"))
                         for s in series])
-    active = (grid.groupBy(*by, "year")
-              .agg(F.max((round2("Income") != 0) | (round2("Spending") != 0)).alias("_any"))
-              .where("_any").drop("_any"))
-    return (grid.join(active, [*by, "year"], "left_semi")
+    # Active years by a window over each year's 12 month rows (the grid is
+    # already clustered by (by, year)), not by a self-join.
+    active = F.max((round2("Income") != 0) | (round2("Spending") != 0)).over(Window.partitionBy(*by, "year"))
+    return (grid.withColumn("_any", active).where("_any")
             .select(*by, "year", "month", F.inline(entries))
             .withColumn("value", F.col("value").cast("double")))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, MONTHS, RECURRING_DAY_MAX, \
@@ -124,27 +124,39 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
     ``expense_date`` is text: a bare day of the row's month or an ISO date.
     A new amount also resets the reference-currency amount.  Category text
     resolves (F2) against the spellings already used in the row's month.
-    Unknown ids and impossible dates are rejects.
+    Unknown ids and impossible dates are rejects (the whole edit).
+
+    Plan: one full outer join of the ledger with the latest edit per id
+    applies edits and finds unknown ids in the same pass; the month
+    spellings come from one aggregation over both category columns.
     """
     keys = [*by, "expense_id"]
-    known = edits.join(ledger.select(*keys), keys, "left_semi")
-    missing = (edits.join(ledger.select(*keys), keys, "left_anti")
-               .withColumn("reason", F.lit("expense not found")))
-    latest, superseded = _first_per_key(known, keys, last=True)
-    cur = ledger.alias("cur")
-    e = latest.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in EDITABLE])
-    j = cur.join(e, keys, "left")
+    latest, superseded = _first_per_key(edits, keys, last=True)
+    e = latest.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in EDITABLE], F.lit(True).alias("_edit"))
+    j = ledger.withColumn("_row", F.lit(True)).join(e, keys, "full")
+    missing_keys = j.where(F.col("_row").isNull()).select(*keys)
+    j = j.where(F.col("_row"))
     new_date = date_from_day_or_iso(F.col("_new_expense_date"), F.col("year"), F.col("month"))
-    bad_date = F.col("_new_expense_date").isNotNull() & new_date.isNull()
-    j = j.withColumn("_bad", bad_date)
-    # Resolve edited categories against the month's existing spellings.
+    j = j.withColumn("_bad", F.coalesce(F.col("_new_expense_date").isNotNull() & new_date.isNull(),
+                                        F.lit(False)))
+    # Existing spellings per (ledger, year, month) for both category columns at once.
     month_keys = [*by, "year", "month"]
+    stacked = ledger.select(*month_keys, F.inline(F.array(
+        F.struct(F.lit("primary_category").alias("_kind"), F.col("primary_category").alias("_c")),
+        F.struct(F.lit("secondary_category").alias("_kind"), F.col("secondary_category").alias("_c")))))
+    lookup = (stacked.where(F.col("_c").isNotNull() & (F.col("_c") != ""))
+              .groupBy(*month_keys, "_kind", F.lower("_c").alias("_k")).agg(F.min("_c").alias("_spelling")))
     for kind in ("primary_category", "secondary_category"):
-        existing = ledger.select(*month_keys, F.col(kind).alias("_existing"))
-        j = resolve_categories(j, f"_new_{kind}", existing, "_existing",
-                               out=f"_res_{kind}", by=month_keys)
-    bad_rows = (j.where("_bad").select(*keys)
-                .join(latest, keys).withColumn("reason", F.lit("invalid date")))
+        lk = lookup.where(F.col("_kind") == kind).select(
+            *month_keys, F.col("_k").alias(f"_k_{kind}"), F.col("_spelling").alias(f"_sp_{kind}"))
+        j = (j.withColumn(f"_k_{kind}", F.lower(f"_new_{kind}"))
+             .join(lk, [*month_keys, f"_k_{kind}"], "left"))
+        v = F.col(f"_new_{kind}")
+        j = j.withColumn(f"_res_{kind}", F.when(v.isNull() | (v == ""), v)
+                         .otherwise(F.coalesce(F.col(f"_sp_{kind}"), normalize_category(v))))
+    bad_rows = (j.where("_bad").select(*keys).join(latest, keys)
+                .withColumn("reason", F.lit("invalid date")))
+
     def pick(new: str, old: str) -> Column:
         # A rejected edit (bad date) changes nothing in its row.
         return F.when(~F.col("_bad") & F.col(new).isNotNull(), F.col(new)).otherwise(F.col(old))
@@ -170,7 +182,9 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
             out_cols.append(F.col(c))
     edited = j.select(*out_cols)
     edited = edited.withColumn("year", F.year("expense_date")).withColumn("month", F.month("expense_date"))
-    rejects = (missing.unionByName(superseded).unionByName(bad_rows.select(*edits.columns, "reason")))
+    missing = missing_keys.join(latest, keys).withColumn("reason", F.lit("expense not found"))
+    rejects = (missing.select(*edits.columns, "reason").unionByName(superseded)
+               .unionByName(bad_rows.select(*edits.columns, "reason")))
     return edited.select(*ledger.columns), rejects
 
 
@@ -220,23 +234,31 @@ def set_values(table: DataFrame, changes: DataFrame, name_col: str, value: str,
                by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Set quantity, price or balance cells ``(by..., seq, year, month,
     <name>, <value>)``; the entity must exist in that year; month 1..12;
-    last change per cell wins."""
-    ent = [*by, "year", name_col]
-    marked = _entity_exists(changes, table, ent)
-    reason = (F.when(~F.col("month").isin(MONTHS), F.lit("month out of range"))
-              .when(~F.col("_exists"), F.lit("not found")))
-    ok, bad = _split(marked, reason)
-    ok, bad = ok.drop("_exists"), bad.drop("_exists")
+    last change per cell wins.
+
+    Plan: changes are first reduced to the last one per cell (an
+    aggregation, so a hot cell never gathers in one task); one full outer
+    join with the table then applies them, and a window over each entity's
+    (at most 24) cells tells whether the entity exists and supplies its
+    attributes for newly set months.  The table is scanned once.
+    """
+    ok, bad = _split(changes, F.when(~F.col("month").isin(MONTHS), F.lit("month out of range")))
     cell = [*by, "year", "month", name_col]
+    ent = [*by, "year", name_col]
     latest, superseded = _first_per_key(ok, cell, last=True)
-    # Entity attributes (category, link, ...) for inserted cells come from the table.
     attrs = [c for c in table.columns if c not in (*cell, value)]
-    ins = latest
-    if attrs:
-        dims = table.groupBy(*ent).agg(*[F.first(c, ignorenulls=True).alias(c) for c in attrs])
-        ins = latest.join(dims, ent, "left")
-    return upsert_cells(table, ins.select(*cell, value, *attrs), cell, value), \
-        bad.unionByName(superseded)
+    j = (table.withColumn("_row", F.lit(True))
+         .join(latest.select(*cell, F.col(value).alias("_v"), F.lit(True).alias("_set")), cell, "full"))
+    w = Window.partitionBy(*ent)
+    j = j.withColumn("_exists", F.max(F.coalesce("_row", F.lit(False))).over(w))
+    for c in attrs:
+        j = j.withColumn(c, F.coalesce(F.col(c), F.first(c, ignorenulls=True).over(w)))
+    notfound = (j.where(~F.col("_exists")).select(*cell).join(latest, cell)
+                .withColumn("reason", F.lit("not found")))
+    out = (j.where(F.col("_exists"))
+           .withColumn(value, F.when(F.col("_set"), F.col("_v")).otherwise(F.col(value)))
+           .select(*table.columns))
+    return out, bad.unionByName(superseded).unionByName(notfound.select(*changes.columns, "reason"))
 
 
 def set_attribute(table: DataFrame, changes: DataFrame, name_col: str, attr: str,
@@ -244,19 +266,24 @@ def set_attribute(table: DataFrame, changes: DataFrame, name_col: str, attr: str
                   by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """M8 / M9: set an entity attribute (category, link) for every month of
     the entity's year; the entity must exist; values may be restricted to a
-    valid list; last change per entity wins."""
+    valid list; last change per entity wins.
+
+    Plan: last change per entity (an aggregation), then one full outer join
+    with the table: table rows take the new value, change rows without a
+    table row are "not found".  The table is scanned once.
+    """
     ent = [*by, "year", name_col]
-    marked = _entity_exists(changes, table, ent)
-    reason = F.when(~F.col("_exists"), F.lit("not found"))
     if valid is not None:
-        reason = F.when(~F.col(attr).isin(list(valid)), F.lit(f"invalid {attr}")).otherwise(reason)
-    ok, bad = _split(marked, reason)
-    ok, bad = ok.drop("_exists"), bad.drop("_exists")
+        ok, bad = _split(changes, F.when(~F.col(attr).isin(list(valid)), F.lit(f"invalid {attr}")))
+    else:
+        ok, bad = changes, changes.withColumn("reason", F.lit(None).cast("string")).where(F.lit(False))
     latest, superseded = _first_per_key(ok, ent, last=True)
-    ch = latest.select(*ent, F.col(attr).alias("_new"))
-    out = (table.join(ch, ent, "left")
-           .withColumn(attr, F.coalesce("_new", attr)).select(*table.columns))
-    return out, bad.unionByName(superseded)
+    j = (table.withColumn("_row", F.lit(True))
+         .join(latest.select(*ent, F.col(attr).alias("_new"), F.lit(True).alias("_chg")), ent, "full"))
+    notfound = (j.where(F.col("_row").isNull()).select(*ent).join(latest, ent)
+                .withColumn("reason", F.lit("not found")))
+    out = (j.where(F.col("_row")).withColumn(attr, F.coalesce("_new", attr)).select(*table.columns))
+    return out, bad.unionByName(superseded).unionByName(notfound.select(*changes.columns, "reason"))
 
 
 def add_entities(table: DataFrame, adds: DataFrame, name_col: str, value: str,

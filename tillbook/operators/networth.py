@@ -53,34 +53,54 @@ def monthly_sum(facts: DataFrame, out: str, by: Sequence[str] = (), value: str =
             .agg(F.sum(money(value, POSITION_SCALE)).cast(VALUE_DEC).alias(out)))
 
 
+COMPONENTS = [*INVESTMENT_CATEGORIES, "Liquidity", "Credits/Debts"]
+
+
+def _c(name: str):
+    return F.col(f"`{name}`")
+
+
 def networth_grid(holdings: DataFrame, prices: DataFrame, liquidity: DataFrame,
                   credits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A8-A11 and W2/W3 on a dense month spine.
 
-    The spine runs from each ledger's first to last year with data, all 12
-    months, so December of the previous year precedes every January; a
-    month before the first one counts 0.0 (W3).
+    Plan: the three inputs are stacked as component columns and folded by
+    ONE aggregation to (by, year, month) -- every input is scanned once and
+    partially aggregated map-side.  Each ledger's month rows (bounded by
+    its months of history, not by data volume) are then folded into one map
+    and expanded over the spine from its first to last year, all 12 months,
+    so December precedes every January and a month before the first counts
+    0.0 (W3).  The change window reuses that partitioning: no extra shuffle.
     """
-    inv = investments_by_category(position_value(holdings, prices, by), by)
-    liq = monthly_sum(liquidity, "Liquidity", by)
-    cd = monthly_sum(credits, "Credits/Debts", by)
-    years = (inv.select(*by, "year").unionByName(liq.select(*by, "year"))
-             .unionByName(cd.select(*by, "year"))
-             .groupBy(*by).agg(F.min("year").alias("y0"), F.max("year").alias("y1")))
-    spine = (years.select(*by, F.explode(F.sequence("y0", "y1")).alias("year"))
-             .select(*by, "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")))
     keys = [*by, "year", "month"]
-    g = spine.join(inv, keys, "left").join(liq, keys, "left").join(cd, keys, "left")
-    comps = [*INVESTMENT_CATEGORIES, "Liquidity", "Credits/Debts"]
-    g = g.select(*keys, *[F.coalesce(F.col(f"`{c}`"), _zero()).alias(c) for c in comps])
-    nw = F.col(f"`{comps[0]}`")
-    for c in comps[1:]:
-        nw = nw + F.col(f"`{c}`")
+    none = F.lit(None).cast(VALUE_DEC)
+
+    def rows(df: DataFrame, assign: dict) -> DataFrame:
+        return df.select(*keys, *[assign.get(c, none).alias(c) for c in COMPONENTS])
+
+    v = position_value(holdings, prices, by)
+    stacked = (rows(v, {c: F.when(F.col("category") == c, F.col("value_dec")) for c in INVESTMENT_CATEGORIES})
+               .unionByName(rows(liquidity, {"Liquidity": money("value", POSITION_SCALE).cast(VALUE_DEC)}))
+               .unionByName(rows(credits, {"Credits/Debts": money("value", POSITION_SCALE).cast(VALUE_DEC)})))
+    month = stacked.groupBy(*keys).agg(*[F.sum(_c(c)).alias(c) for c in COMPONENTS])
+    idx = F.col("year") * 12 + F.col("month") - 1
+    folded = (month.groupBy(*by)
+              .agg(F.min("year").alias("_y0"), F.max("year").alias("_y1"),
+                   F.map_from_entries(F.collect_list(F.struct(idx, F.struct(*[_c(c) for c in COMPONENTS]))))
+                   .alias("_cells")))
+    g = folded.select(*by, F.explode(F.sequence(F.col("_y0") * 12, F.col("_y1") * 12 + 11)).alias("_i"),
+                      "_cells")
+    cell = F.try_element_at("_cells", F.col("_i"))
+    g = g.select(*by, F.floor(F.col("_i") / 12).cast("int").alias("year"),
+                 (F.pmod("_i", F.lit(12)) + 1).cast("int").alias("month"),
+                 *[F.coalesce(cell[c], _zero()).alias(c) for c in COMPONENTS])
+    nw = _c(COMPONENTS[0])
+    for c in COMPONENTS[1:]:
+        nw = nw + _c(c)
     g = g.withColumn("Net Worth", nw.cast(VALUE_DEC))
     w = Window.partitionBy(*by).orderBy("year", "month")
-    prev = F.lag("Net Worth", 1).over(w)
-    g = g.withColumn("_prev", F.coalesce(prev, _zero()))
-    cur, p = F.col("`Net Worth`"), F.col("_prev")
+    g = g.withColumn("_prev", F.coalesce(F.lag("Net Worth", 1).over(w), _zero()))
+    cur, p = _c("Net Worth"), F.col("_prev")
     change = F.when(cur != 0, (cur - p).cast(VALUE_DEC))
     pct = F.when((cur != 0) & (p != 0),
                  (cur - p).cast("double") / p.cast("double") * F.lit(100.0))
@@ -110,11 +130,13 @@ def networth_evolution(holdings, prices, liquidity, credits, by: Sequence[str] =
     for c in comps[1:]:
         total = total + F.col(f"`{c}`")
     r = r.withColumn("Net Worth", total)
-    active = (r.groupBy(*by, "year").agg(F.max(F.col("`Net Worth`") != 0).alias("_any"))
-              .where("_any").drop("_any"))
+    # A year is shown if any month nets to non-zero: a window over its 12
+    # month rows (already clustered by ledger), not a self-join.
+    active = F.max(F.col("`Net Worth`") != 0).over(Window.partitionBy(*by, "year"))
     entries = F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"`{c}`").cast("double").alias("value"))
                         for c in [*comps, "Net Worth"]])
-    return r.join(active, [*by, "year"], "left_semi").select(*by, "year", "month", F.inline(entries))
+    return (r.withColumn("_any", active).where("_any")
+            .select(*by, "year", "month", F.inline(entries)))
 
 
 def allocation(holdings, prices, liquidity, credits, by: Sequence[str] = ()) -> DataFrame:

@@ -42,13 +42,15 @@ def categories_over_months(summary: DataFrame, categories: Sequence[str], kind:
     cat = category_column(kind)
     chosen = _cap(list(categories), lowest=False)
     rows = summary.where(F.col(cat) != TOTAL_LABEL)
-    months = rows.select(*by, "year", "month").distinct()
-    grid = months.select(*by, "year", "month",
-                         F.explode(F.array(*[F.lit(c) for c in chosen])).alias(cat))
-    keys = [*by, "year", "month", cat]
-    return (grid.join(rows.select(*keys, "amount"), keys, "left")
-            .select(*by, "year", "month", F.col(cat).alias("series"),
-                    round_whole(F.coalesce("amount", F.lit(0.0))).alias("value")))
+    # One conditional aggregation per recorded month (no self-join): the
+    # chosen categories' amounts side by side, then at most 3 rows out.
+    picked = (rows.groupBy(*by, "year", "month")
+              .agg(*[F.sum(F.when(F.col(cat) == c, F.col("amount"))).alias(f"_c{i}")
+                     for i, c in enumerate(chosen)]))
+    entries = F.array(*[F.struct(F.lit(c).alias("series"),
+                                 round_whole(F.coalesce(F.col(f"_c{i}"), F.lit(0.0))).alias("value"))
+                        for i, c in enumerate(chosen)])
+    return picked.select(*by, "year", "month", F.inline(entries))
 
 
 def year_share(summary: DataFrame, kind: str = "primary", by: Sequence[str] = ()) -> DataFrame:

@@ -176,12 +176,11 @@ def prune_zero_categories(long_df: DataFrame, category: str, by: Sequence[str] =
                           value: str = "amount") -> DataFrame:
     """P7 (C11): drop categories that are zero (or null) in every month of the
     year, always keeping Total."""
-    keys = [*by, "year", category]
-    nonzero = (long_df.groupBy(*keys)
-               .agg(F.max(F.coalesce(F.col(value), F.lit(0.0)) != 0).alias("_nz"))
-               .where(F.col("_nz") | (F.col(category) == TOTAL_LABEL))
-               .drop("_nz"))
-    return long_df.join(nonzero, keys, "left_semi")
+    # A window over each category's (at most 12) month rows, not a self-join.
+    w = Window.partitionBy(*by, "year", category)
+    nz = F.max(F.coalesce(F.col(value), F.lit(0.0)) != 0).over(w)
+    return (long_df.withColumn("_nz", nz)
+            .where(F.col("_nz") | (F.col(category) == TOTAL_LABEL)).drop("_nz"))
 
 
 def pick_months(long_df: DataFrame, months: Sequence[int]) -> DataFrame:
