@@ -126,65 +126,54 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
     resolves (F2) against the spellings already used in the row's month.
     Unknown ids and impossible dates are rejects (the whole edit).
 
-    Plan: one full outer join of the ledger with the latest edit per id
-    applies edits and finds unknown ids in the same pass; the month
-    spellings come from one aggregation over both category columns.
+    Plan (the batch is small, the ledger is not):
+      1. last edit per id (aggregation), joined to the ledger's ids only
+         (column-pruned) to find each row's month, or that it is unknown;
+      2. dates and categories are resolved on those few rows; the month
+         spellings are aggregated only for months that have edits;
+      3. ONE left join applies them to the ledger.  Spark broadcasts the
+         resolved edits when they pass its size check, so the ledger is not
+         shuffled, and rows without an edit never meet a null join key.
     """
     keys = [*by, "expense_id"]
-    latest, superseded = _first_per_key(edits, keys, last=True)
-    e = latest.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in EDITABLE], F.lit(True).alias("_edit"))
-    j = ledger.withColumn("_row", F.lit(True)).join(e, keys, "full")
-    missing_keys = j.where(F.col("_row").isNull()).select(*keys)
-    j = j.where(F.col("_row"))
-    new_date = date_from_day_or_iso(F.col("_new_expense_date"), F.col("year"), F.col("month"))
-    j = j.withColumn("_bad", F.coalesce(F.col("_new_expense_date").isNotNull() & new_date.isNull(),
-                                        F.lit(False)))
-    # Existing spellings per (ledger, year, month) for both category columns at once.
     month_keys = [*by, "year", "month"]
-    stacked = ledger.select(*month_keys, F.inline(F.array(
-        F.struct(F.lit("primary_category").alias("_kind"), F.col("primary_category").alias("_c")),
-        F.struct(F.lit("secondary_category").alias("_kind"), F.col("secondary_category").alias("_c")))))
+    latest, superseded = _first_per_key(edits, keys, last=True)
+    where = ledger.select(*keys, "year", "month").withColumn("_row", F.lit(True))
+    info = latest.join(where, keys, "left")
+    missing = info.where(F.col("_row").isNull()).select(*edits.columns) \
+        .withColumn("reason", F.lit("expense not found"))
+    info = info.where(F.col("_row"))
+    new_date = date_from_day_or_iso(F.col("expense_date"), F.col("year"), F.col("month"))
+    info = info.withColumn("_date", new_date).withColumn(
+        "_bad", F.col("expense_date").isNotNull() & F.col("_date").isNull())
+    bad_rows = info.where("_bad").select(*edits.columns).withColumn("reason", F.lit("invalid date"))
+    good = info.where(~F.col("_bad"))
+    # Spellings already used in the edited months, both category columns at once.
+    stacked = (ledger.join(good.select(*month_keys).distinct(), month_keys, "left_semi")
+               .select(*month_keys, F.inline(F.array(
+                   F.struct(F.lit("primary_category").alias("_kind"), F.col("primary_category").alias("_c")),
+                   F.struct(F.lit("secondary_category").alias("_kind"),
+                            F.col("secondary_category").alias("_c"))))))
     lookup = (stacked.where(F.col("_c").isNotNull() & (F.col("_c") != ""))
               .groupBy(*month_keys, "_kind", F.lower("_c").alias("_k")).agg(F.min("_c").alias("_spelling")))
     for kind in ("primary_category", "secondary_category"):
-        lk = lookup.where(F.col("_kind") == kind).select(
-            *month_keys, F.col("_k").alias(f"_k_{kind}"), F.col("_spelling").alias(f"_sp_{kind}"))
-        j = (j.withColumn(f"_k_{kind}", F.lower(f"_new_{kind}"))
-             .join(lk, [*month_keys, f"_k_{kind}"], "left"))
-        v = F.col(f"_new_{kind}")
-        j = j.withColumn(f"_res_{kind}", F.when(v.isNull() | (v == ""), v)
-                         .otherwise(F.coalesce(F.col(f"_sp_{kind}"), normalize_category(v))))
-    bad_rows = (j.where("_bad").select(*keys).join(latest, keys)
-                .withColumn("reason", F.lit("invalid date")))
-
-    def pick(new: str, old: str) -> Column:
-        # A rejected edit (bad date) changes nothing in its row.
-        return F.when(~F.col("_bad") & F.col(new).isNotNull(), F.col(new)).otherwise(F.col(old))
-
-    chosen = {
-        "expense_name": pick("_new_expense_name", "expense_name"),
-        "expense_date": F.when(~F.col("_bad") & new_date.isNotNull(), new_date)
-        .otherwise(F.col("expense_date")),
-        "expense_amount": pick("_new_expense_amount", "expense_amount"),
-        "currency": pick("_new_currency", "currency"),
-        "primary_category": pick("_res_primary_category", "primary_category"),
-        "secondary_category": pick("_res_secondary_category", "secondary_category"),
-    }
-    ref = F.when(~F.col("_bad") & F.col("_new_expense_amount").isNotNull(),
-                 to_ref_currency("_new_expense_amount")).otherwise(F.col("expense_in_ref_currency"))
-    out_cols = []
-    for c in ledger.columns:
-        if c in chosen:
-            out_cols.append(chosen[c].alias(c))
-        elif c == "expense_in_ref_currency":
-            out_cols.append(ref.alias(c))
-        else:
-            out_cols.append(F.col(c))
-    edited = j.select(*out_cols)
+        existing = lookup.where(F.col("_kind") == kind).select(*month_keys, F.col("_spelling").alias("_e"))
+        good = resolve_categories(good, kind, existing, "_e", out=f"_res_{kind}", by=month_keys)
+    amount = F.col("expense_amount")
+    resolved = good.select(
+        *keys, F.lit(True).alias("_edit"),
+        F.col("expense_name").alias("_n_name"), F.col("_date").alias("_n_date"),
+        amount.alias("_n_amount"), F.col("currency").alias("_n_currency"),
+        F.when(amount.isNotNull(), to_ref_currency(amount)).alias("_n_ref"),
+        F.col("_res_primary_category").alias("_n_pri"), F.col("_res_secondary_category").alias("_n_sec"))
+    j = ledger.join(resolved, keys, "left")
+    new_of = {"expense_name": "_n_name", "expense_date": "_n_date", "expense_amount": "_n_amount",
+              "currency": "_n_currency", "expense_in_ref_currency": "_n_ref",
+              "primary_category": "_n_pri", "secondary_category": "_n_sec"}
+    edited = j.select(*[F.coalesce(F.col(new_of[c]), F.col(c)).alias(c) if c in new_of else F.col(c)
+                        for c in ledger.columns])
     edited = edited.withColumn("year", F.year("expense_date")).withColumn("month", F.month("expense_date"))
-    missing = missing_keys.join(latest, keys).withColumn("reason", F.lit("expense not found"))
-    rejects = (missing.select(*edits.columns, "reason").unionByName(superseded)
-               .unionByName(bad_rows.select(*edits.columns, "reason")))
+    rejects = missing.unionByName(superseded).unionByName(bad_rows)
     return edited.select(*ledger.columns), rejects
 
 
@@ -399,8 +388,10 @@ def apply_recurring(ledger: DataFrame, templates: DataFrame, targets: DataFrame,
     tgt = (targets.groupBy(*by).agg(F.max(F.struct("year", "month")).alias("_t"))
            .select(*by, "_t.year", "_t.month"))
     cand = _first_templates(templates, by).join(tgt, list(by))
+    # distinct() combines map-side, so a hot (name, day) in the ledger shrinks
+    # to one row before the anti join's shuffle.
     present = ledger.select(*by, "year", "month", "expense_name",
-                            F.dayofmonth("expense_date").cast("long").alias("expense_day"))
+                            F.dayofmonth("expense_date").cast("long").alias("expense_day")).distinct()
     new = cand.join(present, [*by, "year", "month", "expense_name", "expense_day"], "left_anti")
     return _template_rows(new, by)
 
@@ -411,7 +402,7 @@ def apply_recurring_month(ledger: DataFrame, templates: DataFrame, year: int, mo
     cand = _first_templates(templates, by).withColumns({"year": F.lit(int(year)), "month": F.lit(int(month))})
     present = (ledger.where((F.col("year") == year) & (F.col("month") == month))
                .select(*by, "year", "month", "expense_name",
-                       F.dayofmonth("expense_date").cast("long").alias("expense_day")))
+                       F.dayofmonth("expense_date").cast("long").alias("expense_day")).distinct())
     new = cand.join(present, [*by, "year", "month", "expense_name", "expense_day"], "left_anti")
     return _template_rows(new, by)
 

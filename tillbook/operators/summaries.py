@@ -210,11 +210,13 @@ def dense_month_grid(facts: DataFrame, keys: Sequence[str], value: str = "value"
                      fill: float = 0.0) -> DataFrame:
     """Every (keys..., year) present gets all 12 months; missing cells ``fill``.
 
-    Facts are first folded to one row per (keys, year) holding a month map
-    (at most 12 entries), then expanded by the fixed 12-month sequence: a
+    Cells are first summed per (keys, year, month) (map-side combine, so a
+    hot key holds at most 12 cells), folded to one row per (keys, year)
+    holding a month map, then expanded by the fixed 12-month sequence: a
     bounded explode, not a join against a month table.
     """
-    folded = (facts.groupBy(*keys, "year")
+    cells = facts.groupBy(*keys, "year", "month").agg(F.sum(value).alias(value))
+    folded = (cells.groupBy(*keys, "year")
               .agg(F.map_from_entries(F.collect_list(F.struct("month", value))).alias("_cells")))
     return (folded
             .select(*keys, "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), "_cells")
