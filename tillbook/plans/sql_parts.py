@@ -132,7 +132,7 @@ prices_f AS (
   SELECT 'Part#' || CAST(m.l_partkey AS VARCHAR) AS asset_name, m.year, m.month, p.p_retailprice AS price
   FROM (SELECT DISTINCT l_partkey, CAST(year(l_shipdate) AS INTEGER) AS year,
                CAST(month(l_shipdate) AS INTEGER) AS month FROM lineitem) m
-  JOIN part p ON m.l_partkey = p.p_partkey WHERE p.p_partkey % 7 <> 0),
+  JOIN part p ON m.l_partkey = p.p_partkey WHERE p.p_size >= 5),
 pos AS (
   SELECT h.*, f.price,
          CAST({money('h.quantity', 4)} * {money('f.price', 4)} AS DECIMAL(38,4)) AS value_dec

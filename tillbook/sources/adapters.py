@@ -123,13 +123,13 @@ def holdings(t: Tables) -> DataFrame:
 def prices(t: Tables) -> DataFrame:
     """Prices: the part's retail price for every month its asset is held.
 
-    Parts whose key is a multiple of 7 get no price rows, so that positions
-    with a missing price (valued null) occur in the data.
+    Small parts (size below 5) have no quoted price, so positions with a
+    missing price (valued null) occur in the data.
     """
     # The months an asset is held: the holdings' own keys (same plan, so
     # Spark reuses the holdings aggregation instead of scanning twice).
     months = _held(t).select("l_partkey", "year", "month")
-    pt = t.part.select("p_partkey", "p_retailprice").where(F.pmod("p_partkey", F.lit(7)) != 0)
+    pt = t.part.select("p_partkey", "p_retailprice").where(F.col("p_size") >= 5)
     return (months.join(pt, months.l_partkey == pt.p_partkey)
             .select(asset_name_of_part("l_partkey").alias("asset_name"), "year", "month",
                     F.col("p_retailprice").alias("price")))
