@@ -112,3 +112,10 @@ def test_dense_month_grid(spark):
     g = S.dense_month_grid(f, ["name"])
     vals = {r.month: r.value for r in g.collect()}
     assert len(vals) == 12 and vals[3] == 5.0 and vals[1] == 0.0
+
+
+def test_merge_month_matches_recompute(spark, micro_ledger):
+    stored = S.summary_wide(micro_ledger.where("month = 1"), "primary")
+    months = spark.createDataFrame([(2026, 2)], "year int, month int")
+    merged = S.merge_months_into_wide(stored, micro_ledger, months, "primary")
+    assert rows_of(merged) == rows_of(S.summary_wide(micro_ledger, "primary"))

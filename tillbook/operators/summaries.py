@@ -223,3 +223,35 @@ def dense_month_grid(facts: DataFrame, keys: Sequence[str], value: str = "value"
             .select(*keys, "year", "month",
                     F.coalesce(F.try_element_at("_cells", F.col("month")),
                                F.lit(fill).cast("double")).alias(value)))
+
+
+def merge_months_into_wide(wide: DataFrame, ledger: DataFrame, months: DataFrame, kind: str = "primary",
+                           by: Sequence[str] = (), order: Sequence[str] = PRIMARY_DISPLAY_ORDER) -> DataFrame:
+    """Refresh some month columns of a stored wide summary from the ledger.
+
+    The application's incremental update: the chosen (year, month) columns
+    are recomputed from those months' ledger rows, every other recorded
+    month is kept, categories new to the year get 0.0 in its other recorded
+    months, null and ``Total`` categories drop out and the Total row is
+    rebuilt.  Expressed with the batch operators: the stored table is
+    unpivoted to cells (its Total row only marks recorded months), the
+    chosen months' cells are replaced by fresh ones, and the same one-pass
+    summary step and explicit-value pivot produce the new wide table.
+    ``months``: ``(by..., year, month)``.
+    """
+    cat = category_column(kind)
+    target = months.select(*by, "year", "month").distinct()
+    stored = (to_long(wide.select(*by, "year", cat, *MONTH_COLUMNS), [*by, "year", cat], value="amount")
+              .where(F.col("amount").isNotNull())
+              .join(target, [*by, "year", "month"], "left_anti"))
+    old_cells = stored.select(
+        *by, F.lit(kind).alias("kind"),
+        F.when(F.col(cat) != TOTAL_LABEL, F.col(cat)).alias("category"), "year", "month",
+        F.when(F.col(cat) != TOTAL_LABEL, cents("amount")).otherwise(F.lit(0).cast("long")).alias("amt"))
+    fresh = _stack_kinds(ledger.join(target, [*by, "year", "month"], "left_semi"), [kind], by)
+    merged = summaries_from_stacked(old_cells.unionByName(fresh.select(*old_cells.columns)), [kind], by)
+    long_df = merged.select(*by, F.col("category").alias(cat), "year", "month", "amount")
+    out = to_wide(long_df, [*by, "year", cat])
+    rank = display_rank(F.col(cat), order) if kind == "primary" else \
+        F.when(F.col(cat) == TOTAL_LABEL, F.lit(0)).cast("int")
+    return out.select(*by, "year", cat, rank.alias("display_rank"), *MONTH_COLUMNS)

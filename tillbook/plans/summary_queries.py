@@ -96,3 +96,17 @@ def category_totals_all_years(spark, sf_dir):
 
 
 __all__ = ["MONTH_COLUMNS", "F"]
+
+
+@register("merge_month", f"""
+WITH {Q.LEDGER}, {Q.summaries_long(kinds=('primary',))}
+SELECT year, category AS primary_category, {Q.display_rank('category')} AS display_rank,
+       {Q.wide_months()}
+FROM summary GROUP BY year, category""")
+def merge_month(spark, sf_dir):
+    """A stored wide summary built without December, then December of
+    every year merged in from the ledger, equals the full summary."""
+    led = ledger(Tables(spark, sf_dir))
+    stored = S.summary_wide(led.where(F.col("month") != 12), "primary")
+    december = led.where(F.col("month") == 12).select("year", "month").distinct()
+    return S.merge_months_into_wide(stored, led, december, "primary")

@@ -137,8 +137,14 @@ def legacy_expense_id(year, month, row) -> F.Column:
 
 def _layout_writer(root: str, group_cols: list[str], folder_of, cols: list[str]):
     """A ``mapInPandas`` function writing each task's rows into one part file
-    per group folder.  Uses the Arrow filesystem of ``root`` (local, HDFS,
-    object stores), so it works against the cluster's shared folder."""
+    per group folder.
+
+    Retry-safe: a part file is named by the task's partition id and written
+    under a temporary name, then renamed into place when the task's input is
+    exhausted, so a retried or speculative attempt replaces the same file
+    instead of adding a duplicate.  Uses the Arrow filesystem of ``root``
+    (local, HDFS, object stores), so it works against the shared folder.
+    """
     def write(batches: Iterable) -> Iterable:
         import uuid
 
@@ -146,26 +152,31 @@ def _layout_writer(root: str, group_cols: list[str], folder_of, cols: list[str])
         import pyarrow as pa
         import pyarrow.parquet as pq
         from pyarrow import fs as pafs
+        from pyspark import TaskContext
         filesystem, base = pafs.FileSystem.from_uri(root) if "://" in root else \
             (pafs.LocalFileSystem(), os.path.abspath(root))
+        part_id = TaskContext.get().partitionId()
+        attempt = uuid.uuid4().hex[:8]
         writers: dict = {}
         counts: dict = {}
-        tag = uuid.uuid4().hex
         try:
             for pdf in batches:
                 for key, part in pdf.groupby(group_cols, sort=False):
                     key = key if isinstance(key, tuple) else (key,)
                     folder = f"{base}/{folder_of(*key)}"
-                    path = f"{folder}/part-{tag}.parquet"
+                    final = f"{folder}/part-{part_id:05d}.parquet"
                     table = pa.Table.from_pandas(part[cols], preserve_index=False)
-                    if path not in writers:
+                    if final not in writers:
                         filesystem.create_dir(folder, recursive=True)
-                        writers[path] = pq.ParquetWriter(path, table.schema, filesystem=filesystem)
-                    writers[path].write_table(table)
-                    counts[path] = counts.get(path, 0) + len(part)
+                        tmp = f"{folder}/.part-{part_id:05d}.{attempt}.tmp"
+                        writers[final] = (tmp, pq.ParquetWriter(tmp, table.schema, filesystem=filesystem))
+                    writers[final][1].write_table(table)
+                    counts[final] = counts.get(final, 0) + len(part)
         finally:
-            for w in writers.values():
+            for _, w in writers.values():
                 w.close()
+        for final, (tmp, _) in writers.items():
+            filesystem.move(tmp, final)
         yield pd.DataFrame({"path": list(counts), "rows": list(counts.values())})
     return write
 

@@ -33,27 +33,55 @@ def running_cells(ledger_stream: DataFrame, kinds: Sequence[str] = KINDS,
 
 
 class CellTable:
-    """Versioned Parquet table of running cells; each batch writes a new version."""
+    """Versioned Parquet table of running cells, one version per micro-batch.
+
+    Version ``v<epoch+1>`` holds the state after epoch ``epoch``; it is
+    written from the previous committed version and the batch, with
+    overwrite.  A replayed epoch (after a failure) rewrites the same version
+    from the same inputs, so the sink is idempotent, and a restarted driver
+    finds the latest committed version by listing the folder.
+    """
 
     def __init__(self, root: str, by: Sequence[str] = ()):
-        self.root, self.by, self.version = root, list(by), 0
+        self.root, self.by = root.rstrip("/"), list(by)
 
     def path(self, v: int) -> str:
-        return os.path.join(self.root, f"v{v:06d}")
+        return f"{self.root}/v{v:09d}"
+
+    def committed(self) -> list[int]:
+        from pyarrow import fs as pafs
+        filesystem, base = pafs.FileSystem.from_uri(self.root) if "://" in self.root else \
+            (pafs.LocalFileSystem(), os.path.abspath(self.root))
+        try:
+            infos = filesystem.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+        except FileNotFoundError:
+            return []
+        versions = []
+        for info in infos:
+            name = info.base_name
+            if info.type == pafs.FileType.Directory and name.startswith("v") and name[1:].isdigit():
+                if filesystem.get_file_info(f"{base}/{name}/_SUCCESS").type == pafs.FileType.File:
+                    versions.append(int(name[1:]))
+        return sorted(versions)
+
+    @property
+    def version(self) -> int:
+        done = self.committed()
+        return done[-1] if done else 0
 
     def merge(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         keys = [*self.by, *CELL_KEYS]
-        if self.version == 0:
+        prior = [v for v in self.committed() if v <= epoch_id]
+        if not prior:
             merged = batch
         else:
-            current = spark.read.parquet(self.path(self.version))
+            current = spark.read.parquet(self.path(prior[-1]))
             # Null categories are real groups: match them with null-safe equality.
             cond = [current[k].eqNullSafe(batch[k]) for k in keys]
             kept = current.join(batch.select(*keys), cond, "left_anti")
             merged = kept.unionByName(batch)
-        merged.write.mode("overwrite").parquet(self.path(self.version + 1))
-        self.version += 1
+        merged.write.mode("overwrite").parquet(self.path(epoch_id + 1))
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path(self.version))
