@@ -80,3 +80,26 @@ def test_networth_evolution_and_allocation(spark):
     assert ev[(1, "Stocks/ETF")] == 3.02 and ev[(1, "Net Worth")] == 9.02
     al = {(r.month, r.slice): r.value for r in N.allocation(h, p, liq, c).collect()}
     assert al == {(1, "Stocks/ETF"): 3.02, (1, "Liquidity"): 10.0, (1, "Debts"): 4.0}
+
+
+def test_networth_changes_telescope(spark):
+    h = spark.createDataFrame([], HOLD)
+    p = spark.createDataFrame([], PRICE)
+    liq = spark.createDataFrame([("Bank", "Cash", "E", 2026, m, v) for m, v in
+                                 [(1, 100.0), (2, 150.0), (3, 130.0), (4, 400.0)]], LIQ)
+    c = spark.createDataFrame([], CRED)
+    t = {(r.month, r.row): r.value for r in N.networth_table(h, p, liq, c).collect()}
+    # Over a run of non-zero months the changes add up to last minus the month before the run.
+    assert sum(t[(m, "NW Change")] for m in range(1, 5)) == t[(4, "Net Worth")] - 0.0
+
+
+def test_networth_by_ledger(spark):
+    h = spark.createDataFrame([], HOLD + ", lid int")
+    p = spark.createDataFrame([], PRICE + ", lid int")
+    liq = spark.createDataFrame([("Bank", "Cash", "E", 2026, 1, 10.0, 1), ("Bank", "Cash", "E", 2025, 12, 5.0, 2)],
+                                LIQ + ", lid int")
+    c = spark.createDataFrame([], CRED + ", lid int")
+    t = {(r.lid, r.year, r.month, r.row): r.value
+         for r in N.networth_table(h, p, liq, c, by=["lid"]).collect()}
+    assert t[(1, 2026, 1, "NW Change")] == 10.0 and (1, 2025, 12, "Net Worth") not in t
+    assert t[(2, 2025, 12, "Net Worth")] == 5.0 and (2, 2026, 1, "Net Worth") not in t
