@@ -143,24 +143,24 @@ def test_add_remove_recurring(spark):
 
 
 def test_mappings_and_known_categories(spark):
-    m = spark.createDataFrame([("pam", "groceries", "supermarket")], MAP)
+    m = spark.createDataFrame([("pam", "groceries", "supermarket"), ("tv", "housing", "tv")], MAP)
     ch = spark.createDataFrame([
         (1, "add", " PAM ", "x", "y", False), (2, "add", "Zed\t", " Out ", "Bar", False),
         (3, "remove", "nope", None, None, False), (4, "add", "pam", "z", "w", True)],
         "seq long, op string, expense_name string, primary_category string, secondary_category string, "
         "overwrite boolean")
     out, bad = M.change_mappings(m, ch)
-    assert rows_of(out) == [("pam", "groceries", "supermarket"), ("zed", "out", "bar")]
+    assert rows_of(out) == [("pam", "groceries", "supermarket"), ("tv", "housing", "tv"), ("zed", "out", "bar")]
     assert sorted(r.reason for r in bad.collect()) == ["mapping exists; pass overwrite", "no mapping found",
                                                         "superseded in batch"]
     assert M.clear_mappings(m).count() == 0
-    known = spark.createDataFrame([("primary", "Fees")], "kind string, category string")
+    known = spark.createDataFrame([("primary", "Fees"), ("secondary", "Bank")], "kind string, category string")
     kc = spark.createDataFrame([(1, "add", "primary", "Fees"), (2, "add", "primary", "Gifts"),
                                 (3, "remove", "secondary", "Nope"), (4, "remove", "primary", "Fees")],
                                "seq long, op string, kind string, category string")
     out, bad = M.change_known_categories(known, kc)
     # One change per key per batch: the rejected add (seq 1) supersedes the remove.
-    assert rows_of(out) == [("primary", "Fees"), ("primary", "Gifts")]
+    assert rows_of(out) == [("primary", "Fees"), ("primary", "Gifts"), ("secondary", "Bank")]
     assert sorted(r.reason for r in bad.collect()) == ["category exists", "category not found",
                                                         "superseded in batch"]
 

@@ -430,6 +430,31 @@ def _template_rows(new: DataFrame, by: Sequence[str]) -> DataFrame:
 # Mappings and known categories
 # --------------------------------------------------------------------------
 
+def _apply_keyed(table: DataFrame, first: DataFrame, keys: Sequence[str], reason_of,
+                 added_cols: dict) -> tuple[DataFrame, DataFrame]:
+    """Apply one add/remove change per key with ONE full outer join.
+
+    ``reason_of(exists)`` gives the reject reason (null = accepted) from the
+    change columns and whether the key exists in ``table``.  Returns the new
+    table and the rejected changes; the table is read once.
+    """
+    j = (table.withColumn("_in", F.lit(True))
+         .join(first.withColumn("_chg", F.lit(True)), list(keys), "full"))
+    exists = F.coalesce(F.col("_in"), F.lit(False))
+    changed = F.coalesce(F.col("_chg"), F.lit(False))
+    j = j.withColumn("reason", F.when(changed, reason_of(exists)))
+    # Null-safe throughout: rows without a change have null change columns.
+    accepted = changed & F.col("reason").isNull()
+    replaces = accepted & F.coalesce(F.col("op").isin("add", "remove"), F.lit(False))
+    keep_old = F.coalesce(F.col("_in"), F.lit(False)) & ~replaces
+    add_new = accepted & F.coalesce(F.col("op") == "add", F.lit(False))
+    cols = [c for c in table.columns if c not in keys]
+    old = j.where(keep_old).select(*keys, *cols)
+    new = j.where(add_new).select(*keys, *[added_cols[c].alias(c) for c in cols])
+    rejects = j.where(changed & F.col("reason").isNotNull()).select(*first.columns, "reason")
+    return old.unionByName(new), rejects
+
+
 def change_mappings(mappings: DataFrame, changes: DataFrame,
                     by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """``(by..., seq, op, expense_name, primary_category,
@@ -440,23 +465,24 @@ def change_mappings(mappings: DataFrame, changes: DataFrame,
     An add of an existing key needs ``overwrite``; removing a missing key is
     a reject.
     """
-    ch = changes.withColumn("name_key", mapping_key("expense_name"))
+    ch = (changes.withColumn("name_key", mapping_key("expense_name"))
+          .withColumnRenamed("primary_category", "_pri").withColumnRenamed("secondary_category", "_sec"))
     first, superseded = _first_per_key(ch, [*by, "name_key"])
-    marked = _entity_exists(first, mappings, [*by, "name_key"])
-    reason = (F.when((F.col("op") == "add") & F.col("_exists")
-                     & ~F.coalesce(F.col("overwrite"), F.lit(False)),
-                     F.lit("mapping exists; pass overwrite"))
-              .when((F.col("op") == "remove") & ~F.col("_exists"), F.lit("no mapping found"))
-              .when(~F.col("op").isin("add", "remove"), F.lit("unknown op")))
-    ok, bad = _split(marked, reason)
-    ok, bad = ok.drop("_exists"), bad.drop("_exists")
-    touched = ok.select(*by, "name_key")
-    kept = mappings.join(touched, [*by, "name_key"], "left_anti")
-    added = ok.where(F.col("op") == "add").select(
-        *by, "name_key",
-        F.lower(F.trim(F.coalesce("primary_category", F.lit("")))).alias("primary_category"),
-        F.lower(F.trim(F.coalesce("secondary_category", F.lit("")))).alias("secondary_category"))
-    return kept.unionByName(added), bad.drop("name_key").unionByName(superseded.drop("name_key"))
+
+    def reason_of(exists):
+        return (F.when(~F.col("op").isin("add", "remove"), F.lit("unknown op"))
+                .when((F.col("op") == "add") & exists & ~F.coalesce(F.col("overwrite"), F.lit(False)),
+                      F.lit("mapping exists; pass overwrite"))
+                .when((F.col("op") == "remove") & ~exists, F.lit("no mapping found")))
+
+    added = {"primary_category": F.lower(F.trim(F.coalesce("_pri", F.lit("")))),
+             "secondary_category": F.lower(F.trim(F.coalesce("_sec", F.lit(""))))}
+    out, bad = _apply_keyed(mappings, first, [*by, "name_key"], reason_of, added)
+    rename = {"_pri": "primary_category", "_sec": "secondary_category"}
+    bad = bad.unionByName(superseded).drop("name_key")
+    for k, v in rename.items():
+        bad = bad.withColumnRenamed(k, v)
+    return out, bad
 
 
 def clear_mappings(mappings: DataFrame) -> DataFrame:
@@ -471,16 +497,15 @@ def change_known_categories(known: DataFrame, changes: DataFrame,
     batch (the first by ``seq``)."""
     keys = [*by, "kind", "category"]
     first, superseded = _first_per_key(changes, keys)
-    marked = _entity_exists(first, known, keys)
-    reason = (F.when(~F.col("kind").isin("primary", "secondary"), F.lit("invalid kind"))
-              .when((F.col("op") == "add") & F.col("_exists"), F.lit("category exists"))
-              .when((F.col("op") == "remove") & ~F.col("_exists"), F.lit("category not found"))
-              .when(~F.col("op").isin("add", "remove"), F.lit("unknown op")))
-    ok, bad = _split(marked, reason)
-    ok, bad = ok.drop("_exists"), bad.drop("_exists")
-    kept = known.join(ok.where(F.col("op") == "remove").select(*keys), keys, "left_anti")
-    added = ok.where(F.col("op") == "add").select(*keys)
-    return kept.unionByName(added), bad.unionByName(superseded)
+
+    def reason_of(exists):
+        return (F.when(~F.col("kind").isin("primary", "secondary"), F.lit("invalid kind"))
+                .when(~F.col("op").isin("add", "remove"), F.lit("unknown op"))
+                .when((F.col("op") == "add") & exists, F.lit("category exists"))
+                .when((F.col("op") == "remove") & ~exists, F.lit("category not found")))
+
+    out, bad = _apply_keyed(known, first, keys, reason_of, {})
+    return out, bad.unionByName(superseded)
 
 
 def retire_categories(known: DataFrame, summary: DataFrame, totals: DataFrame, requests: DataFrame,
