@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 WRITES_FILES = {"legacy_layout_scan", "schema_upgrade", "year_table_scan", "json_sources",
-                "rebuild_partitions", "stream_summary"}
+                "rebuild_partitions", "stream_summary", "known_json_source"}
 
 
 def plan(df):

@@ -77,6 +77,21 @@ def json_sources(spark, sf_dir):
     return IO.read_mappings_json(spark, root).drop("source")
 
 
+@register("known_json_source", """
+SELECT r_name, 'primary' AS kind, n_name AS category
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def known_json_source(spark, sf_dir):
+    """One known-categories JSON object per region ledger (no
+    "secondary" key, which reads as an empty list), written and read back."""
+    t = A.Tables(spark, sf_dir)
+    root = scratch_dir(spark, "known-json")
+    docs = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+            .groupBy("r_name")
+            .agg(F.to_json(F.struct(F.array_sort(F.collect_list("n_name")).alias("primary"))).alias("value")))
+    docs.write.partitionBy("r_name").text(root)
+    return IO.read_known_categories_json(spark, root).drop("source")
+
+
 @register("years", f"""
 WITH {Q.LEDGER}
 SELECT DISTINCT year FROM ledger UNION SELECT CAST(year(current_date) AS INTEGER)""")

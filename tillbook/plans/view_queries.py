@@ -60,7 +60,10 @@ SELECT o_orderkey, concat_ws('-', CAST(y AS VARCHAR), lpad(CAST(m AS VARCHAR), 2
        CAST(day(o_orderdate) AS INTEGER) AS dom,
        CAST(round_even(o_totalprice, 0) AS BIGINT) AS whole, round_even(o_totalprice, 2) AS cents,
        TRY_CAST(printf('%04d-%02d-%02d', y, m, 31) AS DATE) AS day31,
-       CASE WHEN o_custkey <> 0 THEN CAST(100.0 AS DOUBLE) * o_totalprice / o_custkey ELSE 0.0 END AS pct
+       CASE WHEN o_custkey <> 0 THEN CAST(100.0 AS DOUBLE) * o_totalprice / o_custkey ELSE 0.0 END AS pct,
+       COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END, 0.0) AS filled,
+       CASE WHEN o_totalprice IS NOT NULL AND o_totalprice <> 0 THEN format('{:,.2f}', o_totalprice)
+            ELSE '' END AS amount_text
 FROM (SELECT *, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m
       FROM orders) o""")
 def scalar_functions(spark, sf_dir):
@@ -72,7 +75,9 @@ def scalar_functions(spark, sf_dir):
         X.month_abbr("m").alias("abbr"), X.month_name("m").alias("mname"),
         X.day_of_month(d).alias("dom"), X.round_whole("o_totalprice").alias("whole"),
         X.round2("o_totalprice").alias("cents"), X.safe_date("y", "m", F.lit(31)).alias("day31"),
-        X.guarded_pct("o_totalprice", "o_custkey").alias("pct"))
+        X.guarded_pct("o_totalprice", "o_custkey").alias("pct"),
+        X.fill_zero(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))).alias("filled"),
+        X.fmt_amount("o_totalprice").alias("amount_text"))
 
 
 @register("resolve_categories", f"""
