@@ -276,7 +276,13 @@ def read_known_categories_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mappings_to_json(mappings: DataFrame, by: Sequence[str]) -> DataFrame:
-    """S8 writer side: one JSON object text per ledger (``by``), keys sorted."""
+    """S8 writer side: one JSON object text per ledger (``by``), keys sorted.
+
+    A JSON object is one file's whole text, so each ledger's mappings form
+    one group; ``by`` is required so the table is never gathered whole.
+    """
+    if not by:
+        raise ValueError("mappings_to_json needs `by`: one JSON object per ledger")
     entry = F.struct(F.col("name_key").alias("key"),
                      F.struct("primary_category", "secondary_category").alias("value"))
     return (mappings.groupBy(*by)

@@ -4,8 +4,8 @@ A Structured Streaming job folds arriving ledger rows into running exact
 totals (cents) per (by, kind, category, year, month) -- state is bounded by
 categories x months, not by rows.  Any date may arrive late, so there is no
 watermark.  Each micro-batch (``update`` mode) carries the new totals of the
-groups it touched; ``foreachBatch`` merges them into a versioned Parquet
-table in the shared checkpoint folder (replace by key).  The dense summary
+groups it touched; ``foreachBatch`` appends them to a cell log in the shared
+checkpoint folder, and readers keep the latest total per cell.  The dense summary
 with Total rows is then the ordinary batch operator over those cells, so the
 streamed result equals the batch result over everything received.
 """
@@ -33,58 +33,39 @@ def running_cells(ledger_stream: DataFrame, kinds: Sequence[str] = KINDS,
 
 
 class CellTable:
-    """Versioned Parquet table of running cells, one version per micro-batch.
-
-    Version ``v<epoch+1>`` holds the state after epoch ``epoch``; it is
-    written from the previous committed version and the batch, with
-    overwrite.  A replayed epoch (after a failure) rewrites the same version
-    from the same inputs, so the sink is idempotent, and a restarted driver
-    finds the latest committed version by listing the folder.
+    """Append-only log of running cells, one partition per micro-batch.
+
+    In ``update`` mode each micro-batch carries the *current* total of every
+    cell it touched, so the sink only appends those rows under
+    ``epoch=<id>``: the work per batch is proportional to the batch, not to
+    the state.  The partition is written with dynamic overwrite, so a
+    replayed epoch (after a failure) replaces itself instead of duplicating.
+    Readers take the latest total per cell (``max_by`` over the epoch, an
+    aggregation that combines map-side); ``compact`` folds the log into one
+    epoch when it grows long.
     """
 
     def __init__(self, root: str, by: Sequence[str] = ()):
         self.root, self.by = root.rstrip("/"), list(by)
 
-    def path(self, v: int) -> str:
-        return f"{self.root}/v{v:09d}"
-
-    def committed(self) -> list[int]:
-        from pyarrow import fs as pafs
-        filesystem, base = pafs.FileSystem.from_uri(self.root) if "://" in self.root else \
-            (pafs.LocalFileSystem(), os.path.abspath(self.root))
-        try:
-            infos = filesystem.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-        except FileNotFoundError:
-            return []
-        versions = []
-        for info in infos:
-            name = info.base_name
-            if info.type == pafs.FileType.Directory and name.startswith("v") and name[1:].isdigit():
-                if filesystem.get_file_info(f"{base}/{name}/_SUCCESS").type == pafs.FileType.File:
-                    versions.append(int(name[1:]))
-        return sorted(versions)
-
-    @property
-    def version(self) -> int:
-        done = self.committed()
-        return done[-1] if done else 0
-
     def merge(self, batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        keys = [*self.by, *CELL_KEYS]
-        prior = [v for v in self.committed() if v <= epoch_id]
-        if not prior:
-            merged = batch
-        else:
-            current = spark.read.parquet(self.path(prior[-1]))
-            # Null categories are real groups: match them with null-safe equality.
-            cond = [current[k].eqNullSafe(batch[k]) for k in keys]
-            kept = current.join(batch.select(*keys), cond, "left_anti")
-            merged = kept.unionByName(batch)
-        merged.write.mode("overwrite").parquet(self.path(epoch_id + 1))
+        (batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(self.root))
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path(self.version))
+        log = spark.read.parquet(self.root)
+        keys = [*self.by, *CELL_KEYS]
+        return (log.groupBy(*keys).agg(F.max_by("amt", "epoch").alias("amt"))
+                .select(*keys, "amt"))
+
+    def compact(self, spark: SparkSession, into_epoch: int) -> None:
+        """Rewrite the latest cells as one epoch partition (the caller then
+        removes the older partitions)."""
+        latest = self.read(spark)
+        staging = f"{self.root}-compact-{into_epoch}"
+        latest.write.mode("overwrite").parquet(staging)
+        CellTable(self.root, self.by).merge(spark.read.parquet(staging), into_epoch)
 
 
 def run_summary_stream(ledger_stream: DataFrame, root: str, kinds: Sequence[str] = KINDS,
