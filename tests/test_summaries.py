@@ -119,3 +119,14 @@ def test_merge_month_matches_recompute(spark, micro_ledger):
     months = spark.createDataFrame([(2026, 2)], "year int, month int")
     merged = S.merge_months_into_wide(stored, micro_ledger, months, "primary")
     assert rows_of(merged) == rows_of(S.summary_wide(micro_ledger, "primary"))
+
+
+def test_prune_zero_in_core(spark):
+    led = spark.createDataFrame(
+        [(1, "a", None, 0.0, "E", 0.0, "Zero", "x", 2026, 1), (2, "b", None, 5.0, "E", 5.0, "Some", "y", 2026, 2)],
+        "expense_id long, expense_name string, expense_date date, expense_amount double, currency string, "
+        "expense_in_ref_currency double, primary_category string, secondary_category string, year int, month int")
+    got = {r.primary_category for r in S.summary_long(led, "primary", prune_zero=True).collect()}
+    assert got == {"Some", "Total"}
+    window_version = S.prune_zero_categories(S.summary_long(led, "primary"), "primary_category")
+    assert rows_of(window_version) == rows_of(S.summary_long(led, "primary", prune_zero=True))

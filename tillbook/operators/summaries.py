@@ -65,17 +65,17 @@ def summaries_long(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence
     return summaries_from_stacked(_stack_kinds(ledger, kinds, by), kinds, by, months)
 
 
-def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = (),
-                           months: DataFrame | None = None) -> DataFrame:
-    """The summary from ``(by..., kind, category, year, month, amt)`` rows,
-    where ``amt`` is an amount in cents (long): raw ledger rows or any pre-aggregated
-    cells of them (sums compose), such as a stream's running totals.
+def _summary_core(stacked: DataFrame, kinds: Sequence[str], by: Sequence[str],
+                  months: DataFrame | None) -> DataFrame:
+    """The shared core: one row per (by, kind, year, category-or-Total) with
+    twelve month cells in cents -- 0 for recorded gaps, null for months the
+    year did not record.
 
     Plan: ONE aggregation over the input (GROUPING SETS of (year, category)
     and (year) with twelve month-masked sums, so partial aggregation folds a
     year's rows map-side), then one window per (ledger, kind, year) over the
-    few aggregated rows to learn the recorded months, then a bounded 12-way
-    expansion.  The input is scanned once.
+    few aggregated rows to learn the recorded months.  The input is scanned
+    once.
     """
     keys = [*by, "kind", "year"]
     if months is not None:
@@ -97,22 +97,50 @@ def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by:
     w = Window.partitionBy(*keys)
     agg = agg.withColumn("_rec", F.max(F.when(F.col("_total") == 1, flags)).over(w))
     total = F.col("_total") == 1
-    cells = F.array(*[F.struct(F.lit(m).alias("month"),
-                               F.coalesce(F.col(f"_m{m}"), zero).alias("amount"),
-                               F.col("_rec")[m - 1].alias("_r")) for m in MONTHS])
-    rows = (agg.where(total | keep)
+    return (agg.where(total | keep)
             .select(*keys, F.when(total, F.lit(TOTAL_LABEL)).otherwise(cat).alias("category"),
-                    F.inline(F.filter(cells, lambda e: e["_r"]))))
+                    *[F.when(F.col("_rec")[m - 1], F.coalesce(F.col(f"_m{m}"), zero)).alias(f"_m{m}")
+                      for m in MONTHS]))
+
+
+def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = (),
+                           months: DataFrame | None = None, prune_zero: bool = False) -> DataFrame:
+    """The summary from ``(by..., kind, category, year, month, amt)`` rows,
+    where ``amt`` is an amount in cents (long): raw ledger rows or any
+    pre-aggregated cells of them (sums compose), such as a stream's running
+    totals.  Long output: the core's recorded months, one row each.
+
+    ``prune_zero`` (P7 / C11) drops categories that are 0 in every month of
+    the year, keeping Total: in the core that is a row predicate.
+    """
+    core = _summary_core(stacked, kinds, by, months)
+    if prune_zero:
+        nonzero = F.lit(False)
+        for m in MONTHS:
+            nonzero = nonzero | F.coalesce(F.col(f"_m{m}") != 0, F.lit(False))
+        core = core.where(nonzero | (F.col("category") == TOTAL_LABEL))
+    cells = F.array(*[F.struct(F.lit(m).alias("month"), F.col(f"_m{m}").alias("amount")) for m in MONTHS])
+    rows = core.select(*by, "kind", "category", "year",
+                       F.inline(F.filter(cells, lambda e: e["amount"].isNotNull())))
     return rows.select(*by, "kind", "category", F.col("year").cast("int").alias("year"),
                        F.col("month").cast("int").alias("month"),
                        from_cents("amount").alias("amount"))
 
 
+def summaries_wide_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS,
+                                by: Sequence[str] = (), months: DataFrame | None = None) -> DataFrame:
+    """R1 straight from the core: ``(by..., kind, year, category, 01..12)``,
+    unrecorded months null.  No explode and no second aggregation."""
+    core = _summary_core(stacked, kinds, by, months)
+    return core.select(*by, "kind", F.col("year").cast("int").alias("year"), "category",
+                       *[from_cents(f"_m{m}").alias(c) for m, c in zip(MONTHS, MONTH_COLUMNS)])
+
+
 def summary_long(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = (),
-                 months: DataFrame | None = None) -> DataFrame:
+                 months: DataFrame | None = None, prune_zero: bool = False) -> DataFrame:
     """A2 + A3 for one kind: ``(by..., <kind>_category, year, month, amount)``."""
     cat = category_column(kind)
-    return (summaries_long(ledger, [kind], by, months)
+    return (summaries_from_stacked(_stack_kinds(ledger, [kind], by), [kind], by, months, prune_zero)
             .select(*by, F.col("category").alias(cat), "year", "month", "amount"))
 
 
@@ -155,10 +183,14 @@ def summary_wide(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = (
     Columns ``by..., year, <kind>_category, display_rank, 01..12``; for
     primary, ``display_rank`` orders rows as the application shows them
     (listed, Total, unlisted).  Secondary rows sort by name (rank null).
+    Built from the summary core's month columns: one aggregation, no pivot.
     """
     cat = category_column(kind)
-    long_df = summary_long(ledger, kind, by)
-    wide = to_wide(long_df, [*by, "year", cat])
+    wide = summaries_wide_from_stacked(_stack_kinds(ledger, [kind], by), [kind], by)
+    return _with_rank(wide.withColumnRenamed("category", cat), kind, cat, by, order)
+
+
+def _with_rank(wide: DataFrame, kind: str, cat: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     rank = display_rank(F.col(cat), order) if kind == "primary" else \
         F.when(F.col(cat) == TOTAL_LABEL, F.lit(0)).cast("int")
     return wide.select(*by, "year", cat, rank.alias("display_rank"), *MONTH_COLUMNS)
@@ -249,9 +281,5 @@ def merge_months_into_wide(wide: DataFrame, ledger: DataFrame, months: DataFrame
         F.when(F.col(cat) != TOTAL_LABEL, F.col(cat)).alias("category"), "year", "month",
         F.when(F.col(cat) != TOTAL_LABEL, cents("amount")).otherwise(F.lit(0).cast("long")).alias("amt"))
     fresh = _stack_kinds(ledger.join(target, [*by, "year", "month"], "left_semi"), [kind], by)
-    merged = summaries_from_stacked(old_cells.unionByName(fresh.select(*old_cells.columns)), [kind], by)
-    long_df = merged.select(*by, F.col("category").alias(cat), "year", "month", "amount")
-    out = to_wide(long_df, [*by, "year", cat])
-    rank = display_rank(F.col(cat), order) if kind == "primary" else \
-        F.when(F.col(cat) == TOTAL_LABEL, F.lit(0)).cast("int")
-    return out.select(*by, "year", cat, rank.alias("display_rank"), *MONTH_COLUMNS)
+    merged = summaries_wide_from_stacked(old_cells.unionByName(fresh.select(*old_cells.columns)), [kind], by)
+    return _with_rank(merged.withColumnRenamed("category", cat), kind, cat, by, order)

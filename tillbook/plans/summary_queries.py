@@ -82,8 +82,7 @@ keep AS (SELECT year, category FROM summary GROUP BY year, category
 SELECT s.category AS primary_category, s.year, s.month, s.amount
 FROM summary s JOIN keep k ON s.year = k.year AND s.category = k.category""")
 def summary_pruned(spark, sf_dir):
-    long_df = S.summary_long(ledger(Tables(spark, sf_dir)), "primary")
-    return S.prune_zero_categories(long_df, "primary_category")
+    return S.summary_long(ledger(Tables(spark, sf_dir)), "primary", prune_zero=True)
 
 
 @register("category_totals_all_years", f"""
