@@ -89,6 +89,8 @@ def test_category_totals_all_years(micro_ledger):
 def test_year_and_month_share(micro_ledger):
     ys = R.year_share(S.summary_long(micro_ledger, "primary"))
     assert {r.category: r.value for r in ys.collect()} == {"Housing": 800, "Groceries": 100, "Custom": 10}
+    yw = R.year_share_wide(S.summary_wide(micro_ledger, "primary"))
+    assert rows_of(yw) == rows_of(ys)
     ys2 = R.year_share(S.summary_long(micro_ledger, "secondary"), "secondary")
     assert {r.category: r.value for r in ys2.collect()} == {"Rent": 800, "Supermarket": 100}
     ms = R.month_share(micro_ledger).where("month = 2")

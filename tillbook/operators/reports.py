@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.domains import MAX_SELECTION, TOTAL_LABEL, category_column
-from tillbook.functions.scalars import cents_sum, from_cents, month_abbr, round_whole
+from tillbook.domains import MAX_SELECTION, MONTH_COLUMNS, TOTAL_LABEL, category_column
+from tillbook.functions.scalars import cents, cents_sum, from_cents, month_abbr, round_whole
 from tillbook.operators.summaries import month_spend
 
 
@@ -63,6 +63,18 @@ def year_share(summary: DataFrame, kind: str = "primary", by: Sequence[str] = ()
             .select(*by, "year", F.col(cat).alias("category"), round_whole("_t").alias("value")))
 
 
+def year_share_wide(wide: DataFrame, kind: str = "primary", by: Sequence[str] = ()) -> DataFrame:
+    """C3 from the wide summary (``summary_wide``): the year total is a row
+    sum of the twelve month cells in exact cents -- no aggregation."""
+    cat = category_column(kind)
+    total = F.lit(0).cast("long")
+    for c in MONTH_COLUMNS:
+        total = total + F.coalesce(cents(c), F.lit(0).cast("long"))
+    return (wide.where((F.col(cat) != TOTAL_LABEL) & (F.col(cat) != ""))
+            .withColumn("_t", from_cents(total)).where(F.col("_t") > 0)
+            .select(*by, "year", F.col(cat).alias("category"), round_whole("_t").alias("value")))
+
+
 def month_share(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = ()) -> DataFrame:
     """Each month's spend per category straight from the ledger; only
     non-blank categories with a positive total, as whole numbers."""

@@ -159,8 +159,7 @@ SELECT year, category, CAST(round_even(CAST(SUM({Q.money('amount')}) AS DOUBLE),
 FROM summary WHERE category <> 'Total' AND category <> ''
 GROUP BY year, category HAVING SUM({Q.money('amount')}) > 0""")
 def year_share(spark, sf_dir):
-    s = S.summary_long(A.ledger(A.Tables(spark, sf_dir)), "primary")
-    return R.year_share(s)
+    return R.year_share_wide(S.summary_wide(A.ledger(A.Tables(spark, sf_dir)), "primary"))
 
 
 @register("month_share", f"""
