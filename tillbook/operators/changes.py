@@ -307,7 +307,8 @@ def remove_entities(table: DataFrame, removes: DataFrame, name_col: str,
 
 def rename_entities(table: DataFrame, renames: DataFrame, name_col: str,
                     by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """M7: rename ``(by..., seq, year, old_name, new_name)``.
+    """M7: rename ``(by..., seq, year, old_name, new_name)``; ``seq`` is
+    unique within the batch.
 
     The old name must exist; the new one must be free unless equal.  Checks
     run against the table before the batch; one rename per old name and per
@@ -315,14 +316,17 @@ def rename_entities(table: DataFrame, renames: DataFrame, name_col: str,
     table of the entity (holdings and prices together) with ``apply_renames``.
     """
     yk = [*by, "year"]
-    names = table.select(*yk, F.col(name_col).alias("_n")).distinct()
-    r = (renames
-         .join(names.select(*yk, F.col("_n").alias("old_name"), F.lit(True).alias("_old_ok")),
-               [*yk, "old_name"], "left")
-         .join(names.select(*yk, F.col("_n").alias("new_name"), F.lit(True).alias("_new_taken")),
-               [*yk, "new_name"], "left")
-         .select(*renames.columns, F.coalesce("_old_ok", F.lit(False)).alias("_old_ok"),
-                 F.coalesce("_new_taken", F.lit(False)).alias("_new_taken")))
+    names = table.select(*yk, F.col(name_col).alias("_n")).distinct().withColumn("_hit", F.lit(True))
+    # Each rename probes its old and its new name in ONE join with the names.
+    probes = renames.select(*yk, "seq", F.inline(F.array(
+        F.struct(F.lit("old").alias("_role"), F.col("old_name").alias("_n")),
+        F.struct(F.lit("new").alias("_role"), F.col("new_name").alias("_n")))))
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    flags = (probes.join(names, [*yk, "_n"], "left")
+             .groupBy(*yk, "seq")
+             .agg(F.max(F.when(F.col("_role") == "old", hit)).alias("_old_ok"),
+                  F.max(F.when(F.col("_role") == "new", hit)).alias("_new_taken")))
+    r = renames.join(flags, [*yk, "seq"], "left")
     reason = (F.when(~F.col("_old_ok"), F.lit("not found"))
               .when(F.col("_new_taken") & (F.col("new_name") != F.col("old_name")),
                     F.lit("already exists")))
