@@ -129,8 +129,8 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
     Plan (the batch is small, the ledger is not):
       1. last edit per id (aggregation), joined to the ledger's ids only
          (column-pruned) to find each row's month, or that it is unknown;
-      2. dates and categories are resolved on those few rows; the month
-         spellings are aggregated only for months that have edits;
+      2. dates and categories are resolved on those few rows against the
+         month spellings (one aggregation over the category columns);
       3. ONE left join applies them to the ledger.  Spark broadcasts the
          resolved edits when they pass its size check, so the ledger is not
          shuffled, and rows without an edit never meet a null join key.
@@ -148,8 +148,10 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
         "_bad", F.col("expense_date").isNotNull() & F.col("_date").isNull())
     bad_rows = info.where("_bad").select(*edits.columns).withColumn("reason", F.lit("invalid date"))
     good = info.where(~F.col("_bad"))
-    # Spellings already used in the edited months, both category columns at once.
-    stacked = (ledger.join(good.select(*month_keys).distinct(), month_keys, "left_semi")
+    # Spellings already used per month, both category columns at once (a
+    # column-pruned scan whose partial aggregation shrinks it to months x
+    # categories; the batch lineage is not evaluated twice).
+    stacked = (ledger
                .select(*month_keys, F.inline(F.array(
                    F.struct(F.lit("primary_category").alias("_kind"), F.col("primary_category").alias("_c")),
                    F.struct(F.lit("secondary_category").alias("_kind"),
