@@ -132,3 +132,12 @@ def test_prune_zero_in_core(spark):
     assert got == {"Some", "Total"}
     window_version = S.prune_zero_categories(S.summary_long(led, "primary"), "primary_category")
     assert rows_of(window_version) == rows_of(S.summary_long(led, "primary", prune_zero=True))
+
+
+def test_kept_categories_get_zero_rows(spark, micro_ledger):
+    cats = spark.createDataFrame([("primary", "Fees", 2026), ("primary", "Housing", 2026)],
+                                 "kind string, category string, year int")
+    s = S.summaries_long(micro_ledger, ["primary"], categories=cats)
+    got = wide(s.withColumnRenamed("category", "c"), "c")
+    assert got["Fees"] == {1: 0.0, 2: 0.0} and got["Housing"] == {1: 800.0, 2: 0.0}
+    assert got["Total"] == {1: 850.5, 2: 59.5}

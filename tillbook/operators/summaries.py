@@ -49,7 +49,7 @@ def _stack_kinds(ledger: DataFrame, kinds: Sequence[str], by: Sequence[str]) ->
 
 
 def summaries_long(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = (),
-                   months: DataFrame | None = None) -> DataFrame:
+                   months: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
     """A2 + A3 + A4: dense category x month summary with a Total row per month.
 
     Rules: null categories and any category literally named ``Total`` are
@@ -62,11 +62,12 @@ def summaries_long(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence
 
     Returns ``(by..., kind, category, year, month, amount)`` with amount double.
     """
-    return summaries_from_stacked(_stack_kinds(ledger, kinds, by), kinds, by, months)
+    return summaries_from_stacked(_stack_kinds(ledger, kinds, by), kinds, by, months,
+                                  categories=categories)
 
 
 def _summary_core(stacked: DataFrame, kinds: Sequence[str], by: Sequence[str],
-                  months: DataFrame | None) -> DataFrame:
+                  months: DataFrame | None, categories: DataFrame | None = None) -> DataFrame:
     """The shared core: one row per (by, kind, year, category-or-Total) with
     twelve month cells in cents -- 0 for recorded gaps, null for months the
     year did not record.
@@ -84,6 +85,13 @@ def _summary_core(stacked: DataFrame, kinds: Sequence[str], by: Sequence[str],
                  .withColumn("category", F.lit(None).cast("string"))
                  .withColumn("amt", F.lit(None).cast("long")))
         stacked = stacked.select(*by, "kind", "category", "year", "month", "amt").unionByName(extra)
+    if categories is not None:
+        # Q5: categories to keep (with 0.0) even without expenses; a row with
+        # no month joins the year's categories but records no month.
+        keep_rows = (categories.select(*by, "kind", "category", "year").distinct()
+                     .withColumn("month", F.lit(None).cast("int"))
+                     .withColumn("amt", F.lit(0).cast("long")))
+        stacked = stacked.select(*by, "kind", "category", "year", "month", "amt").unionByName(keep_rows)
     cat = F.col("category")
     keep = cat.isNotNull() & (cat != TOTAL_LABEL)
     zero = F.lit(0).cast("long")
@@ -104,7 +112,8 @@ def _summary_core(stacked: DataFrame, kinds: Sequence[str], by: Sequence[str],
 
 
 def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = (),
-                           months: DataFrame | None = None, prune_zero: bool = False) -> DataFrame:
+                           months: DataFrame | None = None, prune_zero: bool = False,
+                           categories: DataFrame | None = None) -> DataFrame:
     """The summary from ``(by..., kind, category, year, month, amt)`` rows,
     where ``amt`` is an amount in cents (long): raw ledger rows or any
     pre-aggregated cells of them (sums compose), such as a stream's running
@@ -112,8 +121,10 @@ def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by:
 
     ``prune_zero`` (P7 / C11) drops categories that are 0 in every month of
     the year, keeping Total: in the core that is a row predicate.
+    ``categories`` (``by..., kind, category, year``) keeps listed categories
+    with 0.0 in the year's recorded months even without expenses (Q5).
     """
-    core = _summary_core(stacked, kinds, by, months)
+    core = _summary_core(stacked, kinds, by, months, categories)
     if prune_zero:
         nonzero = F.lit(False)
         for m in MONTHS:
