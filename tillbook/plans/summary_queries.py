@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillbook.domains import MONTH_COLUMNS
 from tillbook.operators import summaries as S
 from tillbook.plans import sql_parts as Q
 from tillbook.plans.registry import register
@@ -94,8 +93,6 @@ def category_totals_all_years(spark, sf_dir):
     return S.category_totals(S.summaries_long(ledger(Tables(spark, sf_dir))))
 
 
-__all__ = ["MONTH_COLUMNS", "F"]
-
 
 @register("merge_month", f"""
 WITH {Q.LEDGER}, {Q.summaries_long(kinds=('primary',))}

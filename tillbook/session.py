@@ -7,7 +7,6 @@ brings its own session and only ``scratch_dir`` is used.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
