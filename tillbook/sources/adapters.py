@@ -186,3 +186,53 @@ def known_categories(t: Tables) -> DataFrame:
     typ = t.part.select(F.lit("primary").alias("kind"), normalize_category("p_type").alias("category"))
     sec = t.nation.select(F.lit("secondary").alias("kind"), F.col("n_name").alias("category"))
     return pri.unionByName(typ).unionByName(sec).distinct()
+
+
+# ---- One ledger per nation (multi-ledger jobs) -----------------------------------
+# Line items belong to their supplier's nation, orders to their customer's.
+
+def holdings_by_nation(t: Tables) -> DataFrame:
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", *_ym("l_shipdate"))
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("ledger_id"))
+    return (li.join(s, li.l_suppkey == s.s_suppkey)
+            .groupBy("ledger_id", "l_partkey", "year", "month")
+            .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
+            .select("ledger_id", asset_name_of_part("l_partkey").alias("asset_name"),
+                    _pick(F.col("l_partkey"), INVESTMENT_CATEGORIES).alias("category"),
+                    F.lit("").alias("link"), "year", "month", "quantity"))
+
+
+def prices_by_nation(t: Tables) -> DataFrame:
+    """Prices a nation ledger quotes: retail price for every month it holds the part."""
+    li = t.lineitem.select("l_partkey", "l_suppkey", *_ym("l_shipdate"))
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("ledger_id"))
+    held = li.join(s, li.l_suppkey == s.s_suppkey).select("ledger_id", "l_partkey", "year", "month").distinct()
+    pt = t.part.select("p_partkey", "p_retailprice").where(F.col("p_size") >= 5)
+    return (held.join(pt, held.l_partkey == pt.p_partkey)
+            .select("ledger_id", asset_name_of_part("l_partkey").alias("asset_name"), "year", "month",
+                    F.col("p_retailprice").alias("price")))
+
+
+def liquidity_by_nation(t: Tables) -> DataFrame:
+    c = t.customer.select("c_name", F.col("c_nationkey").alias("ledger_id"))
+    return liquidity(t).join(c, F.col("asset_name") == F.col("c_name")).drop("c_name")
+
+
+def credits_by_nation(t: Tables) -> DataFrame:
+    c = t.customer.select("c_name", F.col("c_nationkey").alias("ledger_id"))
+    return credits(t).join(c, F.col("name") == F.col("c_name")).drop("c_name")
+
+
+def ledger_by_nation(t: Tables) -> DataFrame:
+    led = ledger(t, with_ledger_id=True).withColumnRenamed("ledger_id", "_supp")
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("ledger_id"))
+    return led.join(s, led._supp == s.s_suppkey).drop("_supp", "s_suppkey")
+
+
+def income_by_nation(t: Tables) -> DataFrame:
+    o = t.orders.select("o_custkey", income_category_of_priority(F.col("o_orderpriority")).alias("category"),
+                        *_ym("o_orderdate"), "o_totalprice")
+    c = t.customer.select("c_custkey", F.col("c_nationkey").alias("ledger_id"))
+    return (o.join(c, o.o_custkey == c.c_custkey)
+            .groupBy("ledger_id", "category", "year", "month")
+            .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value")))
