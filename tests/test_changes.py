@@ -173,3 +173,11 @@ def test_retire_only_zero_totals(spark, micro_ledger):
     req = known
     k2, s2, bad = M.retire_categories(known, summary, totals, req)
     assert rows_of(k2) == [("primary", "Custom")] and bad.count() == 1
+
+
+def test_tied_seq_is_never_lost(spark):
+    inc = spark.createDataFrame([], "category string, year int, month int, value double")
+    ch = spark.createDataFrame([(1, 2026, 1, "Salary", 20.0), (1, 2026, 1, "Salary", 30.0)],
+                               "seq long, year int, month int, category string, value double")
+    out, bad = M.set_income(inc, ch)
+    assert out.count() == 1 and bad.count() == 1

@@ -8,8 +8,10 @@ wins for "set", the first one wins for "add" and "rename".
 
 Scale notes: "first/last per key" is an aggregation (``min_by`` /
 ``max_by``), which combines map-side, so a hot key never lands whole in one
-task; existence checks are ``left_semi`` / ``left_anti`` joins; new ids come
-from a scalar subquery (``max(id) + 1``), evaluated once by Spark.
+task.  Applying a batch reads the table once: one full outer join (cell
+updates, attributes, mappings, known categories) or one left join (edits),
+which also yields existence for the rejects.  New ids come from a scalar
+subquery (``max(id) + 1``), evaluated once by Spark.
 """
 
 from __future__ import annotations
@@ -25,10 +27,6 @@ from tillbook.functions.scalars import date_from_day_or_iso, mapping_key, normal
     safe_date, to_ref_currency
 from tillbook.operators.categories import resolve_categories
 
-LEDGER_OUT = ["expense_name", "expense_date", "expense_amount", "currency",
-              "expense_in_ref_currency", "primary_category", "secondary_category", "year", "month"]
-
-
 def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with a null ``reason`` are accepted; the others are rejects."""
     tagged = df.withColumn("reason", reason)
@@ -39,16 +37,15 @@ def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 def _first_per_key(df: DataFrame, keys: Sequence[str], order: str = "seq",
                    last: bool = False) -> tuple[DataFrame, DataFrame]:
     """Keep the first (or last) row per key by ``order``; the others are
-    returned as rejects ("superseded in batch")."""
+    returned as rejects ("superseded in batch").  Losers are told apart by
+    the whole row, so a tie on ``order`` never loses a change silently."""
     cols = [c for c in df.columns]
     pick = F.max_by if last else F.min_by
-    winners = (df.groupBy(*keys)
-               .agg(pick(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_w"))
-               .select("_w.*"))
-    losers = (df.join(winners.select(*keys, F.col(order).alias("_win")), list(keys))
-              .where(F.col(order) != F.col("_win")).drop("_win")
-              .withColumn("reason", F.lit("superseded in batch")))
-    return winners.select(*cols), losers.select(*cols, "reason")
+    row = F.struct(*[F.col(c) for c in cols])
+    won = df.groupBy(*keys).agg(pick(row, F.col(order)).alias("_w"))
+    losers = (df.join(won, list(keys)).where(~row.eqNullSafe(F.col("_w")))
+              .select(*cols).withColumn("reason", F.lit("superseded in batch")))
+    return won.select("_w.*").select(*cols), losers
 
 
 # --------------------------------------------------------------------------
