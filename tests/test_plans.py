@@ -31,3 +31,9 @@ def test_window_only_after_aggregation(spark):
     p = plan(df)
     w = p.index("Window")
     assert "HashAggregate" in p[w:]
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES_FILES))
+def test_no_cross_join(spark, name):
+    p = plan(entry.queries()[name](spark, SF))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
