@@ -181,3 +181,21 @@ def test_tied_seq_is_never_lost(spark):
                                "seq long, year int, month int, category string, value double")
     out, bad = M.set_income(inc, ch)
     assert out.count() == 1 and bad.count() == 1
+
+
+PRICE = "asset_name string, year int, month int, price double"
+
+
+def test_holdings_and_prices_move_together(spark):
+    h = holdings(spark)
+    p = spark.createDataFrame([("A", 2026, 1, 2.0), ("B", 2026, 1, 3.0)], PRICE)
+    adds = spark.createDataFrame([(1, 2026, "N", "Bonds", "")],
+                                 "seq long, year int, asset_name string, category string, link string")
+    h2, p2, bad = M.add_holdings(h, p, adds, valid=["Bonds"])
+    assert p2.where("asset_name = 'N'").count() == 12 and {r.price for r in p2.where("asset_name = 'N'").collect()} == {0.0}
+    rm = spark.createDataFrame([(2026, "B")], "year int, asset_name string")
+    h3, p3 = M.remove_holdings(h2, p2, rm)
+    assert h3.where("asset_name = 'B'").count() == 0 and p3.where("asset_name = 'B'").count() == 0
+    rn = spark.createDataFrame([(1, 2026, "A", "Z")], "seq long, year int, old_name string, new_name string")
+    h4, p4, bad = M.rename_holdings(h3, p3, rn)
+    assert {r.asset_name for r in p4.collect()} == {"Z", "N"} and "Z" in {r.asset_name for r in h4.collect()}

@@ -525,3 +525,32 @@ def retire_categories(known: DataFrame, summary: DataFrame, totals: DataFrame, r
     ok = ok.drop("_total").select(*keys)
     return (known.join(ok, keys, "left_anti"), summary.join(ok, keys, "left_anti"),
             bad.drop("_total"))
+
+
+# --------------------------------------------------------------------------
+# Holdings and prices move together (M5-M7)
+# --------------------------------------------------------------------------
+
+def add_holdings(holdings: DataFrame, prices: DataFrame, adds: DataFrame, valid: Sequence[str],
+                 by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M5 for investments: an accepted asset gets 12 zero quantities and 12
+    zero prices.  Returns (holdings', prices', rejects)."""
+    h2, added, bad = add_entities(holdings, adds, "asset_name", "quantity", valid=valid, by=by)
+    new_prices = added.select(*[F.col(c) for c in prices.columns if c != "price"],
+                              F.lit(0.0).alias("price")).select(*prices.columns)
+    return h2, prices.unionByName(new_prices), bad
+
+
+def remove_holdings(holdings: DataFrame, prices: DataFrame, removes: DataFrame,
+                    by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """M6 for investments: the asset leaves both tables."""
+    return (remove_entities(holdings, removes, "asset_name", by),
+            remove_entities(prices, removes, "asset_name", by))
+
+
+def rename_holdings(holdings: DataFrame, prices: DataFrame, renames: DataFrame,
+                    by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M7 for investments: checks run on the holdings; accepted renames apply
+    to holdings and prices alike.  Returns (holdings', prices', rejects)."""
+    ok, bad = rename_entities(holdings, renames, "asset_name", by)
+    return (apply_renames(holdings, ok, "asset_name", by), apply_renames(prices, ok, "asset_name", by), bad)

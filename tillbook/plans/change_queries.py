@@ -544,3 +544,32 @@ LEFT JOIN cd_f f ON f.name = k.name AND f.year = k.year AND f.month = t.m""")
 def dense_month_grid(spark, sf_dir):
     t = A.Tables(spark, sf_dir)
     return S.dense_month_grid(A.credits(t), ["name", "currency"], value="value")
+
+
+@register("rename_positions", f"""
+WITH {Q.HOLDINGS}, {PART_YEARS_SQL},
+rn AS (SELECT l_partkey AS seq, year, 'Part#' || CAST(l_partkey AS VARCHAR) AS old_name,
+              p_name || ' (' || p_brand || ')' AS new_name FROM pyp),
+names AS (SELECT DISTINCT year, asset_name FROM hold),
+v AS (SELECT rn.* FROM rn
+      WHERE EXISTS (SELECT 1 FROM names n WHERE n.year = rn.year AND n.asset_name = rn.old_name)
+        AND NOT (new_name <> old_name AND
+                 EXISTS (SELECT 1 FROM names n WHERE n.year = rn.year AND n.asset_name = rn.new_name))),
+a1 AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY year, old_name ORDER BY seq) = 1),
+a2 AS (SELECT * FROM a1 QUALIFY row_number() OVER (PARTITION BY year, new_name ORDER BY seq) = 1),
+h2 AS (SELECT COALESCE(a2.new_name, h.asset_name) AS asset_name, h.category, h.link, h.year, h.month,
+              h.quantity FROM hold h LEFT JOIN a2 ON a2.year = h.year AND a2.old_name = h.asset_name),
+p2 AS (SELECT COALESCE(a2.new_name, f.asset_name) AS asset_name, f.year, f.month, f.price
+       FROM prices_f f LEFT JOIN a2 ON a2.year = f.year AND a2.old_name = f.asset_name)
+SELECT h2.*, p2.price,
+       CAST(CAST({money('h2.quantity', 4)} * {money('p2.price', 4)} AS DECIMAL(38,4)) AS DOUBLE) AS value
+FROM h2 LEFT JOIN p2 ON p2.asset_name = h2.asset_name AND p2.year = h2.year AND p2.month = h2.month""")
+def rename_positions(spark, sf_dir):
+    """M7 with J4: holdings and prices renamed together, then valued."""
+    from tillbook.operators import networth as N
+    t = A.Tables(spark, sf_dir)
+    rn = _part_years(t).select(
+        F.col("l_partkey").alias("seq"), "year", A.asset_name_of_part("l_partkey").alias("old_name"),
+        F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("new_name"))
+    h, p, _ = M.rename_holdings(A.holdings(t), A.prices(t), rn)
+    return N.position_value(h, p).drop("value_dec")
