@@ -135,25 +135,29 @@ def prices(t: Tables) -> DataFrame:
                     F.col("p_retailprice").alias("price")))
 
 
-def liquidity(t: Tables) -> DataFrame:
-    """Liquidity balances: order totals per customer and month."""
+def liquidity(t: Tables, with_nation: bool = False) -> DataFrame:
+    """Liquidity balances: order totals per customer and month (optionally
+    with the customer's nation as ``ledger_id``)."""
     o = t.orders.select("o_custkey", "o_totalprice", *_ym("o_orderdate"))
-    c = t.customer.select("c_custkey", "c_name")
+    c = t.customer.select("c_custkey", "c_name", "c_nationkey")
     agg = (o.groupBy("o_custkey", "year", "month")
            .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value")))
+    led = [F.col("c_nationkey").alias("ledger_id")] if with_nation else []
     return (agg.join(c, agg.o_custkey == c.c_custkey)
-            .select(F.col("c_name").alias("asset_name"),
+            .select(*led, F.col("c_name").alias("asset_name"),
                     _pick(F.col("c_custkey"), LIQUIDITY_CATEGORIES).alias("category"),
                     F.lit(DEFAULT_CURRENCY).alias("currency"), "year", "month", "value"))
 
 
-def credits(t: Tables) -> DataFrame:
+def credits(t: Tables, with_nation: bool = False) -> DataFrame:
     """Credits/debts: the customer's account balance (either sign) once per
-    month in which the customer ordered."""
+    month in which the customer ordered (optionally with its nation as
+    ``ledger_id``)."""
     o = t.orders.select("o_custkey", *_ym("o_orderdate")).distinct()
-    c = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    c = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    led = [F.col("c_nationkey").alias("ledger_id")] if with_nation else []
     return (o.join(c, o.o_custkey == c.c_custkey)
-            .select(F.col("c_name").alias("name"), F.lit(DEFAULT_CURRENCY).alias("currency"),
+            .select(*led, F.col("c_name").alias("name"), F.lit(DEFAULT_CURRENCY).alias("currency"),
                     "year", "month", F.col("c_acctbal").alias("value")))
 
 
@@ -214,13 +218,11 @@ def prices_by_nation(t: Tables) -> DataFrame:
 
 
 def liquidity_by_nation(t: Tables) -> DataFrame:
-    c = t.customer.select("c_name", F.col("c_nationkey").alias("ledger_id"))
-    return liquidity(t).join(c, F.col("asset_name") == F.col("c_name")).drop("c_name")
+    return liquidity(t, with_nation=True)
 
 
 def credits_by_nation(t: Tables) -> DataFrame:
-    c = t.customer.select("c_name", F.col("c_nationkey").alias("ledger_id"))
-    return credits(t).join(c, F.col("name") == F.col("c_name")).drop("c_name")
+    return credits(t, with_nation=True)
 
 
 def ledger_by_nation(t: Tables) -> DataFrame:
