@@ -241,3 +241,15 @@ def cashflow_by_ledger(spark, sf_dir):
     """C10 with ``by=ledger_id``: one cashflow ledger per nation, one job."""
     t = A.Tables(spark, sf_dir)
     return C.cashflow_statement(A.income_by_nation(t), A.ledger_by_nation(t), by=["ledger_id"])
+
+
+@register("credits_table_totals", f"""
+WITH {Q.BALANCES}
+SELECT year, month, name, currency, value FROM cd_f
+UNION ALL
+SELECT year, month, 'Total', NULL, CAST(COALESCE(SUM({Q.money('value', 4)}), 0) AS DOUBLE)
+FROM cd_f GROUP BY year, month""")
+def credits_table_totals(spark, sf_dir):
+    """C12 for credits/debts: signed balances with a Total row per month."""
+    _, _, _, cd = _nw(spark, sf_dir)
+    return N.table_with_totals(cd, "name", "value", attrs=["currency"])
