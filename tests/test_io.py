@@ -50,7 +50,7 @@ def test_missing_paths_are_empty(spark, tmp_path):
 
 def test_dynamic_partition_overwrite(spark, micro_ledger, tmp_path):
     root = str(tmp_path / "ledger")
-    IO.write_partitioned(micro_ledger, root)
+    IO.write_partitioned(micro_ledger, root, files_per_partition=3)
     jan_only = micro_ledger.where("month = 1").withColumn("expense_amount", F.lit(1.0))
     IO.write_partitioned(jan_only, root)
     back = IO.read_ledger(spark, root)

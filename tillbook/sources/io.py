@@ -66,13 +66,24 @@ def read_ledger(spark: SparkSession, root: str, year: int | None = None,
     return _read_or_empty(spark, schema, load)
 
 
-def write_partitioned(df: DataFrame, root: str, partition_cols: Sequence[str] = ("year", "month")) -> None:
+def write_partitioned(df: DataFrame, root: str, partition_cols: Sequence[str] = ("year", "month"),
+                      files_per_partition: int | None = None,
+                      max_records_per_file: int = 5_000_000) -> None:
     """Overwrite only the partitions present in ``df`` (dynamic overwrite).
 
-    Rows are clustered by partition first, so each task writes few files.
+    By default there is no shuffle: each task writes its own files for the
+    partitions it holds, capped at ``max_records_per_file`` rows, so a hot
+    month (a third of all rows) is written by as many tasks as hold it.
+    ``files_per_partition`` instead clusters each partition into that many
+    hash buckets of the row (deterministic, so retries rewrite the same
+    rows), spreading even one hot month over that many writers.
     """
-    (df.repartition(*partition_cols)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = df
+    if files_per_partition:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(int(files_per_partition)))
+        out = df.repartition(*[F.col(c) for c in partition_cols], salt)
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", int(max_records_per_file))
      .partitionBy(*partition_cols).parquet(root))
 
 
