@@ -96,3 +96,12 @@ def test_json_sources(spark, tmp_path):
 def test_discover_years(spark, micro_ledger):
     years = [r.year for r in IO.discover_years(micro_ledger).collect()]
     assert 2026 in years and dt.date.today().year in years and years == sorted(years)
+
+
+def test_layout_writer_rerun_replaces_files(spark, micro_ledger, tmp_path):
+    root = str(tmp_path / "legacy-rerun")
+    df = micro_ledger.drop("expense_id").coalesce(2)
+    IO.write_legacy_layout(df, root).count()
+    IO.write_legacy_layout(df, root).count()  # a retried job writes the same part files again
+    ok, _ = IO.scan_legacy_ledger(spark, root)
+    assert ok.count() == 6
