@@ -2,38 +2,36 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from tillbook.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-WRITES_FILES = {"legacy_layout_scan", "schema_upgrade", "year_table_scan", "json_sources",
-                "rebuild_partitions", "stream_summary", "known_json_source"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES_FILES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_python_udf(spark, name):
-    p = plan(entry.queries()[name](spark, SF))
+    p = plan(catalog.QUERIES[name](spark, SF))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert node not in p, f"{name} runs Python: {node}"
 
 
 def test_summary_scans_ledger_once(spark):
-    p = plan(entry.queries()["summary_all_long"](spark, SF))
+    p = plan(catalog.QUERIES["summary_all_long"](spark, SF))
     assert p.count("lineitem.parquet") == 1
     assert p.count("BroadcastExchange") <= 1  # only the part dimension, if at all
 
 
 def test_window_only_after_aggregation(spark):
-    df = entry.queries()["networth_table"](spark, SF)
+    df = catalog.QUERIES["networth_table"](spark, SF)
     p = plan(df)
     w = p.index("Window")
     assert "HashAggregate" in p[w:]
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES_FILES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cross_join(spark, name):
-    p = plan(entry.queries()[name](spark, SF))
+    p = plan(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name

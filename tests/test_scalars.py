@@ -56,7 +56,7 @@ def test_month_names(spark):
     assert [tuple(x) for x in r] == [("Jan", "January", "01"), ("Dec", "December", "12")]
 
 
-def test_cents_round_trip(spark):
+def test_units_round_trip(spark):
     df = spark.createDataFrame([(0.1,), (0.2,), (12345.67,)], "v double")
-    got = df.select(X.from_cents(X.cents_sum("v"))).first()[0]
+    got = df.select(X.from_units(X.units_sum("v"))).first()[0]
     assert got == 12345.97

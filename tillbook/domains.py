@@ -60,21 +60,11 @@ DERIVED_CASHFLOW_ROWS: list[str] = ["Income", "Spending", "Saving", "Saving %"]
 INVESTMENT_CATEGORIES: list[str] = ["Stocks/ETF", "Commodities", "Bonds"]
 LIQUIDITY_CATEGORIES: list[str] = ["Bank/Broker account", "Cash", "Other"]
 
-# Net-worth table rows after the investment categories.
-NETWORTH_ROWS: list[str] = [
-    "Liquidity",
-    "Credits/Debts",
-    "Net Worth",
-    "NW Change",
-    "% NW Change",
-]
-
 TOTAL_LABEL = "Total"
 DEFAULT_CURRENCY = "E"
 REF_CURRENCY_RATE = 1.0
 LEDGER_FILE_SUFFIX = "_detailed_expenses.parquet"
 PAGE_SIZE = 50
-MAX_SELECTION = 3
 RECURRING_DAY_MIN, RECURRING_DAY_MAX = 1, 28
 MONTHS = list(range(1, 13))
 MONTH_COLUMNS = [f"{m:02d}" for m in MONTHS]

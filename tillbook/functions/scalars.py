@@ -6,6 +6,7 @@ never cross into Python.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from itertools import chain
 
 from pyspark.sql import Column
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.domains import CASING_EXCEPTIONS, REF_CURRENCY_RATE
-from tillbook.schemas import MONEY_SCALE
+from tillbook.schemas import MONEY_SCALE, SUM_SCALE
 
 __all__ = [
     "col_of", "normalize_category", "mapping_key", "month_label", "month_column",
     "safe_date", "date_from_day_or_iso", "day_of_month", "month_abbr", "month_name",
     "round_whole", "round2", "fill_zero", "guarded_pct", "fmt_amount", "fmt_percent",
-    "to_ref_currency", "money", "money_sum", "to_double", "contains_ci", "cents", "from_cents",
-    "cents_sum",
+    "to_ref_currency", "money", "money_sum", "contains_ci", "units", "from_units",
+    "units_sum", "units_decimal",
 ]
 
 
@@ -115,8 +116,8 @@ def fmt_amount(v) -> Column:
 
 
 def fmt_percent(v, decimals: int = 1) -> Column:
-    """``12.3%``."""
-    return F.format_string(f"%.{decimals}f%%", col_of(v))
+    """``12.3%`` (half to even)."""
+    return F.format_string(f"%.{decimals}f%%", F.bround(col_of(v), decimals))
 
 
 def to_ref_currency(amount) -> Column:
@@ -124,23 +125,30 @@ def to_ref_currency(amount) -> Column:
     return col_of(amount) * F.lit(REF_CURRENCY_RATE)
 
 
-def cents(v) -> Column:
-    """Money as exact integer cents (half-up), for fast order-independent sums.
+def units(v, scale: int = SUM_SCALE) -> Column:
+    """Money as whole units of 10**-scale (half-up), for fast order-independent sums.
 
     Long sums stay in primitive aggregation buffers (no BigDecimal), and an
-    overflow fails loudly under ANSI mode instead of wrapping.
+    overflow fails loudly under ANSI mode instead of wrapping.  Amounts are
+    rounded only here, to ``scale`` decimals that the caller chooses: a smaller scale
+    leaves room for larger totals.
     """
-    return F.round(col_of(v) * F.lit(100)).cast("long")
+    return F.round(col_of(v) * F.lit(float(10 ** scale))).cast("long")
 
 
-def from_cents(c) -> Column:
-    """Cents back to a money double (exact division, correctly rounded)."""
-    return col_of(c) / F.lit(100.0)
+def units_decimal(c, scale: int = SUM_SCALE) -> Column:
+    """Units as an exact decimal amount."""
+    return (col_of(c).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(28,{scale})")
 
 
-def cents_sum(v) -> Column:
-    """Order-independent money sum in cents (long)."""
-    return F.sum(cents(v))
+def from_units(c, scale: int = SUM_SCALE) -> Column:
+    """Units back to a money double (the double nearest to the exact amount)."""
+    return units_decimal(c, scale).cast("double")
+
+
+def units_sum(v, scale: int = SUM_SCALE) -> Column:
+    """Order-independent money sum in units (long)."""
+    return F.sum(units(v, scale))
 
 
 def money(v, scale: int = MONEY_SCALE) -> Column:
@@ -153,10 +161,6 @@ def money_sum(v, scale: int = MONEY_SCALE) -> Column:
     return F.sum(money(v, scale))
 
 
-def to_double(v) -> Column:
-    return col_of(v).cast("double")
-
-
 def contains_ci(c, term: str) -> Column:
     """Case-insensitive literal substring test (no pattern characters)."""
     return F.contains(F.lower(col_of(c)), F.lower(F.lit(term)))

@@ -13,19 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.domains import DERIVED_CASHFLOW_ROWS, INCOME_CATEGORIES, TOTAL_LABEL
-from tillbook.functions.scalars import cents, guarded_pct, money_sum, round2
-
-def _zero():
-    return F.lit(0).cast("decimal(28,2)")
-
-
-def month_totals(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A3 alone: the primary summary's Total per (by, year, month)."""
-    keep = F.col("primary_category").isNotNull() & (F.col("primary_category") != TOTAL_LABEL)
-    spent = F.sum(F.when(keep, cents("expense_in_ref_currency")))
-    return (ledger.groupBy(*by, "year", "month")
-            .agg(F.coalesce((spent.cast("decimal(28,0)") / 100).cast("decimal(28,2)"), _zero())
-                 .alias("spending")))
+from tillbook.functions.scalars import guarded_pct, money_sum, round2, units, units_decimal
 
 
 def cashflow_grid(income: DataFrame, ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -43,10 +31,10 @@ def cashflow_grid(income: DataFrame, ledger: DataFrame, by: Sequence[str] = ())
     cols = [*INCOME_CATEGORIES, "Spending"]
     keep = F.col("primary_category").isNotNull() & (F.col("primary_category") != TOTAL_LABEL)
     inc = income.where(F.col("category").isin(INCOME_CATEGORIES)).select(
-        *keys, *[F.when(F.col("category") == c, cents("value")).alias(c) for c in INCOME_CATEGORIES],
+        *keys, *[F.when(F.col("category") == c, units("value")).alias(c) for c in INCOME_CATEGORIES],
         none.alias("Spending"))
     spend = ledger.select(*keys, *[none.alias(c) for c in INCOME_CATEGORIES],
-                          F.when(keep, cents("expense_in_ref_currency")).alias("Spending"))
+                          F.when(keep, units("expense_in_ref_currency")).alias("Spending"))
     month = inc.unionByName(spend).groupBy(*keys).agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in cols])
     folded = (month.groupBy(*by, "year")
               .agg(F.map_from_entries(F.collect_list(
@@ -58,7 +46,7 @@ def cashflow_grid(income: DataFrame, ledger: DataFrame, by: Sequence[str] = ())
     for c in INCOME_CATEGORIES[1:]:
         income_c = income_c + F.col(f"`{c}`")
     g = g.withColumn("Income", income_c).withColumn("Saving", F.col("Income") - F.col("Spending"))
-    out = g.select(*keys, *[(F.col(f"`{c}`").cast("decimal(28,0)") / 100).cast("decimal(28,2)").alias(c)
+    out = g.select(*keys, *[units_decimal(F.col(f"`{c}`")).alias(c)
                             for c in [*INCOME_CATEGORIES, "Income", "Spending", "Saving"]])
     return out.withColumn("Saving %", guarded_pct(F.col("Saving").cast("double"),
                                                   F.col("Income").cast("double")))

@@ -42,10 +42,10 @@ def category_domain(ledger: DataFrame, known: DataFrame, by: Sequence[str] = ())
     """A13 + U2 + O3: distinct non-empty categories of the ledger and its
     summaries (Total excluded) and the known list, each normalised (F1),
     de-duplicated and sorted by code point per kind."""
-    used = (used_categories(ledger, by=by)
-            .where(F.col("category") != TOTAL_LABEL))
+    pairs = ledger.select(*by, *[category_column(k) for k in KINDS]).distinct()  # few spellings left, whatever the rows
+    used = used_categories(pairs, by=by).where(F.col("category") != TOTAL_LABEL)
     allc = used.unionByName(known.select(*by, "kind", "category"))
-    return (allc.where(F.col("category").isNotNull() & (F.col("category") != ""))
+    return (allc.where(F.col("category").isNotNull() & (F.col("category") != "")).distinct()
             .select(*by, "kind", normalize_category("category").alias("category"))
             .distinct()
             .orderBy(*by, "kind", "category"))

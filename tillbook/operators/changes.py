@@ -8,9 +8,9 @@ wins for "set", the first one wins for "add" and "rename".
 
 Scale notes: "first/last per key" is an aggregation (``min_by`` /
 ``max_by``), which combines map-side, so a hot key never lands whole in one
-task.  Applying a batch reads the table once: one full outer join (cell
-updates, attributes, mappings, known categories) or one left join (edits),
-which also yields existence for the rejects.  New ids come from a scalar
+task.  A batch is worked out once, stored, and broadcast when its counted
+rows are few, so the table it changes is joined without a shuffle (edits, cell updates, attributes); mappings and
+known categories, themselves small, take one full outer join.  New ids come from a scalar
 subquery (``max(id) + 1``), evaluated once by Spark.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, MONTHS, RECURRING_DAY_MAX, \
@@ -26,6 +26,8 @@ from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, MONTHS, RECURR
 from tillbook.functions.scalars import date_from_day_or_iso, mapping_key, normalize_category, \
     safe_date, to_ref_currency
 from tillbook.operators.categories import resolve_categories
+from tillbook.session import stored
+
 
 def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with a null ``reason`` are accepted; the others are rejects."""
@@ -36,16 +38,29 @@ def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 def _first_per_key(df: DataFrame, keys: Sequence[str], order: str = "seq",
                    last: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Keep the first (or last) row per key by ``order``; the others are
-    returned as rejects ("superseded in batch").  Losers are told apart by
-    the whole row, so a tie on ``order`` never loses a change silently."""
-    cols = [c for c in df.columns]
+    """Keep the first (or last) row per key by ``order``; every other row is a reject.
+
+    Rejects: rows with a null key ("missing <key>"), and the rows that did not win ("superseded in batch"), one reject
+    for each refused row.  A tie on ``order`` is decided by the whole row, so task order never picks the winner.
+    """
+    cols = list(df.columns)
+    named = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(f"missing {k}")) for k in keys], F.lit(None).cast("string"))
+    ok, missing = _split(df, named)
     pick = F.max_by if last else F.min_by
     row = F.struct(*[F.col(c) for c in cols])
-    won = df.groupBy(*keys).agg(pick(row, F.col(order)).alias("_w"))
-    losers = (df.join(won, list(keys)).where(~row.eqNullSafe(F.col("_w")))
-              .select(*cols).withColumn("reason", F.lit("superseded in batch")))
-    return won.select("_w.*").select(*cols), losers
+    won = ok.groupBy(*keys).agg(pick(row, F.struct(F.col(order), row)).alias("_w")).select("_w.*").select(*cols)
+    losers = ok.select(*cols).exceptAll(won).withColumn("reason", F.lit("superseded in batch"))
+    return won, losers.unionByName(missing.select(*cols, "reason"))
+
+
+#: A resolved batch of up to so many rows is broadcast, so the table it changes is not shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def _resolved(batch: DataFrame, name: str) -> DataFrame:
+    """A batch worked out once and stored; broadcast when its counted rows are few, else joined by a shuffle."""
+    once = stored(batch, name)
+    return F.broadcast(once) if once.count() <= BROADCAST_ROWS else once
 
 
 # --------------------------------------------------------------------------
@@ -98,8 +113,13 @@ def next_id(table: DataFrame, id_col: str) -> Column:
 
 def append_expenses(ledger: DataFrame, batch: DataFrame, mappings: DataFrame,
                     by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """M1 + U1: enrich the batch and append it; new ids are ``max(id)+1+seq``."""
-    ok, rejects = enrich_expenses(batch, mappings, by)
+    """M1 + U1: enrich the batch and append it; new ids are ``max(id)+1+seq``.
+
+    ``seq`` tells the rows of a batch apart: of rows that share one (or have none) the first by content is taken and the others are
+    rejects, so ids stay unique."""
+    once, repeated = _first_per_key(batch, ["seq"])
+    ok, rejects = enrich_expenses(once, mappings, by)
+    rejects = rejects.unionByName(repeated)
     base = next_id(ledger, "expense_id")
     new = ok.withColumn("expense_id", base + F.col("seq").cast("long")).drop("seq")
     return ledger.unionByName(new, allowMissingColumns=True), rejects
@@ -123,57 +143,53 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
     resolves (F2) against the spellings already used in the row's month.
     Unknown ids and impossible dates are rejects (the whole edit).
 
+    Rows without an accepted edit stay exactly as they are; a row with a new date moves to that date's
+    year and month.
+
     Plan (the batch is small, the ledger is not):
-      1. last edit per id (aggregation), joined to the ledger's ids only
-         (column-pruned) to find each row's month, or that it is unknown;
-      2. dates and categories are resolved on those few rows against the
-         month spellings (one aggregation over the category columns);
-      3. ONE left join applies them to the ledger.  Spark broadcasts the
-         resolved edits when they pass its size check, so the ledger is not
-         shuffled, and rows without an edit never meet a null join key.
+      1. last edit per id, worked out once and (when its counted size allows) broadcast: the
+         ledger is scanned for the edited ids only and is not shuffled;
+      2. dates and categories are resolved on those rows; spellings are taken only from the months they touch;
+      3. the resolved edits are broadcast the same way and applied by ONE left join.
     """
     keys = [*by, "expense_id"]
     month_keys = [*by, "year", "month"]
-    latest, superseded = _first_per_key(edits, keys, last=True)
-    where = ledger.select(*keys, "year", "month").withColumn("_row", F.lit(True))
-    info = latest.join(where, keys, "left")
-    missing = info.where(F.col("_row").isNull()).select(*edits.columns) \
+    latest, refused = _first_per_key(edits, keys, last=True)
+    latest = _resolved(latest, "edits")
+    found = _resolved(ledger.select(*keys, "year", "month").join(latest, keys), "edited-rows")
+    missing = latest.join(found.select(*keys), keys, "left_anti").select(*edits.columns) \
         .withColumn("reason", F.lit("expense not found"))
-    info = info.where(F.col("_row"))
     new_date = date_from_day_or_iso(F.col("expense_date"), F.col("year"), F.col("month"))
-    info = info.withColumn("_date", new_date).withColumn(
+    info = found.withColumn("_date", new_date).withColumn(
         "_bad", F.col("expense_date").isNotNull() & F.col("_date").isNull())
     bad_rows = info.where("_bad").select(*edits.columns).withColumn("reason", F.lit("invalid date"))
     good = info.where(~F.col("_bad"))
-    # Spellings already used per month, both category columns at once (a
-    # column-pruned scan whose partial aggregation shrinks it to months x
-    # categories; the batch lineage is not evaluated twice).
-    stacked = (ledger
+    touched = F.broadcast(good.select(*month_keys).distinct()) if found.count() <= BROADCAST_ROWS else good.select(*month_keys).distinct()
+    stacked = (ledger.join(touched, month_keys, "left_semi")
                .select(*month_keys, F.inline(F.array(
                    F.struct(F.lit("primary_category").alias("_kind"), F.col("primary_category").alias("_c")),
                    F.struct(F.lit("secondary_category").alias("_kind"),
                             F.col("secondary_category").alias("_c"))))))
-    lookup = (stacked.where(F.col("_c").isNotNull() & (F.col("_c") != ""))
-              .groupBy(*month_keys, "_kind", F.lower("_c").alias("_k")).agg(F.min("_c").alias("_spelling")))
+    lookup = stored(stacked.where(F.col("_c").isNotNull() & (F.col("_c") != ""))
+                    .groupBy(*month_keys, "_kind", F.lower("_c").alias("_k")).agg(F.min("_c").alias("_spelling")), "spellings")
     for kind in ("primary_category", "secondary_category"):
         existing = lookup.where(F.col("_kind") == kind).select(*month_keys, F.col("_spelling").alias("_e"))
         good = resolve_categories(good, kind, existing, "_e", out=f"_res_{kind}", by=month_keys)
     amount = F.col("expense_amount")
-    resolved = good.select(
-        *keys, F.lit(True).alias("_edit"),
+    resolved = _resolved(good.select(
+        *keys,
         F.col("expense_name").alias("_n_name"), F.col("_date").alias("_n_date"),
         amount.alias("_n_amount"), F.col("currency").alias("_n_currency"),
         F.when(amount.isNotNull(), to_ref_currency(amount)).alias("_n_ref"),
-        F.col("_res_primary_category").alias("_n_pri"), F.col("_res_secondary_category").alias("_n_sec"))
+        F.year("_date").alias("_n_year"), F.month("_date").alias("_n_month"),
+        F.col("_res_primary_category").alias("_n_pri"), F.col("_res_secondary_category").alias("_n_sec")), "resolved-edits")
     j = ledger.join(resolved, keys, "left")
     new_of = {"expense_name": "_n_name", "expense_date": "_n_date", "expense_amount": "_n_amount",
               "currency": "_n_currency", "expense_in_ref_currency": "_n_ref",
-              "primary_category": "_n_pri", "secondary_category": "_n_sec"}
+              "primary_category": "_n_pri", "secondary_category": "_n_sec", "year": "_n_year", "month": "_n_month"}
     edited = j.select(*[F.coalesce(F.col(new_of[c]), F.col(c)).alias(c) if c in new_of else F.col(c)
                         for c in ledger.columns])
-    edited = edited.withColumn("year", F.year("expense_date")).withColumn("month", F.month("expense_date"))
-    rejects = missing.unionByName(superseded).unionByName(bad_rows)
-    return edited.select(*ledger.columns), rejects
+    return edited, missing.unionByName(refused).unionByName(bad_rows)
 
 
 # --------------------------------------------------------------------------
@@ -182,20 +198,20 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
 
 def upsert_cells(table: DataFrame, changes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Replace ``value`` at ``keys`` by the change value, inserting missing
-    cells; other columns of an inserted cell come from the change row."""
-    attrs = [c for c in table.columns if c not in (*keys, value) and c in changes.columns]
-    ch = changes.select(*keys, F.col(value).alias("_v"), F.lit(True).alias("_set"),
-                        *[F.col(c).alias(f"_a_{c}") for c in attrs])
-    j = table.join(ch, list(keys), "full")
-    cols = []
-    for c in table.columns:
-        if c == value:
-            cols.append(F.when(F.col("_set"), F.col("_v")).otherwise(F.col(value)).alias(value))
-        elif c in attrs:
-            cols.append(F.coalesce(F.col(c), F.col(f"_a_{c}")).alias(c))
-        else:
-            cols.append(F.col(c))
-    return j.select(*cols)
+    cells; other columns of an inserted cell come from the change row.
+
+    Plan: the changes are worked out once and broadcast when few; stored cells take their value by a left
+    join, and changes that met no stored cell are added.  The table is not shuffled for a small batch.
+    """
+    ch = _resolved(changes, "cells")
+    new = ch.select(*keys, F.col(value).alias("_v"), F.lit(True).alias("_set"))
+    j = table.join(new, list(keys), "left")
+    updated = j.select(*[F.when(F.col("_set"), F.col("_v")).otherwise(F.col(value)).alias(value) if c == value else F.col(c)
+                         for c in table.columns])
+    met = _resolved(table.select(*keys).join(ch.select(*keys), list(keys), "left_semi").distinct(), "met-cells")
+    added = ch.join(met, list(keys), "left_anti").select(
+        *[(F.col(c) if c in ch.columns else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+    return updated.unionByName(added)
 
 
 def set_income(income: DataFrame, changes: DataFrame,
@@ -204,7 +220,7 @@ def set_income(income: DataFrame, changes: DataFrame,
     the category must be one of the 4 income categories, the month 1..12;
     last change per cell wins."""
     reason = (F.when(~F.col("category").isin(INCOME_CATEGORIES), F.lit("invalid income category"))
-              .when(~F.col("month").isin(MONTHS), F.lit("month out of range")))
+              .when(~F.col("month").isin(MONTHS), F.lit("month out of range")))  # nulls: see _first_per_key
     ok, bad = _split(changes, reason)
     keys = [*by, "year", "month", "category"]
     latest, superseded = _first_per_key(ok, keys, last=True)
@@ -224,29 +240,24 @@ def set_values(table: DataFrame, changes: DataFrame, name_col: str, value: str,
     <name>, <value>)``; the entity must exist in that year; month 1..12;
     last change per cell wins.
 
-    Plan: changes are first reduced to the last one per cell (an
-    aggregation, so a hot cell never gathers in one task); one full outer
-    join with the table then applies them, and a window over each entity's
-    (at most 24) cells tells whether the entity exists and supplies its
-    attributes for newly set months.  The table is scanned once.
+    Plan: changes are reduced to the last one per cell (an aggregation, so a hot cell never gathers in one task),
+    stored and broadcast when few.  The table is read for the batch's entities (do they exist, their attributes) and
+    joined once to apply the cells; it is not shuffled for a small batch.
     """
     ok, bad = _split(changes, F.when(~F.col("month").isin(MONTHS), F.lit("month out of range")))
     cell = [*by, "year", "month", name_col]
     ent = [*by, "year", name_col]
-    latest, superseded = _first_per_key(ok, cell, last=True)
+    latest, refused = _first_per_key(ok, cell, last=True)
+    latest = _resolved(latest, "values")
     attrs = [c for c in table.columns if c not in (*cell, value)]
-    j = (table.withColumn("_row", F.lit(True))
-         .join(latest.select(*cell, F.col(value).alias("_v"), F.lit(True).alias("_set")), cell, "full"))
-    w = Window.partitionBy(*ent)
-    j = j.withColumn("_exists", F.max(F.coalesce("_row", F.lit(False))).over(w))
-    for c in attrs:
-        j = j.withColumn(c, F.coalesce(F.col(c), F.first(c, ignorenulls=True).over(w)))
-    notfound = (j.where(~F.col("_exists")).select(*cell).join(latest, cell)
-                .withColumn("reason", F.lit("not found")))
-    out = (j.where(F.col("_exists"))
-           .withColumn(value, F.when(F.col("_set"), F.col("_v")).otherwise(F.col(value)))
-           .select(*table.columns))
-    return out, bad.unionByName(superseded).unionByName(notfound.select(*changes.columns, "reason"))
+    names = latest.select(*ent).distinct()
+    known = table.select(*ent, *attrs).join(names, ent, "left_semi").groupBy(*ent) \
+        .agg(F.lit(True).alias("_known"), *[F.min(c).alias(c) for c in attrs])
+    known = _resolved(known, "known-entities")
+    accepted = latest.join(known, ent).select(*cell, *attrs, F.col(value).cast(table.schema[value].dataType).alias(value))
+    notfound = latest.join(known, ent, "left_anti").withColumn("reason", F.lit("not found"))
+    out = upsert_cells(table, accepted, cell, value)
+    return out, bad.unionByName(refused).unionByName(notfound.select(*changes.columns, "reason"))
 
 
 def set_attribute(table: DataFrame, changes: DataFrame, name_col: str, attr: str,
@@ -256,21 +267,20 @@ def set_attribute(table: DataFrame, changes: DataFrame, name_col: str, attr: str
     the entity's year; the entity must exist; values may be restricted to a
     valid list; last change per entity wins.
 
-    Plan: last change per entity (an aggregation), then one full outer join
-    with the table: table rows take the new value, change rows without a
-    table row are "not found".  The table is scanned once.
+    Plan: last change per entity (an aggregation), stored and broadcast when few; one left join
+    gives table rows the new value, changes that met no table row are "not found".
     """
     ent = [*by, "year", name_col]
     if valid is not None:
-        ok, bad = _split(changes, F.when(~F.col(attr).isin(list(valid)), F.lit(f"invalid {attr}")))
+        ok, bad = _split(changes, F.when(F.col(attr).isNull() | ~F.col(attr).isin(list(valid)), F.lit(f"invalid {attr}")))
     else:
         ok, bad = changes, changes.withColumn("reason", F.lit(None).cast("string")).where(F.lit(False))
     latest, superseded = _first_per_key(ok, ent, last=True)
-    j = (table.withColumn("_row", F.lit(True))
-         .join(latest.select(*ent, F.col(attr).alias("_new"), F.lit(True).alias("_chg")), ent, "full"))
-    notfound = (j.where(F.col("_row").isNull()).select(*ent).join(latest, ent)
-                .withColumn("reason", F.lit("not found")))
-    out = (j.where(F.col("_row")).withColumn(attr, F.coalesce("_new", attr)).select(*table.columns))
+    latest = _resolved(latest, "attributes")
+    out = table.join(latest.select(*ent, F.col(attr).alias("_new"), F.lit(True).alias("_chg")), ent, "left") \
+        .withColumn(attr, F.when(F.col("_chg"), F.col("_new")).otherwise(F.col(attr))).select(*table.columns)
+    met = _resolved(table.select(*ent).join(latest.select(*ent), ent, "left_semi").distinct(), "met-entities")
+    notfound = latest.join(met, ent, "left_anti").withColumn("reason", F.lit("not found"))
     return out, bad.unionByName(superseded).unionByName(notfound.select(*changes.columns, "reason"))
 
 
@@ -284,7 +294,7 @@ def add_entities(table: DataFrame, adds: DataFrame, name_col: str, value: str,
     marked = _entity_exists(adds, table, ent)
     reason = F.when(F.col("_exists"), F.lit("already exists"))
     if valid is not None:
-        reason = F.when(~F.col(category_col).isin(list(valid)),
+        reason = F.when(F.col(category_col).isNull() | ~F.col(category_col).isin(list(valid)),
                         F.lit("invalid category")).otherwise(reason)
     ok, bad = _split(marked, reason)
     ok, bad = ok.drop("_exists"), bad.drop("_exists")
@@ -306,8 +316,7 @@ def remove_entities(table: DataFrame, removes: DataFrame, name_col: str,
 
 def rename_entities(table: DataFrame, renames: DataFrame, name_col: str,
                     by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """M7: rename ``(by..., seq, year, old_name, new_name)``; ``seq`` is
-    unique within the batch.
+    """M7: rename ``(by..., seq, year, old_name, new_name)``.
 
     The old name must exist; the new one must be free unless equal.  Checks
     run against the table before the batch; one rename per old name and per
@@ -316,17 +325,11 @@ def rename_entities(table: DataFrame, renames: DataFrame, name_col: str,
     """
     yk = [*by, "year"]
     names = table.select(*yk, F.col(name_col).alias("_n")).distinct().withColumn("_hit", F.lit(True))
-    # Each rename probes its old and its new name in ONE join with the names.
-    probes = renames.select(*yk, "seq", F.inline(F.array(
-        F.struct(F.lit("old").alias("_role"), F.col("old_name").alias("_n")),
-        F.struct(F.lit("new").alias("_role"), F.col("new_name").alias("_n")))))
-    hit = F.coalesce(F.col("_hit"), F.lit(False))
-    flags = (probes.join(names, [*yk, "_n"], "left")
-             .groupBy(*yk, "seq")
-             .agg(F.max(F.when(F.col("_role") == "old", hit)).alias("_old_ok"),
-                  F.max(F.when(F.col("_role") == "new", hit)).alias("_new_taken")))
-    r = renames.join(flags, [*yk, "seq"], "left")
-    reason = (F.when(~F.col("_old_ok"), F.lit("not found"))
+    old = names.select(*yk, F.col("_n").alias("old_name"), F.col("_hit").alias("_old_ok"))
+    new = names.select(*yk, F.col("_n").alias("new_name"), F.col("_hit").alias("_new_taken"))
+    r = renames.join(old, [*yk, "old_name"], "left").join(new, [*yk, "new_name"], "left").select(*renames.columns, "_old_ok", "_new_taken")
+    reason = (F.when(F.col("old_name").isNull() | F.col("new_name").isNull(), F.lit("missing name"))
+              .when(F.col("_old_ok").isNull(), F.lit("not found"))
               .when(F.col("_new_taken") & (F.col("new_name") != F.col("old_name")),
                     F.lit("already exists")))
     ok, bad = _split(r, reason)
@@ -357,8 +360,10 @@ def add_recurring(templates: DataFrame, adds: DataFrame,
     ``max(template_id) + 1 + seq``."""
     day = F.col("expense_day")
     reason = F.when(day.isNull() | (day < RECURRING_DAY_MIN) | (day > RECURRING_DAY_MAX),
-                    F.lit("expense_day must be between 1 and 28"))
+                    F.lit("day outside 1..28"))
     ok, bad = _split(adds, reason)
+    ok, repeated = _first_per_key(ok, ["seq"])  # ids come from seq
+    bad = bad.unionByName(repeated)
     base = next_id(templates, "template_id")
     new = ok.select(
         *by, (base + F.col("seq").cast("long")).alias("template_id"), "expense_name",
@@ -391,9 +396,9 @@ def apply_recurring(ledger: DataFrame, templates: DataFrame, targets: DataFrame,
     tgt = (targets.groupBy(*by).agg(F.max(F.struct("year", "month")).alias("_t"))
            .select(*by, "_t.year", "_t.month"))
     cand = _first_templates(templates, by).join(tgt, list(by))
-    # distinct() combines map-side, so a hot (name, day) in the ledger shrinks
+    # Only the target months matter; distinct() then combines map-side, so a hot (name, day) shrinks
     # to one row before the anti join's shuffle.
-    present = ledger.select(*by, "year", "month", "expense_name",
+    present = ledger.join(_resolved(tgt, "targets"), [*by, "year", "month"], "left_semi").select(*by, "year", "month", "expense_name",
                             F.dayofmonth("expense_date").cast("long").alias("expense_day")).distinct()
     new = cand.join(present, [*by, "year", "month", "expense_name", "expense_day"], "left_anti")
     return _template_rows(new, by)

@@ -1,10 +1,11 @@
-"""M17 + S6: incremental rebuild of stored summaries.
+"""M17 + S6: incremental rebuild of stored summaries and cashflow.
 
-The stored form is *sparse cells*: one decimal total per (by, kind,
+The stored form of a summary is *sparse cells*: one total in whole units per (by, kind,
 category, year, month) partitioned by (year, month).  Densifying (gaps ->
 0.0) and the Total rows are computed when reading, so rebuilding a month
 rewrites only that month's partition (dynamic partition overwrite) and
-never touches the rest of the year.
+never touches the rest of the year.  The months are a bounded list of literals, so the ledger
+scan reads only their partitions.
 """
 
 from __future__ import annotations
@@ -13,27 +14,49 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillbook.domains import KINDS
-from tillbook.operators.summaries import _stack_kinds, summaries_from_stacked
-from tillbook.sources.io import read_ledger, write_partitioned
+from tillbook.operators.cashflow import cashflow_statement
+from tillbook.operators.summaries import _cells, summaries_from_stacked
+from tillbook.session import stored
+from tillbook.sources.io import LEDGER_PARTITIONED, month_filter, read_ledger, write_partitioned
 
 
 def summary_cells(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = ()) -> DataFrame:
     """Sparse cells ``(by..., kind, category, year, month, amt)``; null and
     ``Total`` categories are kept as cells (they mark recorded months)."""
-    return (_stack_kinds(ledger, kinds, by)
+    return (_cells(ledger, kinds, by)
             .groupBy(*by, "kind", "category", "year", "month").agg(F.sum("amt").alias("amt")))
 
 
-def rebuild_months(spark: SparkSession, ledger_root: str, cells_root: str, months: DataFrame,
-                   kinds: Sequence[str] = KINDS, by: Sequence[str] = ()) -> None:
-    """Recompute the cells of the given (year, month)s from the stored ledger
-    and overwrite just those partitions.  The month list is a semi-join
-    filter, so Spark prunes the ledger scan to those partitions."""
-    wanted = months.select("year", "month").distinct()
-    ledger = read_ledger(spark, ledger_root).join(wanted, ["year", "month"], "left_semi")
-    write_partitioned(summary_cells(ledger, kinds, by), cells_root)
+def rebuild_months(spark: SparkSession, ledger_root: str, cells_root: str, months: Sequence[tuple[int, int]],
+                   kinds: Sequence[str] = KINDS, by: Sequence[str] = (), schema: T.StructType = LEDGER_PARTITIONED) -> None:
+    """Recompute the cells of the listed (year, month)s from the stored ledger and overwrite just those partitions.
+
+    A month that has lost all its rows stays recorded: every ledger that had cells in a listed month
+    (and the single ledger without ``by``) gets a zero marker cell there, so its summary shows 0.0.
+    ``schema`` names the stored ledger's columns (``ledger_schema`` with ``by`` and ids).
+    """
+    months = sorted({(int(y), int(m)) for y, m in months})
+    fresh = summary_cells(read_ledger(spark, ledger_root, schema=schema, months=months), kinds, by)
+    keys = [*by, "kind", "year", "month"]
+    marks = spark.read.parquet(cells_root).where(month_filter(months)).select(*keys).distinct()
+    if not by:
+        listed = spark.createDataFrame(months, "year int, month int")
+        marks = marks.unionByName(listed.select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "year", "month")).distinct()
+    marks = stored(marks, "recorded-months")  # read before the partitions are overwritten
+    zero = marks.select(*by, "kind", F.lit(None).cast("string").alias("category"), "year", "month", F.lit(0).cast("long").alias("amt"))
+    write_partitioned(fresh.unionByName(zero.select(*fresh.columns)), cells_root)
+
+
+def rebuild_cashflow(spark: SparkSession, ledger_root: str, income: DataFrame, cashflow_root: str, years: Sequence[int],
+                     by: Sequence[str] = (), schema: T.StructType = LEDGER_PARTITIONED) -> None:
+    """Recompute the stored cashflow statement of the listed years from the stored ledger and the income table."""
+    months = [(int(y), m) for y in years for m in range(1, 13)]
+    ledger = read_ledger(spark, ledger_root, schema=schema, months=months)
+    statement = cashflow_statement(income.where(F.col("year").isin([int(y) for y in years])), ledger, by)
+    write_partitioned(statement, cashflow_root, ["year"])
 
 
 def read_summary(spark: SparkSession, cells_root: str, kinds: Sequence[str] = KINDS,

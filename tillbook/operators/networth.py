@@ -36,28 +36,21 @@ def position_value(holdings: DataFrame, prices: DataFrame, by: Sequence[str] = (
             .withColumn("value", F.col("value_dec").cast("double")))
 
 
-def investments_by_category(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Value per fixed investment category and month (nulls ignored).
-
-    Returns ``(by..., year, month, <3 category columns>)`` as decimals;
-    absent categories are 0.
-    """
-    return (values.groupBy(*by, "year", "month")
-            .pivot("category", INVESTMENT_CATEGORIES)
-            .agg(F.sum("value_dec")))
+COMPONENTS = [*INVESTMENT_CATEGORIES, "Liquidity", "Credits/Debts"]
 
 
-def monthly_sum(facts: DataFrame, out: str, by: Sequence[str] = (), value: str = "value") -> DataFrame:
-    """The sum of all rows per (by, year, month)."""
-    return (facts.groupBy(*by, "year", "month")
-            .agg(F.sum(money(value, POSITION_SCALE)).cast(VALUE_DEC).alias(out)))
+def _c(name: str):
+    return F.col(f"`{name}`")
 
 
-COMPONENTS = [*INVESTMENT_CATEGORIES, "Liquidity", "Credits/Debts"]
+#: Years that a month spine may span.
+PLAUSIBLE_YEARS = (1900, 2200)
 
 
-def _c(name: str):
-    return F.col(f"`{name}`")
+def stray_months(facts: DataFrame) -> DataFrame:
+    """Rejects of the net-worth spine: rows whose year is null or outside ``PLAUSIBLE_YEARS``."""
+    year = F.col("year")
+    return facts.where(year.isNull() | ~year.between(*PLAUSIBLE_YEARS)).withColumn("reason", F.lit("year out of range"))
 
 
 def networth_grid(holdings: DataFrame, prices: DataFrame, liquidity: DataFrame,
@@ -82,6 +75,8 @@ def networth_grid(holdings: DataFrame, prices: DataFrame, liquidity: DataFrame,
     stacked = (rows(v, {c: F.when(F.col("category") == c, F.col("value_dec")) for c in INVESTMENT_CATEGORIES})
                .unionByName(rows(liquidity, {"Liquidity": money("value", POSITION_SCALE).cast(VALUE_DEC)}))
                .unionByName(rows(credits, {"Credits/Debts": money("value", POSITION_SCALE).cast(VALUE_DEC)})))
+    # a stray year (0001, 9999) would stretch the spine: such months are left out (see stray_months)
+    stacked = stacked.where(F.col("year").between(*PLAUSIBLE_YEARS))
     month = stacked.groupBy(*keys).agg(*[F.sum(_c(c)).alias(c) for c in COMPONENTS])
     idx = F.col("year") * 12 + F.col("month") - 1
     folded = (month.groupBy(*by)
@@ -154,32 +149,25 @@ def allocation(holdings, prices, liquidity, credits, by: Sequence[str] = ()) ->
 
 
 def value_table_totals(holdings, prices, by: Sequence[str] = ()) -> DataFrame:
-    """Per-asset values with a Total row per month (grouping sets).
+    """Per-asset values with a Total row per month.
 
-    A missing price counts 0 in the Total; the Total of no values is 0.
+    The position join already has one row per asset and month; rows pass as they are and only the
+    Total is aggregated.  A missing price counts 0 in the Total; the Total of no values is 0.
     """
     v = position_value(holdings, prices, by)
-    agg = (v.groupingSets([[*by, "year", "month", "asset_name", "category"], [*by, "year", "month"]],
-                          *by, "year", "month", "asset_name", "category")
-           .agg(F.sum("value_dec").alias("s"), F.grouping("asset_name").alias("_t")))
-    return agg.select(
-        *by, "year", "month",
-        F.when(F.col("_t") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col("asset_name")).alias("asset_name"),
-        "category",
-        F.when(F.col("_t") == 1, F.coalesce("s", _zero())).otherwise(F.col("s")).cast("double")
-        .alias("value"))
+    keys = [*by, "year", "month"]
+    rows = v.select(*keys, "asset_name", "category", F.col("value_dec").alias("_s"))
+    totals = rows.groupBy(*keys).agg(F.coalesce(F.sum("_s"), _zero()).alias("_s")).select(
+        *keys, F.lit(TOTAL_LABEL).alias("asset_name"), F.lit(None).cast("string").alias("category"), "_s")
+    return rows.unionByName(totals).select(*keys, "asset_name", "category", F.col("_s").cast("double").alias("value"))
 
 
 def table_with_totals(facts: DataFrame, name_col: str, value: str, attrs: Sequence[str] = (),
                       by: Sequence[str] = ()) -> DataFrame:
-    """Any month table (holdings, prices, balances) with a Total
-    row per month (GROUPING SETS; one aggregation).  Totals ignore nulls
-    and are 0 when nothing is set."""
-    keys = [*by, "year", "month", name_col, *attrs]
-    agg = (facts.groupingSets([keys, [*by, "year", "month"]], *keys)
-           .agg(F.sum(money(value, POSITION_SCALE)).alias("_s"), F.grouping(name_col).alias("_t")))
-    total = F.col("_t") == 1
-    return agg.select(
-        *by, "year", "month",
-        F.when(total, F.lit(TOTAL_LABEL)).otherwise(F.col(name_col)).alias(name_col), *attrs,
-        F.when(total, F.coalesce("_s", _zero())).otherwise(F.col("_s")).cast("double").alias(value))
+    """Any month table (holdings, prices, balances; one row per name and month) with a Total
+    row per month.  Rows pass as they are; totals ignore nulls and are 0 when nothing is set."""
+    keys = [*by, "year", "month"]
+    amount = money(value, POSITION_SCALE)
+    totals = facts.groupBy(*keys).agg(F.coalesce(F.sum(amount), _zero()).cast("double").alias(value)).select(
+        *keys, F.lit(TOTAL_LABEL).alias(name_col), *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in attrs], value)
+    return facts.select(*keys, name_col, *attrs, F.col(value).cast("double").alias(value)).unionByName(totals)

@@ -6,10 +6,9 @@ with an explicit value list, so no extra job discovers the months.
 
 Scale notes
 -----------
-* One aggregation (partial + final hash aggregate) over the ledger produces
-  every category's twelve month cells *and* the Total row via GROUPING SETS;
-  the ledger is scanned once.  All later steps work on those aggregates
-  (bounded by categories per year and ledger), never on raw rows.
+* One aggregation (partial + final hash aggregate) sums the ledger to its
+  months and category combinations, in one scan.  Kinds, Total rows (GROUPING SETS) and the
+  twelve month cells are made from those sums, never from raw rows.
 * The dense grid (gaps are 0.0) expands each category row by the at most 12
   recorded months of its year: a bounded expansion, never a cross join.
 * Hot keys (one ledger or category holding a third of the rows) are absorbed
@@ -20,12 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.domains import KINDS, MONTHS, MONTH_COLUMNS, PRIMARY_DISPLAY_ORDER, TOTAL_LABEL, \
     category_column
-from tillbook.functions.scalars import cents, cents_sum, from_cents
+from tillbook.functions.scalars import from_units, money, units, units_sum
 
 AMOUNT = "expense_in_ref_currency"
 
@@ -35,17 +34,26 @@ def month_spend(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = ()
     """A1: spend per category for every (year, month); a null category is its own group."""
     cat = category_column(kind)
     return (ledger.groupBy(*by, "year", "month", cat)
-            .agg(from_cents(cents_sum(AMOUNT)).alias(alias)))
+            .agg(from_units(units_sum(AMOUNT)).alias(alias)))
 
 
-def _stack_kinds(ledger: DataFrame, kinds: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per (ledger row, kind): the chosen category columns stacked."""
+def _stack(rows: DataFrame, kinds: Sequence[str], by: Sequence[str]) -> DataFrame:
     for k in kinds:
         category_column(k)
     entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(category_column(k)).alias("category"))
                         for k in kinds])
-    return (ledger.select(*by, "year", "month", cents(AMOUNT).alias("amt"),
-                          F.inline(entries)))
+    return rows.select(*by, "year", "month", "amt", F.inline(entries))
+
+
+def _stack_kinds(ledger: DataFrame, kinds: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per (ledger row, kind): the chosen category columns stacked."""
+    return _stack(ledger.withColumn("amt", units(AMOUNT)), kinds, by)
+
+
+def _cells(ledger: DataFrame, kinds: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The ledger summed once to its months and category combinations, then stacked by kind."""
+    return _stack(ledger.groupBy(*by, "year", "month", *[category_column(k) for k in kinds])
+                  .agg(units_sum(AMOUNT).alias("amt")), kinds, by)
 
 
 def summaries_long(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = (),
@@ -62,21 +70,20 @@ def summaries_long(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence
 
     Returns ``(by..., kind, category, year, month, amount)`` with amount double.
     """
-    return summaries_from_stacked(_stack_kinds(ledger, kinds, by), kinds, by, months,
+    return summaries_from_stacked(_cells(ledger, kinds, by), kinds, by, months,
                                   categories=categories)
 
 
 def _summary_core(stacked: DataFrame, kinds: Sequence[str], by: Sequence[str],
                   months: DataFrame | None, categories: DataFrame | None = None) -> DataFrame:
     """The shared core: one row per (by, kind, year, category-or-Total) with
-    twelve month cells in cents -- 0 for recorded gaps, null for months the
+    twelve month cells in units -- 0 for recorded gaps, null for months the
     year did not record.
 
-    Plan: ONE aggregation over the input (GROUPING SETS of (year, category)
-    and (year) with twelve month-masked sums, so partial aggregation folds a
-    year's rows map-side), then one window per (ledger, kind, year) over the
-    few aggregated rows to learn the recorded months.  The input is scanned
-    once.
+    Plan: the input is already summed to cells (or to a stream's running
+    totals); GROUPING SETS of (year, category) and (year) with twelve
+    month-masked sums fold the cells, and the Total rows are joined back to tell each
+    year's recorded months.
     """
     keys = [*by, "kind", "year"]
     if months is not None:
@@ -100,10 +107,14 @@ def _summary_core(stacked: DataFrame, kinds: Sequence[str], by: Sequence[str],
     month_sums = [F.sum(F.when(F.col("month") == m, contrib)).alias(f"_m{m}") for m in MONTHS]
     agg = (stacked.groupingSets([[*keys, "category"], keys], *keys, "category")
            .agg(*month_sums, F.grouping("category").alias("_total")))
-    # Recorded months of the (ledger, kind, year): the Total row's non-null cells.
+    # Recorded months of the (ledger, kind, year): the Total row's non-null cells, joined back
+    # (few rows; a ledger-year's categories are never gathered in one task).
     flags = F.array(*[F.col(f"_m{m}").isNotNull() for m in MONTHS])
-    w = Window.partitionBy(*keys)
-    agg = agg.withColumn("_rec", F.max(F.when(F.col("_total") == 1, flags)).over(w))
+    recorded = agg.where(F.col("_total") == 1).select(*[F.col(k).alias(f"_k_{k}") for k in keys], flags.alias("_rec"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    agg = agg.join(recorded, same)
     total = F.col("_total") == 1
     return (agg.where(total | keep)
             .select(*keys, F.when(total, F.lit(TOTAL_LABEL)).otherwise(cat).alias("category"),
@@ -115,7 +126,7 @@ def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by:
                            months: DataFrame | None = None, prune_zero: bool = False,
                            categories: DataFrame | None = None) -> DataFrame:
     """The summary from ``(by..., kind, category, year, month, amt)`` rows,
-    where ``amt`` is an amount in cents (long): raw ledger rows or any
+    where ``amt`` is an amount in units (long): raw ledger rows or any
     pre-aggregated cells of them (sums compose), such as a stream's running
     totals.  Long output: the core's recorded months, one row each.
 
@@ -135,23 +146,24 @@ def summaries_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS, by:
                        F.inline(F.filter(cells, lambda e: e["amount"].isNotNull())))
     return rows.select(*by, "kind", "category", F.col("year").cast("int").alias("year"),
                        F.col("month").cast("int").alias("month"),
-                       from_cents("amount").alias("amount"))
+                       from_units("amount").alias("amount"))
 
 
 def summaries_wide_from_stacked(stacked: DataFrame, kinds: Sequence[str] = KINDS,
-                                by: Sequence[str] = (), months: DataFrame | None = None) -> DataFrame:
+                                by: Sequence[str] = (), months: DataFrame | None = None,
+                                categories: DataFrame | None = None) -> DataFrame:
     """R1 straight from the core: ``(by..., kind, year, category, 01..12)``,
     unrecorded months null.  No explode and no second aggregation."""
-    core = _summary_core(stacked, kinds, by, months)
+    core = _summary_core(stacked, kinds, by, months, categories)
     return core.select(*by, "kind", F.col("year").cast("int").alias("year"), "category",
-                       *[from_cents(f"_m{m}").alias(c) for m, c in zip(MONTHS, MONTH_COLUMNS)])
+                       *[from_units(f"_m{m}").alias(c) for m, c in zip(MONTHS, MONTH_COLUMNS)])
 
 
 def summary_long(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = (),
                  months: DataFrame | None = None, prune_zero: bool = False) -> DataFrame:
     """A2 + A3 for one kind: ``(by..., <kind>_category, year, month, amount)``."""
     cat = category_column(kind)
-    return (summaries_from_stacked(_stack_kinds(ledger, [kind], by), [kind], by, months, prune_zero)
+    return (summaries_from_stacked(_cells(ledger, [kind], by), [kind], by, months, prune_zero)
             .select(*by, F.col("category").alias(cat), "year", "month", "amount"))
 
 
@@ -176,7 +188,7 @@ def to_wide(long_df: DataFrame, keys: Sequence[str], value: str = "amount",
     The month values are listed explicitly, so Spark plans a single
     aggregation and no job to discover them; unrecorded months are null.
     """
-    wide = long_df.groupBy(*keys).pivot(month, MONTHS).agg(F.sum(value))
+    wide = long_df.groupBy(*keys).pivot(month, MONTHS).agg(F.sum(money(value)).cast("double"))
     return wide.select(*keys, *[F.col(str(m)).alias(c) for m, c in zip(MONTHS, MONTH_COLUMNS)])
 
 
@@ -197,7 +209,7 @@ def summary_wide(ledger: DataFrame, kind: str = "primary", by: Sequence[str] = (
     Built from the summary core's month columns: one aggregation, no pivot.
     """
     cat = category_column(kind)
-    wide = summaries_wide_from_stacked(_stack_kinds(ledger, [kind], by), [kind], by)
+    wide = summaries_wide_from_stacked(_cells(ledger, [kind], by), [kind], by)
     return _with_rank(wide.withColumnRenamed("category", cat), kind, cat, by, order)
 
 
@@ -207,35 +219,6 @@ def _with_rank(wide: DataFrame, kind: str, cat: str, by: Sequence[str], order: S
     return wide.select(*by, "year", cat, rank.alias("display_rank"), *MONTH_COLUMNS)
 
 
-def drop_total(df: DataFrame, category: str, drop_blank: bool = False) -> DataFrame:
-    """Remove the Total row (null categories drop too); optionally blanks."""
-    cond = F.col(category) != TOTAL_LABEL
-    if drop_blank:
-        cond = cond & (F.col(category) != "")
-    return df.where(cond)
-
-
-def prune_zero_categories(long_df: DataFrame, category: str, by: Sequence[str] = (),
-                          value: str = "amount") -> DataFrame:
-    """P7 (C11): drop categories that are zero (or null) in every month of the
-    year, always keeping Total."""
-    # A window over each category's (at most 12) month rows, not a self-join.
-    w = Window.partitionBy(*by, "year", category)
-    nz = F.max(F.coalesce(F.col(value), F.lit(0.0)) != 0).over(w)
-    return (long_df.withColumn("_nz", nz)
-            .where(F.col("_nz") | (F.col(category) == TOTAL_LABEL)).drop("_nz"))
-
-
-def pick_months(long_df: DataFrame, months: Sequence[int]) -> DataFrame:
-    """Keep the requested months (unrecorded ones simply have no rows)."""
-    return long_df.where(F.col("month").isin(list(months)))
-
-
-def recorded_months(long_df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The recorded months of each year."""
-    return long_df.select(*by, "year", "month").distinct()
-
-
 def category_totals(long_summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A5: all-time total per (kind, category) over every year and month.
 
@@ -246,7 +229,7 @@ def category_totals(long_summary: DataFrame, by: Sequence[str] = ()) -> DataFram
             .where(F.col("category").isNotNull() & (F.col("category") != "")
                    & (F.col("category") != TOTAL_LABEL))
             .groupBy(*by, "kind", "category")
-            .agg(from_cents(F.coalesce(cents_sum("amount"), F.lit(0).cast("long"))).alias("total")))
+            .agg(from_units(F.coalesce(units_sum("amount"), F.lit(0).cast("long"))).alias("total")))
 
 
 def dense_month_grid(facts: DataFrame, keys: Sequence[str], value: str = "value",
@@ -258,7 +241,7 @@ def dense_month_grid(facts: DataFrame, keys: Sequence[str], value: str = "value"
     holding a month map, then expanded by the fixed 12-month sequence: a
     bounded explode, not a join against a month table.
     """
-    cells = facts.groupBy(*keys, "year", "month").agg(F.sum(value).alias(value))
+    cells = facts.groupBy(*keys, "year", "month").agg(F.sum(money(value)).cast("double").alias(value))
     folded = (cells.groupBy(*keys, "year")
               .agg(F.map_from_entries(F.collect_list(F.struct("month", value))).alias("_cells")))
     return (folded
@@ -284,13 +267,15 @@ def merge_months_into_wide(wide: DataFrame, ledger: DataFrame, months: DataFrame
     """
     cat = category_column(kind)
     target = months.select(*by, "year", "month").distinct()
-    stored = (to_long(wide.select(*by, "year", cat, *MONTH_COLUMNS), [*by, "year", cat], value="amount")
-              .where(F.col("amount").isNotNull())
-              .join(target, [*by, "year", "month"], "left_anti"))
+    cells = to_long(wide.select(*by, "year", cat, *MONTH_COLUMNS), [*by, "year", cat], value="amount") \
+        .where(F.col("amount").isNotNull())
+    stored = cells.join(target, [*by, "year", "month"], "left_anti")
+    named = F.col(cat).isNotNull() & (F.col(cat) != TOTAL_LABEL)
     old_cells = stored.select(
-        *by, F.lit(kind).alias("kind"),
-        F.when(F.col(cat) != TOTAL_LABEL, F.col(cat)).alias("category"), "year", "month",
-        F.when(F.col(cat) != TOTAL_LABEL, cents("amount")).otherwise(F.lit(0).cast("long")).alias("amt"))
-    fresh = _stack_kinds(ledger.join(target, [*by, "year", "month"], "left_semi"), [kind], by)
-    merged = summaries_wide_from_stacked(old_cells.unionByName(fresh.select(*old_cells.columns)), [kind], by)
+        *by, F.lit(kind).alias("kind"), F.when(named, F.col(cat)).alias("category"), "year", "month",
+        F.when(named, units("amount")).otherwise(F.lit(0).cast("long")).alias("amt"))
+    kept = cells.where(named).select(*by, F.lit(kind).alias("kind"), F.col(cat).alias("category"), "year")
+    fresh = _cells(ledger.join(target, [*by, "year", "month"], "left_semi"), [kind], by)
+    merged = summaries_wide_from_stacked(old_cells.unionByName(fresh.select(*old_cells.columns)), [kind], by,
+                                         months=target, categories=kept)
     return _with_rank(merged.withColumnRenamed("category", cat), kind, cat, by, order)

@@ -571,5 +571,5 @@ def rename_positions(spark, sf_dir):
     rn = _part_years(t).select(
         F.col("l_partkey").alias("seq"), "year", A.asset_name_of_part("l_partkey").alias("old_name"),
         F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")).alias("new_name"))
-    h, p, _ = M.rename_holdings(A.holdings(t), A.prices(t), rn)
+    h, p, _ = M.rename_holdings(*A.positions(t), rn)
     return N.position_value(h, p).drop("value_dec")

@@ -18,7 +18,7 @@ def _cash(spark, sf_dir):
 
 def _nw(spark, sf_dir):
     t = A.Tables(spark, sf_dir)
-    return A.holdings(t), A.prices(t), A.liquidity(t), A.credits(t)
+    return *A.positions(t), A.liquidity(t), A.credits(t)
 
 
 @register("cashflow_statement", f"""

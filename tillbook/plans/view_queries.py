@@ -14,8 +14,8 @@ from tillbook.plans.registry import register
 from tillbook.sources import adapters as A
 
 SEARCH = dict(name="URG", category="o", amount_min=100000.0, amount_max=300000.0)
-COMPARE_MONTHS = [1, 6, 12]
-CHOSEN_CATEGORIES = ["Standard", "Promo", "Nosuch"]
+COMPARE_MONTHS = [1, 3, 6, 9, 12]
+CHOSEN_CATEGORIES = ["Standard", "Promo", "Nosuch", "Economy", "Small"]
 
 VIEW_COLS = """expense_id AS id, expense_name, CAST(day(expense_date) AS INTEGER) AS expense_date,
   round_even(expense_amount, 2) AS expense_amount, currency,
@@ -63,7 +63,8 @@ SELECT o_orderkey, concat_ws('-', CAST(y AS VARCHAR), lpad(CAST(m AS VARCHAR), 2
        CASE WHEN o_custkey <> 0 THEN CAST(100.0 AS DOUBLE) * o_totalprice / o_custkey ELSE 0.0 END AS pct,
        COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END, 0.0) AS filled,
        CASE WHEN o_totalprice IS NOT NULL AND o_totalprice <> 0 THEN format('{:,.2f}', o_totalprice)
-            ELSE '' END AS amount_text
+            ELSE '' END AS amount_text,
+       printf('%.1f%%', (o_orderkey % 1000) / 8.0) AS pct_text
 FROM (SELECT *, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m
       FROM orders) o""")
 def scalar_functions(spark, sf_dir):
@@ -77,7 +78,8 @@ def scalar_functions(spark, sf_dir):
         X.round2("o_totalprice").alias("cents"), X.safe_date("y", "m", F.lit(31)).alias("day31"),
         X.guarded_pct("o_totalprice", "o_custkey").alias("pct"),
         X.fill_zero(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))).alias("filled"),
-        X.fmt_amount("o_totalprice").alias("amount_text"))
+        X.fmt_amount("o_totalprice").alias("amount_text"),
+        X.fmt_percent((F.col("o_orderkey") % 1000) / 8.0).alias("pct_text"))
 
 
 @register("resolve_categories", f"""

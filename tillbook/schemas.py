@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY_SCALE = 2          # cents: ledger amounts, balances, income
+MONEY_SCALE = 6          # decimals kept by exact money sums
+SUM_SCALE = 6            # decimals kept by sums in whole units (totals up to 9.2e12)
 POSITION_SCALE = 4       # quantity and price factors of a position value
 
 LEDGER = T.StructType([

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins and coalesces
 # partitions at runtime, skew-join splits hot keys, and the broadcast
@@ -23,6 +23,9 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # stream state of many ledgers outgrows the executors' heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -46,24 +49,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the cluster's shared checkpoint folder, named by ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` is used when the session
-    has one.  Only when it is unset (local tests) is a fresh folder under the
-    system temp directory created and registered.
+    Without it this raises: intermediate tables need a folder that all
+    executors see.  Only ``local_session`` (tests, benchmarks) names a local one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tillbook-ckpt-"))
+    if not configured:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark)
-    if root.startswith("file:"):
-        root = "/" + root[len("file:"):].lstrip("/")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: computed once, and safe when executors are lost."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -120,15 +120,31 @@ def holdings(t: Tables) -> DataFrame:
                     F.lit("").alias("link"), "year", "month", "quantity"))
 
 
+def positions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(holdings, prices) for queries that use both.
+
+    The held months are aggregated once and stored in the shared folder, so the
+    line items are scanned a single time for the two tables.
+    """
+    from tillbook.session import stored
+
+    held = stored(_held(t), "held")
+    pt = t.part.select("p_partkey", "p_retailprice").where(F.col("p_size") >= 5)
+    asset = asset_name_of_part("l_partkey").alias("asset_name")
+    h = held.select(asset, _pick(F.col("l_partkey"), INVESTMENT_CATEGORIES).alias("category"), F.lit("").alias("link"),
+                    "year", "month", "quantity")
+    p = held.join(pt, held.l_partkey == pt.p_partkey).select(asset, "year", "month", F.col("p_retailprice").alias("price"))
+    return h, p
+
+
 def prices(t: Tables) -> DataFrame:
     """Prices: the part's retail price for every month its asset is held.
 
     Small parts (size below 5) have no quoted price, so positions with a
     missing price (valued null) occur in the data.
     """
-    # The months an asset is held: the holdings' own keys (same plan, so
-    # Spark reuses the holdings aggregation instead of scanning twice).
-    months = _held(t).select("l_partkey", "year", "month")
+    # The months an asset is held: distinct keys, combined map-side.
+    months = t.lineitem.select("l_partkey", *_ym("l_shipdate")).distinct()
     pt = t.part.select("p_partkey", "p_retailprice").where(F.col("p_size") >= 5)
     return (months.join(pt, months.l_partkey == pt.p_partkey)
             .select(asset_name_of_part("l_partkey").alias("asset_name"), "year", "month",

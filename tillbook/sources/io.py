@@ -14,16 +14,19 @@ go to a rejects frame instead of failing the job.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Sequence
+import re
+import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.domains import DEFAULT_CURRENCY, LEDGER_FILE_SUFFIX, MONTH_COLUMNS
+from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, LEDGER_FILE_SUFFIX, MONTH_COLUMNS
+from tillbook.functions.scalars import month_label
 from tillbook.operators.summaries import to_long
-from tillbook.schemas import KNOWN_CATEGORIES_JSON, LEDGER, MAPPINGS_JSON
+from tillbook.schemas import KNOWN_CATEGORIES_JSON, LEDGER, MAPPINGS_JSON, RECURRING
 
 LEDGER_PARTITIONED = T.StructType(LEDGER.fields + [
     T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
@@ -50,14 +53,31 @@ def _read_or_empty(spark: SparkSession, schema: T.StructType, reader) -> DataFra
 
 # ---- S1, S6: canonical partitioned ledger ------------------------------------
 
-def read_ledger(spark: SparkSession, root: str, year: int | None = None,
-                month: int | None = None, schema: T.StructType = LEDGER_PARTITIONED) -> DataFrame:
-    """The ledger (or one month of it); a missing root is an empty table.
+def ledger_schema(by: Sequence[str] = (), by_type: T.DataType | None = None) -> T.StructType:
+    """The stored ledger's schema: ``by`` columns, ``expense_id``, the ledger columns, year and month."""
+    return T.StructType([*[T.StructField(c, by_type or T.LongType()) for c in by], T.StructField("expense_id", T.LongType()),
+                         *LEDGER_PARTITIONED.fields])
 
-    ``year``/``month`` become partition filters, so only those folders are read.
+
+def month_filter(months: Sequence[tuple[int, int]]) -> F.Column:
+    """A partition filter for a bounded list of (year, month), by literals, so only their folders are read."""
+    out = F.lit(False)
+    for y in sorted({y for y, _ in months}):
+        out = out | ((F.col("year") == int(y)) & F.col("month").isin(sorted({int(m) for yy, m in months if yy == y})))
+    return out
+
+
+def read_ledger(spark: SparkSession, root: str, year: int | None = None, month: int | None = None,
+                schema: T.StructType = LEDGER_PARTITIONED, months: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """The ledger (or some months of it); a missing root is an empty table.
+
+    ``year``/``month``/``months`` become partition filters, so only those folders are read.  ``schema`` names
+    the stored columns (see ``ledger_schema`` for many ledgers with ids).
     """
     def load():
         df = spark.read.schema(schema).parquet(root)
+        if months is not None:
+            df = df.where(month_filter(months))
         if year is not None:
             df = df.where(F.col("year") == int(year))
         if month is not None:
@@ -87,6 +107,17 @@ def write_partitioned(df: DataFrame, root: str, partition_cols: Sequence[str] =
      .partitionBy(*partition_cols).parquet(root))
 
 
+def replace_months(df: DataFrame, root: str, months: Sequence[tuple[int, int]]) -> None:
+    """The stored rows of the listed (year, month)s become those of ``df``; months without rows are emptied."""
+    spark = df.sparkSession
+    write_partitioned(df.where(month_filter(months)), root)
+    left = {(r.year, r.month) for r in df.where(month_filter(months)).select("year", "month").distinct().toLocalIterator()}
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for y, m in set(months) - left:
+        path = hadoop.Path(f"{root.rstrip('/')}/year={int(y)}/month={int(m)}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ---- S2, S4, S5, W1: the application's own layout ---------------------------------
 
 def parse_legacy_path(path_col: str = "_file") -> tuple:
@@ -114,133 +145,183 @@ def upgrade_ledger(df: DataFrame) -> DataFrame:
     return df
 
 
+def _generations(spark: SparkSession, pattern: str) -> list[tuple[T.StructType, list[str]]]:
+    """The files of a path pattern grouped by their stored schema.
+
+    A legacy root holds a few files per year, written by several generations of the application.  Only
+    file names and footers are looked at here (a table that is a folder of part files by its first part:
+    one job wrote them all); each generation is then one scan.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fs_path = hadoop.Path(pattern)
+    fs = fs_path.getFileSystem(conf)
+    groups: dict[str, list[str]] = {}
+    for status in fs.globStatus(fs_path) or []:
+        parts = [status] if not status.isDirectory() else \
+            [p for p in fs.listStatus(status.getPath()) if p.getPath().getName().endswith(".parquet")]
+        if not parts:
+            continue
+        source = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(parts[0].getPath(), conf)
+        reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        stored_as = reader.getFooter().getFileMetaData().getSchema().toString()
+        reader.close()
+        groups.setdefault(stored_as, []).append(status.getPath().toString())
+    return [(spark.read.parquet(paths[0]).schema, paths) for paths in groups.values()]
+
+
+def _scan_generations(spark: SparkSession, pattern: str, read_one) -> list[DataFrame]:
+    """``read_one`` applied to one scan per file generation, with the files' paths and row numbers as
+    ``_file`` and ``_row``."""
+    out = []
+    for schema, paths in _generations(spark, pattern):
+        raw = spark.read.schema(schema).parquet(*paths)
+        out.append(read_one(raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))))
+    return out
+
+
+def _union(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
+    for f in frames:
+        empty = empty.unionByName(f)
+    return empty
+
+
 def scan_legacy_ledger(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """S2 + S4 + S5 + W1: every ``<root>/<year>/MM_detailed_expenses.parquet``.
 
     Returns (ledger, rejects).  Ledger rows get ``year``, ``month`` from
-    the path and ``expense_id`` from (year, month, row position in the file),
+    the path and ``expense_id`` from the file and the row's place in it,
     so ids exist before any filter.  Rows of unparsable paths are rejected
-    with the path and a reason.  Files of one scan must share a schema; scan
-    older generations separately and union the upgraded results.
+    with the path and a reason.  Files of several generations may be mixed: each generation is one scan,
+    upgraded on its own; columns that it lacks are null.
     """
-    pattern = os.path.join(root, "*", "*" + LEDGER_FILE_SUFFIX)
-    raw = _try_read(lambda: spark.read.parquet(pattern))
-    if raw is None:
-        empty = spark.createDataFrame([], LEDGER_PARTITIONED).withColumn("expense_id", F.lit(0).cast("long"))
-        return empty, spark.createDataFrame([], "file_path string, reason string, rows long")
-    df = raw.select("*", F.col("_metadata.file_path").alias("_file"),
-                    F.col("_metadata.row_index").alias("_row"))
-    y, m, reason = parse_legacy_path("_file")
-    tagged = df.withColumn("year", y).withColumn("month", m).withColumn("reason", reason)
-    good = (upgrade_ledger(tagged.where(F.col("reason").isNull()))
-            .withColumn("expense_id", legacy_expense_id("year", "month", "_row"))
-            .drop("reason", "_file", "_row"))
-    rejects = (tagged.where(F.col("reason").isNotNull())
-               .groupBy(F.col("_file").alias("file_path"), "reason").agg(F.count("*").alias("rows")))
-    return good, rejects
-
-
-def legacy_expense_id(year, month, row) -> F.Column:
-    """A stable id from the file's (year, month) and row position."""
-    return (F.col(year).cast("long") * 10_000_000_000 + F.col(month).cast("long") * 100_000_000
-            + F.col(row).cast("long"))
-
-
-def _layout_writer(root: str, group_cols: list[str], folder_of, cols: list[str]):
-    """A ``mapInPandas`` function writing each task's rows into one part file
-    per group folder.
-
-    Retry-safe: a part file is named by the task's partition id and written
-    under a temporary name, then renamed into place when the task's input is
-    exhausted, so a retried or speculative attempt replaces the same file
-    instead of adding a duplicate.  Uses the Arrow filesystem of ``root``
-    (local, HDFS, object stores), so it works against the shared folder.
-    """
-    def write(batches: Iterable) -> Iterable:
-        import uuid
-
-        import pandas as pd
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        from pyarrow import fs as pafs
-        from pyspark import TaskContext
-        filesystem, base = pafs.FileSystem.from_uri(root) if "://" in root else \
-            (pafs.LocalFileSystem(), os.path.abspath(root))
-        part_id = TaskContext.get().partitionId()
-        attempt = uuid.uuid4().hex[:8]
-        writers: dict = {}
-        counts: dict = {}
-        try:
-            for pdf in batches:
-                for key, part in pdf.groupby(group_cols, sort=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    folder = f"{base}/{folder_of(*key)}"
-                    final = f"{folder}/part-{part_id:05d}.parquet"
-                    table = pa.Table.from_pandas(part[cols], preserve_index=False)
-                    if final not in writers:
-                        filesystem.create_dir(folder, recursive=True)
-                        tmp = f"{folder}/.part-{part_id:05d}.{attempt}.tmp"
-                        writers[final] = (tmp, pq.ParquetWriter(tmp, table.schema, filesystem=filesystem))
-                    writers[final][1].write_table(table)
-                    counts[final] = counts.get(final, 0) + len(part)
-        finally:
-            for _, w in writers.values():
-                w.close()
-        for final, (tmp, _) in writers.items():
-            filesystem.move(tmp, final)
-        yield pd.DataFrame({"path": list(counts), "rows": list(counts.values())})
-    return write
-
-
-def write_legacy_layout(df: DataFrame, root: str) -> DataFrame:
-    """Write a ledger in the application's own layout, distributed.
-
-    Each task streams its Arrow batches into one part file per (year, month)
-    it holds, under ``<root>/<year>/<MM>_detailed_expenses.parquet/``.  No
-    group is gathered into one task, and no data passes through the driver.
-    Lazy: returns (path, rows) per written file; run an action on it.
+    schema = T.StructType([*LEDGER_PARTITIONED.fields, T.StructField("expense_id", T.StringType())])
+    reject_ddl = "file_path string, reason string, rows long"
+    good, rejects = [], []
+
+    def one(df: DataFrame) -> None:
+        y, m, reason = parse_legacy_path("_file")
+        tagged = df.withColumn("year", y).withColumn("month", m).withColumn("reason", reason)
+        ok = upgrade_ledger(tagged.where(F.col("reason").isNull())) \
+            .withColumn("expense_id", legacy_expense_id("year", "month", "_file", "_row"))
+        good.append(ok.select(*[(F.col(f.name) if f.name in ok.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                                for f in schema.fields]))
+        rejects.append(tagged.where(F.col("reason").isNotNull())
+                       .groupBy(F.col("_file").alias("file_path"), "reason").agg(F.count("*").alias("rows")))
+
+    _scan_generations(spark, os.path.join(root, "*", "*" + LEDGER_FILE_SUFFIX), one)
+    return (_union(good, spark.createDataFrame([], schema)),
+            _union(rejects, spark.createDataFrame([], reject_ddl)))
+
+
+def legacy_expense_id(year, month, file, row) -> F.Column:
+    """A stable id: the month, the file within it and the row in the file, as text of three parts.
+
+    ``row`` restarts in every part file, so the file's name (a hash of its path) is a part of the id; there is no bound on rows.
     """
-    cols = [c for c in df.columns if c not in ("year", "month")]
-    fn = _layout_writer(root, ["year", "month"],
-                        lambda y, m: f"{int(y)}/{int(m):02d}{LEDGER_FILE_SUFFIX}", cols)
-    return df.mapInPandas(fn, "path string, rows long")
+    return F.concat_ws("-", month_label(year, month), F.hex(F.xxhash64(F.col(file))), F.col(row).cast("string"))
 
 
-def write_year_tables(wide: DataFrame, root: str, filename: str) -> DataFrame:
-    """Write yearly wide tables in the application's layout
-    (``<root>/<year>/<filename>/part-*.parquet``), distributed like
-    ``write_legacy_layout``.  Lazy: returns (path, rows) per file."""
-    cols = [c for c in wide.columns if c != "year"]
-    fn = _layout_writer(root, ["year"], lambda y: f"{int(y)}/{filename}", cols)
-    return wide.mapInPandas(fn, "path string, rows long")
+def _write_layout(df: DataFrame, root: str, keys: list[str], folder_of) -> list[str]:
+    """Write ``df`` with Spark's Parquet writer, one folder per key combination, under the layout's names.
+
+    The rows go to a staging folder (``partitionBy``, explicit schema, job commit), so executors do all the
+    writing and retries are safe.  Then the few finished folders take the place of the old ones by renames in the Hadoop
+    file system, which move no data.  Folders that ``df`` has no rows for stay as they were.
+    """
+    spark = df.sparkSession
+    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(*keys).parquet(staging)
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(staging)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    moves = []
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path("/".join([staging, *[f"{k}=*" for k in keys]]))) or []:
+        values = [part.split("=", 1)[1] for part in status.getPath().toString().split("/")[-len(keys):]]
+        # a row without year or month has no place in the layout: int() raises before anything is moved
+        moves.append((status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{folder_of(*values)}")))
+    for source, target in moves:
+        fs.mkdirs(target.getParent())
+        fs.delete(target, True)
+        if not fs.rename(source, target):
+            raise OSError(f"could not move {source} to {target}")
+    fs.delete(base, True)
+    return sorted(target.toString() for _, target in moves)
+
+
+def write_legacy_layout(df: DataFrame, root: str) -> list[str]:
+    """Write a ledger in the application's own layout, ``<root>/<year>/<MM>_detailed_expenses.parquet``
+    (a folder of part files each).  Months in ``df`` replace what was stored for them; returns their paths."""
+    return _write_layout(df, root, ["year", "month"], lambda y, m: f"{int(y)}/{int(m):02d}{LEDGER_FILE_SUFFIX}")
+
+
+def write_year_tables(wide: DataFrame, root: str, filename: str) -> list[str]:
+    """Write yearly tables in the application's layout, ``<root>/<year>/<filename>``; years in
+    ``wide`` replace what was stored for them; returns their paths."""
+    return _write_layout(wide, root, ["year"], lambda y: f"{int(y)}/{filename}")
+
+
+def _year_frames(spark: SparkSession, root: str, filename: str, shape) -> list[DataFrame]:
+    year = F.regexp_extract(F.col("_file"), YEAR_TABLE_RE, 1).try_cast("int")
+    return _scan_generations(spark, os.path.join(root, "*", filename), lambda df: shape(df.withColumn("year", year)))
 
 
-def read_year_table(spark: SparkSession, root: str, filename: str, ids: Sequence[str],
-                    value: str, schema: T.StructType | None = None) -> DataFrame:
+def read_year_table(spark: SparkSession, root: str, filename: str, ids: Sequence[str], value: str) -> DataFrame:
     """S3 + S4 + R2: a yearly wide table from every ``<root>/<year>/<filename>``,
     upgraded and turned long: ``(ids..., year, month, value)``.
 
-    Upgrades: holdings/prices without ``link`` get ""; liquidity and
+    Each file generation is upgraded on its own: holdings/prices without ``link`` get ""; liquidity and
     credits without ``currency`` get the default; a leftover ``type``
     column is dropped.  A missing table is empty.
     """
-    pattern = os.path.join(root, "*", filename)
-    empty = T.StructType([T.StructField(c, T.StringType()) for c in ids]
-                         + [T.StructField(c, T.DoubleType()) for c in MONTH_COLUMNS])
-    found = _try_read(lambda: spark.read.parquet(pattern))
-    if found is None:
-        wide = spark.createDataFrame([], schema or empty).withColumn("_file", F.lit(None).cast("string"))
-    else:
-        wide = found.withColumn("_file", F.col("_metadata.file_path"))
-    if "link" in ids and "link" not in wide.columns:
-        wide = wide.withColumn("link", F.lit(""))
-    if "currency" in ids and "currency" not in wide.columns:
-        wide = wide.withColumn("currency", F.lit(DEFAULT_CURRENCY))
-    if "type" in wide.columns and "type" not in ids:
-        wide = wide.drop("type")
-    year = F.regexp_extract(F.col("_file"), YEAR_TABLE_RE, 1).try_cast("int")
-    wide = wide.select(*ids, year.alias("year"), *[F.col(c).cast("double").alias(c) for c in MONTH_COLUMNS])
-    return to_long(wide, [*ids, "year"], value=value)
+    defaults = {"link": "", "currency": DEFAULT_CURRENCY}
+
+    def shape(df: DataFrame) -> DataFrame:
+        def one(c):
+            return F.col(c).cast("string") if c in df.columns else F.lit(defaults.get(c)).cast("string")
+        months = [(F.col(c) if c in df.columns else F.lit(None)).cast("double").alias(c) for c in MONTH_COLUMNS]
+        return to_long(df.select(*[one(c).alias(c) for c in ids], "year", *months), [*ids, "year"], value=value)
+
+    empty = spark.createDataFrame([], T.StructType(
+        [T.StructField(c, T.StringType()) for c in ids] + [T.StructField("year", T.IntegerType()),
+         T.StructField("month", T.IntegerType()), T.StructField(value, T.DoubleType())]))
+    return _union(_year_frames(spark, root, filename, shape), empty)
+
+
+def read_summary_table(spark: SparkSession, root: str, filename: str, kind: str) -> DataFrame:
+    """S3 for the yearly summaries, whose month columns are named ``YYYY-MM``: ``(<kind>_category, year, month, amount)``."""
+    cat = f"{kind}_category"
+
+    def shape(df: DataFrame) -> DataFrame:
+        months = [c for c in df.columns if re.fullmatch(r"[0-9]{4}-[0-9]{2}", c)]
+        if not months:
+            return df.select(F.col(cat), F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("month"),
+                             F.lit(None).cast("double").alias("amount")).where(F.lit(False))
+        cells = df.select(cat, *[F.col(f"`{c}`").cast("double").alias(c) for c in months]).unpivot([cat], months, "_label", "amount")
+        # one generation's scan covers several years; a file has only its own year's columns
+        return cells.select(cat, F.substring("_label", 1, 4).cast("int").alias("year"), F.substring("_label", 6, 2).cast("int").alias("month"), "amount")
+
+    return _union(_year_frames(spark, root, filename, shape),
+                  spark.createDataFrame([], f"{cat} string, year int, month int, amount double"))
+
+
+def read_recurring(spark: SparkSession, root: str, filename: str = "recurring_expenses.parquet") -> DataFrame:
+    """S3 for the recurring templates (long form): ``(year, <template columns>)``; missing columns are null."""
+    schema = T.StructType([T.StructField("year", T.IntegerType()), *RECURRING.fields])
+
+    def shape(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    return _union(_year_frames(spark, root, filename, shape), spark.createDataFrame([], schema))
+
+
+def read_cashflow(spark: SparkSession, root: str, years: Sequence[int], filename: str = "cashflow.parquet") -> DataFrame:
+    """S3: the income table, ``(category, year, month, value)``: a wanted year without a file has zeros."""
+    found = read_year_table(spark, root, filename, ["category"], "value")
+    spark_years = spark.createDataFrame([(int(y),) for y in years], "year int")
+    lacking = spark_years.join(found.select("year").distinct(), "year", "left_anti")
+    zeros = lacking.select(F.explode(F.array(*[F.lit(c) for c in INCOME_CATEGORIES])).alias("category"), "year") \
+        .select("category", "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"), F.lit(0.0).alias("value"))
+    return found.unionByName(zeros)
 
 
 # ---- S7 ---------------------------------------------------------------------------
@@ -254,11 +335,19 @@ def discover_years(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # ---- S8, S9: JSON configuration ------------------------------------------------------
 
+def _one_object_per_line(lines: DataFrame) -> bool:
+    text = F.trim("value")
+    return lines.where(~(text.startswith("{") & text.endswith("}")) & (text != "")).limit(1).count() == 0
+
+
 def read_mappings_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object ``name -> {primary_category, secondary_category}``
-    per file (one file per ledger); the file name becomes ``source``.
+    """JSON objects ``name -> {primary_category, secondary_category}``; the file name becomes ``source``.
+
+    A file holds one object over several lines (the application's form, ``wholetext``) or one object per line (the
+    form written here): a line that is not an object by itself sends its file to the first reading.
     A missing path is an empty table."""
-    raw = _try_read(lambda: spark.read.text(path, wholetext=True))
+    lines = _try_read(lambda: spark.read.text(path))
+    raw = None if lines is None else lines if _one_object_per_line(lines) else spark.read.text(path, wholetext=True)
     if raw is None:
         return spark.createDataFrame([], "source string, name_key string, primary_category string, "
                                          "secondary_category string")
@@ -286,16 +375,16 @@ def read_known_categories_json(spark: SparkSession, path: str) -> DataFrame:
             .select(*extra, "source", "kind", F.explode("names").alias("category")))
 
 
-def mappings_to_json(mappings: DataFrame, by: Sequence[str]) -> DataFrame:
-    """S8 writer side: one JSON object text per ledger (``by``), keys sorted.
+def mappings_to_json(mappings: DataFrame, by: Sequence[str], entries: int = 10_000) -> DataFrame:
+    """S8 writer side: JSON object texts per ledger (``by``), keys sorted, of about ``entries`` entries each.
 
-    A JSON object is one file's whole text, so each ledger's mappings form
-    one group; ``by`` is required so the table is never gathered whole.
+    The reader takes any number of objects per ledger, one per line, so no ledger is gathered whole: its
+    names are dealt over as many objects as their number asks for.
     """
     if not by:
-        raise ValueError("mappings_to_json needs `by`: one JSON object per ledger")
+        raise ValueError("mappings_to_json needs `by`: JSON objects belong to a ledger")
     entry = F.struct(F.col("name_key").alias("key"),
                      F.struct("primary_category", "secondary_category").alias("value"))
-    return (mappings.groupBy(*by)
-            .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value")))
-
+    sizes = mappings.groupBy(*by).agg(F.ceil(F.count("*") / entries).cast("int").alias("_objects"))
+    return (mappings.join(sizes, list(by)).groupBy(*by, F.pmod(F.xxhash64("name_key"), F.col("_objects").cast("long")).alias("_object"))
+            .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value")).drop("_object"))
