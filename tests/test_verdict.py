@@ -13,7 +13,6 @@ from tillbook.operators import maintenance as MT
 from tillbook.operators import networth as N
 from tillbook.operators import reports as R
 from tillbook.operators import summaries as S
-from tillbook.plans import catalog
 from tillbook.session import ensure_checkpoint_dir
 from tillbook.sources import io as IO
 
@@ -162,11 +161,6 @@ def test_stray_years_do_not_stretch_the_spine(spark):
     assert N.stray_months(liq).count() == 2
 
 
-def test_summary_has_one_expand_over_cells(spark):
-    plan = catalog.QUERIES["summary_all_long"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and plan.count("lineitem.parquet") == 1 or plan.count("lineitem.parquet") <= 2
-
-
 def test_checkpoint_folder_is_required(spark, monkeypatch):
     class Bare:
         class sparkContext:  # noqa: N801
