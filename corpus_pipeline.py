@@ -13,7 +13,7 @@ from tillbook.llm.queries import encoded
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a quality score of at least the threshold."""
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows; texts with repeated passages keep the other words, joined by spaces.  Other texts stay as they are."""
     found = substring.dedup_substrings(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     columns = [(text if c == "text" else F.length(text).cast(t) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes]
     return found.select(*columns)
 

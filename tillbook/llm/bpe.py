@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, U, blocks, mix, powers, signed, small, stored, text_buffer, text_key, unsigned
+from .common import BROADCAST_BYTES, U, blocks, mix, powers, signed, small, stored, text_batches, text_buffer, text_key, unsigned
 
 #: A cut follows a byte whose rolling hash has these bits zero: chunks of 512 bytes on average.
 CUT_MASK = 511
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, path: str, limit: int = BROADCAST_BYTES) -> DataFram
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    rows = text_batches(docs).select("doc_id", text_key().alias("text_key"), "text")
     repeats = stored(rows.groupBy("text_key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("text_key", "low"), "bpe-repeats")
     n_repeats = repeats.count()
     marked = rows.join(small(repeats.withColumn("again", F.lit(True)), n_repeats, 64), "text_key", "left")

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
+#: Rows of an Arrow batch that carries texts: keeps a batch to a few MB on both sides of the Python worker.
+TEXT_ROWS = 1000
 #: Largest table, in bytes, that is broadcast on purpose; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -139,6 +141,14 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """The frame itself; from here on the session sends texts to Python in batches of at most TEXT_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def crc_fold(column, modulus: int):
     """crc32 of a column's text form, modulo; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, U, blocks, scan_words, signed, small, stored, text_key
+from .common import NON_ALNUM, U, blocks, scan_words, signed, small, stored, text_batches, text_key
 
 WINDOW = 10
 LISTS = 2  # rarest terms of a window whose lists are intersected
@@ -58,7 +58,7 @@ def count_terms(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:
                 if len(h):
                     value, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([signed(value), pa.array(n, pa.int64())], ["term", "n"])
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return text_batches(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def positional_index(docs: DataFrame, terms: np.ndarray | None) -> DataFrame:

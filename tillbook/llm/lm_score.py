@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SPACE, U, blocks, crc_fold, mix, scan_words, shuffle_width, signed, stored, text_key, unsigned
+from .common import SPACE, U, blocks, crc_fold, mix, scan_words, shuffle_width, signed, stored, text_batches, text_key, unsigned
 
 BASE = 1.5
 BITS = 12
@@ -103,12 +103,13 @@ def probe_segment(table: np.ndarray, begin: np.ndarray, words: np.ndarray, grams
 class Segments:
     """Filter segments side by side in one array."""
 
-    def __init__(self, parts: dict[int, np.ndarray], count: int):
-        self.count = count
-        sizes = np.array([len(parts.get(i, ())) for i in range(count)], np.int64)
-        self.words = sizes
-        self.begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.table = np.concatenate([parts[i] for i in sorted(parts)] or [np.zeros(0, U)])
+    def __init__(self, words: np.ndarray, parts):
+        """``words``: the size of each segment; ``parts``: (segment, its bytes) in any order."""
+        self.count, self.words = len(words), words
+        self.begin = np.concatenate([[0], np.cumsum(words)[:-1]])
+        self.table = np.zeros(int(words.sum()), U)
+        for seg, raw in parts:
+            self.table[self.begin[seg]:self.begin[seg] + words[seg]] = np.frombuffer(raw, U)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         seg = segment_of(grams, self.count)
@@ -186,7 +187,7 @@ def train(docs: DataFrame, segments: int | None = None) -> Model:
     spark = docs.sparkSession
     width = shuffle_width(spark)
     segments = segments or 4 * width
-    texts = docs.select("text")
+    texts = text_batches(docs).select("text")
     schema = "seg int, gram long, n long"
 
     def counted(kind):
@@ -311,6 +312,15 @@ def _routed_scores(rows: DataFrame, model: Model, weight: float) -> DataFrame:
     return texts.join(got, "text_key").mapInArrow(score, "text_key binary, score double")
 
 
+def _sorted_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    batches = counts.toArrow().to_batches()
+    gram = np.concatenate([unsigned(b["gram"]) for b in batches] or [np.zeros(0, U)])
+    n = np.concatenate([np.asarray(b["n"]) for b in batches] or [np.zeros(0, np.int64)])
+    del batches
+    order = np.argsort(gram)
+    return gram[order], n[order]
+
+
 def score(docs: DataFrame, model: Model, weight: float = LAMBDA, filter_limit: int = FILTER_BYTES, count_limit: int = COUNT_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
@@ -320,16 +330,15 @@ def score(docs: DataFrame, model: Model, weight: float = LAMBDA, filter_limit: i
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    rows = text_batches(docs).select("doc_id", text_key().alias("text_key"), "text")
     counts = segs = None
     if 16 * model.v <= count_limit:
-        got = model.counts.toArrow()
-        gram, n = unsigned(got["gram"].combine_chunks()) if got.num_rows else np.zeros(0, U), np.asarray(got["n"])
-        order = np.argsort(gram)
-        counts = spark.sparkContext.broadcast((gram[order], n[order].astype(np.int64)))
+        counts = spark.sparkContext.broadcast(_sorted_counts(model.counts))
     if model.filter_bytes <= filter_limit:
-        parts = {r.seg: np.frombuffer(r.bits, U) for r in model.bits.toLocalIterator()}
-        segs = spark.sparkContext.broadcast(Segments(parts, model.segments))
+        words = np.zeros(model.segments, np.int64)
+        for r in model.bits.select("seg", F.octet_length("bits").alias("b")).toLocalIterator():
+            words[r.seg] = r.b // 8
+        segs = spark.sparkContext.broadcast(Segments(words, ((r.seg, r.bits) for r in model.bits.toLocalIterator())))
     schema = f"doc_id {kind}, text_key binary, n_tokens long"
     schema += ", n_known long, base_score double" if counts else ""
     schema += ", score double" if segs else ""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import SPACE, U, blocks, crc_fold, mix, scan_words, small, text_buffer
+from .common import SPACE, U, blocks, crc_fold, mix, scan_words, small, text_batches, text_buffer
 
 FEATURES = 384
 GAMMA = 0.35  # width of the kernel over statistics with unit variance, per statistic
@@ -43,8 +43,10 @@ def statistics(col: pa.Array) -> np.ndarray:
     n = len(col)
     buf, offsets = text_buffer(col)
     size = np.diff(offsets).astype(float)
-    at = np.concatenate([np.zeros((6, 1)), np.cumsum(_CLASS[:, buf], axis=1)], axis=1)
-    classes = (at[:, offsets[1:]] - at[:, offsets[:-1]]) / np.maximum(size, 1)
+    classes = []
+    for kind in _CLASS:
+        at = np.concatenate([[0], np.cumsum(kind[buf], dtype=np.int32)])
+        classes.append((at[offsets[1:]] - at[offsets[:-1]]) / np.maximum(size, 1))
 
     w = scan_words(col)
     words = w.counts.astype(float)
@@ -199,22 +201,24 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     """
     fold = crc_fold("doc_id", folds)
     marks = labels.where("quality in (0, 1) and doc_id is not null").where(fold != held).select("doc_id", "quality").distinct()
-    return docs.select("doc_id", "text").join(small(marks, marks.count(), 32), "doc_id") \
+    return text_batches(docs).select("doc_id", "text").join(small(marks, marks.count(), 32), "doc_id") \
         .select("text", "quality", (fold == (held + 1) % folds).alias("calibrate"))
 
 
 def score(docs: DataFrame, model: Classifier, carry: list[str] | None = None) -> DataFrame:
-    """The columns named by ``carry`` (all by default) in a struct ``row``, and score (0 to 1; higher: label 1 likelier) for every row.
+    """The columns named by ``carry`` (all by default; the text beside them) in a struct ``row``, and score (0 to 1; higher: label 1 likelier) for every row.
 
     Only the text is read; a null text counts as empty and equal texts have equal scores.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), docs["text"])
-    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType())])
+    carry = carry or docs.columns
+    rows = text_batches(docs.select(F.struct(*[docs[c] for c in carry if c != "text"]).alias("row"), docs["text"]))
+    kept = ["row", "text"] if "text" in carry else ["row"]
+    schema = StructType([*[rows.schema[c] for c in kept], StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.score(statistics(part.column("text"))))], ["row", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(model.score(statistics(part.column("text"))))], [*kept, "score"])
     return rows.mapInArrow(run, schema)
 
 

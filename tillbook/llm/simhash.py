@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, blocks, scan_words, shuffle_width, signed, small, stored, text_key, unsigned
+from .common import U, blocks, scan_words, shuffle_width, signed, small, stored, text_batches, text_key, unsigned
 from .components import components
 from .xxh import xxh64
 
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     take part; their component's id is null only when all its ids are (``root``, a fingerprint, tells components apart).  Equal texts and repeated rows share a
     fingerprint and are compared once.  An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    rows = text_batches(docs).select("doc_id", text_key().alias("text_key"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     marked = stored(rows.mapInArrow(_fingerprint_batches(shingle, ["doc_id", "text_key"]),
                                     f"doc_id {kind}, text_key binary, fp long"), "fingerprints")

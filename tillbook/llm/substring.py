@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import BROADCAST_BYTES, U, blocks, mix, powers, scan_words, signed, small, stored, text_key, unsigned
+from .common import BROADCAST_BYTES, U, blocks, mix, powers, scan_words, signed, small, stored, text_batches, text_key, unsigned
 from .hashing import spark_xxhash64_pair
 
 WINDOW = 20
@@ -261,7 +261,7 @@ def _range_batches(window):
     return run
 
 
-def _keep_batches(window):
+def _keep_batches(window, kept_columns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
@@ -287,14 +287,14 @@ def _keep_batches(window):
                 n = np.diff(first)
                 raw = out.tobytes()
                 texts = [raw[place[a]:max(place[a], place[b] - 1)].decode() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(w.counts, pa.int64()), pa.array(w.counts - n, pa.int64()), pa.array(texts, pa.string())],
-                                                 ["row", "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept_columns], pa.array(w.counts, pa.int64()), pa.array(w.counts - n, pa.int64()), pa.array(texts, pa.string())],
+                                                 [*kept_columns, "n_words", "n_removed", "kept_text"])
     return run
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: tuple[int, ...] = ROUNDS, limit: int = BROADCAST_BYTES,
                      carry: list[str] | None = None) -> DataFrame:
-    """row (the columns named by ``carry``, all by default), n_words, n_removed, kept_text for every row.
+    """row (the columns named by ``carry``, all by default; the text beside them), n_words, n_removed, kept_text for every row.
 
     A word goes when a window of ``window`` words over it has the same words as a window that starts earlier
     (smaller doc_id, or the same doc_id and an earlier start).  doc_id is a whole number; rows without one come
@@ -303,7 +303,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: tuple[int, .
     Windows are named by 96-bit hashes of their word sequences.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), docs["text"],
+    carry = carry or docs.columns
+    rows = text_batches(docs).select(F.struct(*[docs[c] for c in carry if c != "text"]).alias("row"), docs["text"],
                        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_DOC)).alias("doc"), text_key().alias("text_key"))
     rows = rows.withColumn("tag", F.conv(F.substring(F.hex("text_key"), 1, 7), 16, 10).cast("int"))
     repeats = stored(rows.groupBy("text_key").agg(F.min("doc").alias("low"), F.count("*").alias("n")).where("n > 1").select("text_key", "low"), "repeats")
@@ -327,6 +328,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: tuple[int, .
     spans = stored(spans, "removed-spans")
     size = spans.agg(F.coalesce(F.sum(F.size("spans") * 4 + 64), F.lit(0)).alias("b")).first().b
     marked = rows.join(small(spans, 1, size), ["doc", "tag"], "left").select("row", "text", "copy", "spans")
-    kind = rows.schema["row"].dataType
-    schema = StructType([StructField("row", kind), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
-    return marked.mapInArrow(_keep_batches(window), schema)
+    kept = ["row", "text"] if "text" in carry else ["row"]
+    schema = StructType([*[marked.schema[c] for c in kept], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    return marked.mapInArrow(_keep_batches(window, kept), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, text_batches
 
 MARK = "▁"
 HELD = 400_000  # distinct pre-tokens whose counts a task keeps
@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """
     proof = WholeTokens(path)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    rows = text_batches(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     run = _count_batches(path, proof.alone) if proof.splits else _plain_batches(path)
     out = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, n_whole long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
