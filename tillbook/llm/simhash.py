@@ -247,7 +247,10 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     found = stored(near_duplicates(docs, shingle, radius), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
     stay = found.groupBy("root").agg(F.min(order).alias("first"))
-    gone = stored(found.join(stay, "root").where(order != F.col("first")).select("doc_id", "text_key").distinct(), "near-duplicates-gone")
+    stay = stay.select(F.col("first.b").alias("stay_id"), F.col("first.c").alias("stay_key"))
+    # an anti join by row, not by component: a large group is spread over all tasks
+    gone = stored(found.select("doc_id", "text_key").distinct().join(
+        stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_key") == F.col("stay_key")), "left_anti"), "near-duplicates-gone")
     again = stored(found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "repeated-rows")
 
     def same(left: DataFrame, right: DataFrame):
