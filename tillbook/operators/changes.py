@@ -253,7 +253,6 @@ def set_values(table: DataFrame, changes: DataFrame, name_col: str, value: str,
     names = latest.select(*ent).distinct()
     known = table.select(*ent, *attrs).join(names, ent, "left_semi").groupBy(*ent) \
         .agg(F.lit(True).alias("_known"), *[F.min(c).alias(c) for c in attrs])
-    known = _resolved(known, "known-entities")
     accepted = latest.join(known, ent).select(*cell, *attrs, F.col(value).cast(table.schema[value].dataType).alias(value))
     notfound = latest.join(known, ent, "left_anti").withColumn("reason", F.lit("not found"))
     out = upsert_cells(table, accepted, cell, value)
