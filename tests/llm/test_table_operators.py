@@ -112,6 +112,25 @@ def test_nearest_recall(spark):
     assert sum(len(got[q] & {j for j, _ in x}) for q, x in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_nearest_recall_with_unequal_norms(spark, monkeypatch, norms):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    scale = np.where(np.arange(len(t)) == 7, 100.0, 1.0) if norms == "outlier" else np.random.default_rng(3).lognormal(0, 0.5, len(t))
+    ids, x = np.array([r.vec_id for r in t]), np.array([r.embedding for r in t]) * scale[:, None]
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(d, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    s = x[asked] @ x.T
+    s[ids[asked][:, None] == ids] = -np.inf
+    want = {int(ids[q]): set(ids[np.argsort(-row)[:20]].tolist()) for q, row in zip(asked, s, strict=True)}
+    recall = sum(len(got[q] & w) for q, w in want.items()) / (20 * len(want))
+    print("recall", norms, recall)
+    assert recall >= 0.9
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7), (200, 200)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(path, "u long, v long")).collect()}

@@ -4,8 +4,8 @@ Vectors are turned by fast pseudo-rotations (random signs and a Hadamard
 transform, three times) and hashed to the nearest signed axis.  A query probes, in each of several
 tables, the axes nearest to it, and everything in those buckets is ranked exactly.
 
-Largest inner product is made a question of angles first: vectors are divided by the largest norm
-and get one more coordinate that fills them up to length one; queries get a zero there.
+Vectors are hashed by their directions, so what is found does not depend on the spread of their lengths:
+no long vector moves the others to other buckets.  Lengths count again in the exact scores.
 """
 
 from __future__ import annotations
@@ -35,15 +35,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def lifted(x: np.ndarray, top: float | None) -> np.ndarray:
-    """Unit vectors in a power-of-two dimension; ``top`` is the largest norm of the data, None for queries."""
-    width = 1 << int(x.shape[1]).bit_length()  # at least one coordinate to spare
-    out = np.zeros((len(x), width))
-    if top is None:
-        out[:, :x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
-    else:
-        out[:, :x.shape[1]] = x / top
-        out[:, x.shape[1]] = np.sqrt(np.maximum(0, 1 - (out**2).sum(1)))
+def lifted(x: np.ndarray) -> np.ndarray:
+    """Directions (unit vectors) in a power-of-two dimension."""
+    out = np.zeros((len(x), 1 << int(x.shape[1]).bit_length()))
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small numbers leave the range
+    out[:, :x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     return out
 
 
@@ -77,15 +73,15 @@ def _matrix(col, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def _hash_batches(tops: dict[int, float], tables: int, axes: int, probes: int, query: bool, columns: list[str]):
+def _hash_batches(tables: int, axes: int, probes: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch["dim"])
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                x = lifted(_matrix(part["vector"], int(dim)), None if query else tops[int(dim)])
+                x = lifted(_matrix(part["vector"], int(dim)))
                 for table in range(tables):
-                    names = buckets(x, table, axes, probes if query else 1)
+                    names = buckets(x, table, axes, probes)
                     who = pa.array(np.repeat(np.arange(len(x)), names.shape[1]))
                     yield pa.RecordBatch.from_arrays(
                         [*[part[c].take(who) for c in columns], pa.array(np.full(names.size, table, np.int32)), pa.array(names.ravel())],
@@ -148,14 +144,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
     inside = Window.partitionBy("k1", "k2").orderBy("vec_id")
     members = rows.withColumn("nth", F.row_number().over(inside)).where(F.col("nth") <= k + 1)
     kinds = members.where("nth = 1").select("k1", "k2", "dim", "vector", F.col("vec_id").alias("low"))
-    tops = {r.dim: r.top**0.5 for r in rows.groupBy("dim").agg(
-        F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).toLocalIterator()}
     queries = rows.where(is_query).select("vec_id", F.col("k1").alias("q1"), F.col("k2").alias("q2"), "dim", "vector")
     asked = queries.groupBy("q1", "q2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"))
 
-    held = kinds.mapInArrow(_hash_batches(tops, tables, axes, 1, False, ["k1", "k2", "low", "dim", "vector"]),
+    held = kinds.mapInArrow(_hash_batches(tables, axes, 1, ["k1", "k2", "low", "dim", "vector"]),
                             "k1 long, k2 int, low long, dim int, vector array<double>, tbl int, bucket long")
-    probed = asked.mapInArrow(_hash_batches(tops, tables, axes, probes, True, ["q1", "q2", "dim", "vector"]),
+    probed = asked.mapInArrow(_hash_batches(tables, axes, probes, ["q1", "q2", "dim", "vector"]),
                               "q1 long, q2 int, dim int, vector array<double>, tbl int, bucket long")
     # a bucket is cut into blocks of bounded size; its queries go to each of them
     bucket = ["dim", "tbl", "bucket"]
