@@ -131,6 +131,28 @@ def test_nearest_recall_with_unequal_norms(spark, monkeypatch, norms):
     assert recall >= 0.9
 
 
+def test_nearest_of_small_tables_and_short_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(25)] + [(100 + i, [float(x) for x in rng.normal(size=16)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def found(**limits):
+        got = defaultdict(list)
+        for r in neighbours.nearest(d, F.col("vec_id") % 20 == 0, **limits).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        return got
+    exact = {}
+    for i, q in rows:
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(q, v)), j) for j, v in rows if j != i and len(v) == len(q))
+            exact[i] = [j for _, j in near[:20]]
+    assert found() == exact
+    # all bands hashed, one probe: every query finds too few and meets the rest
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(neighbours, "BAND", 1e6)
+    assert found(probes=1, tables=1) == exact
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7), (200, 200)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(path, "u long, v long")).collect()}

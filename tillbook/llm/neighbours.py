@@ -6,10 +6,14 @@ tables, the axes nearest to it, and everything in those buckets is ranked exactl
 
 Vectors are hashed by their directions, so what is found does not depend on the spread of their lengths:
 no long vector moves the others to other buckets.  Lengths count again in the exact scores.
+
+Bands of like lengths with few vectors (small tables, the longest vectors) are not hashed: queries meet
+all of them.  A query with fewer results than asked for meets all vectors of its dimension.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,8 @@ PROBES = 40
 #: Axes joined into one bucket name; more of them make smaller buckets for larger tables.
 AXES = 1
 BLOCK_ROWS = 4096
+#: Ratio of the largest to the smallest length in a band.
+BAND = 1.25
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -123,12 +129,39 @@ def _rank(keep: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector, dim, k1, k2): rows with an id and a non-zero vector of finite numbers; k1, k2 name the vector."""
+    """(vec_id, vector, dim, k1, k2, length): rows with an id and a non-zero vector of finite numbers; k1, k2 name the vector.
+
+    ``length`` is the logarithm of the vector's norm.
+    """
     v = F.col("vector")
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))) \
-        .select("vec_id", "vector", F.size(v).alias("dim"), F.xxhash64(v).alias("k1"), F.hash(v).alias("k2"))
+    most = F.array_max(F.transform(v, F.abs))
+    length = F.log("most") + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))) / 2
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("most", most) \
+        .select("vec_id", "vector", F.size(v).alias("dim"), F.xxhash64(v).alias("k1"), F.hash(v).alias("k2"), length.alias("length"))
+
+
+def _met(probed: DataFrame, held: DataFrame, keep: int) -> DataFrame:
+    """(q1, q2, k1, k2, low, score): for each query its ``keep`` best in each block of the buckets that it probes."""
+    # a bucket is cut into blocks of bounded size; its queries go to each of them
+    bucket = ["dim", "tbl", "bucket"]
+    sizes = stored(held.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "bucket-blocks")
+    loads = probed.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("asks"))
+    plan = stored(sizes.join(loads, bucket), "bucket-plan")
+    n = plan.count()
+    key = [*bucket, "block", "ask"]
+    left = probed.join(small(plan, n, 40), bucket).withColumns(
+        {"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "ask": F.pmod(F.xxhash64("q1", "q2"), F.col("asks").cast("long")).cast("int")})
+    right = held.join(small(plan, n, 40), bucket).withColumns(
+        {"block": F.pmod(F.xxhash64("k1", "k2"), F.col("blocks").cast("long")).cast("int"), "ask": F.explode(F.sequence(F.lit(0), F.col("asks") - 1))})
+    return left.select("q1", "q2", "vector", *key).groupBy(*key).cogroup(right.select("k1", "k2", "low", "vector", *key).groupBy(*key)) \
+        .applyInArrow(_rank(keep), "q1 long, q2 int, k1 long, k2 int, low long, score double")
+
+
+def _whole(df: DataFrame, number) -> DataFrame:
+    """Rows in a bucket of their own, beside those of the tables."""
+    return df.withColumns({"tbl": F.lit(-1), "bucket": number.cast("long")})
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, probes: int = PROBES, axes: int = AXES) -> DataFrame:
@@ -138,35 +171,55 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
     null, empty or zero vectors or those with null or non-finite numbers, take no part; vectors meet
     only those of their dimension; repeated rows count once and a row never finds its own id.  Equal
     vectors are hashed and scored once, by at most k + 1 of their ids, which is all that k results can show.
-    Other columns are not read.
+    All candidates are returned if there are fewer than ``k``.  Other columns are not read.
     """
     rows = stored(usable(vectors).dropDuplicates(["k1", "k2", "vec_id"]), "vectors")
     inside = Window.partitionBy("k1", "k2").orderBy("vec_id")
     members = rows.withColumn("nth", F.row_number().over(inside)).where(F.col("nth") <= k + 1)
-    kinds = members.where("nth = 1").select("k1", "k2", "dim", "vector", F.col("vec_id").alias("low"))
+    tops = stored(rows.groupBy("dim").agg(F.max("length").alias("top")), "vector-tops")
+    band = F.floor((F.col("top") - F.col("length")) / math.log(BAND) + 1e-9).cast("int")
+    kinds = members.where("nth = 1").join(small(tops, tops.count(), 16), "dim") \
+        .select("k1", "k2", "dim", "vector", F.col("vec_id").alias("low"), band.alias("band"))
+    kinds = stored(kinds, "vector-kinds")
+    bands = stored(kinds.groupBy("dim", "band").agg(F.count("*").alias("n")), "vector-bands")
+    n_bands = bands.count()
+    few = small(bands.where(F.col("n") <= BLOCK_ROWS).select("dim", "band"), n_bands, 12)
+    many = small(bands.where(F.col("n") > BLOCK_ROWS).select("dim", "band"), n_bands, 12)
+    hashed_dims = small(bands.where(F.col("n") > BLOCK_ROWS).select("dim").distinct(), n_bands, 8)
     queries = rows.where(is_query).select("vec_id", F.col("k1").alias("q1"), F.col("k2").alias("q2"), "dim", "vector")
     asked = queries.groupBy("q1", "q2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"))
 
-    held = kinds.mapInArrow(_hash_batches(tables, axes, 1, ["k1", "k2", "low", "dim", "vector"]),
-                            "k1 long, k2 int, low long, dim int, vector array<double>, tbl int, bucket long")
-    probed = asked.mapInArrow(_hash_batches(tables, axes, probes, ["q1", "q2", "dim", "vector"]),
-                              "q1 long, q2 int, dim int, vector array<double>, tbl int, bucket long")
-    # a bucket is cut into blocks of bounded size; its queries go to each of them
-    bucket = ["dim", "tbl", "bucket"]
-    sizes = stored(held.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "bucket-blocks")
-    loads = probed.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("asks"))
-    plan = stored(sizes.join(loads, bucket), "bucket-plan")
-    n = plan.count()
-    key = [*bucket, "block", "ask"]
-    left = probed.join(small(plan, n, 40), bucket).withColumns(
-        {"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "ask": F.pmod(F.xxhash64("q1", "q2"), F.col("asks").cast("long")).cast("int")})
-    right = held.join(small(plan, n, 40), bucket).withColumns(
-        {"block": F.pmod(F.xxhash64("k1", "k2"), F.col("blocks").cast("long")).cast("int"), "ask": F.explode(F.sequence(F.lit(0), F.col("asks") - 1))})
-    found = left.select("q1", "q2", "vector", *key).groupBy(*key).cogroup(right.select("k1", "k2", "low", "vector", *key).groupBy(*key)) \
-        .applyInArrow(_rank(k + 1), "q1 long, q2 int, k1 long, k2 int, low long, score double")
-    best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "low", "k1", "k2")
-    kept = found.dropDuplicates(["q1", "q2", "k1", "k2"]).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
-    each = queries.select(F.col("vec_id").alias("query_id"), "q1", "q2").join(kept.select("q1", "q2", "k1", "k2", "score"), ["q1", "q2"]) \
-        .join(members.select("k1", "k2", "vec_id"), ["k1", "k2"]).where("vec_id != query_id")
-    order = Window.partitionBy("query_id", "q1", "q2").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    row = ["dim", "vector", "tbl", "bucket"]
+    held = kinds.join(many, ["dim", "band"], "left_semi").select("k1", "k2", "low", "dim", "vector").mapInArrow(
+        _hash_batches(tables, axes, 1, ["k1", "k2", "low", "dim", "vector"]),
+        "k1 long, k2 int, low long, dim int, vector array<double>, tbl int, bucket long")
+    held = held.unionByName(_whole(kinds.join(few, ["dim", "band"], "left_semi"), F.col("band")).select("k1", "k2", "low", *row))
+    probed = asked.join(hashed_dims, "dim", "left_semi").select("q1", "q2", "dim", "vector").mapInArrow(
+        _hash_batches(tables, axes, probes, ["q1", "q2", "dim", "vector"]),
+        "q1 long, q2 int, dim int, vector array<double>, tbl int, bucket long")
+    probed = probed.unionByName(_whole(asked.join(few, "dim"), F.col("band")).select("q1", "q2", *row))
+
+    def results(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "low", "k1", "k2")
+        kept = found.dropDuplicates(["q1", "q2", "k1", "k2"]).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
+        each = queries.select(F.col("vec_id").alias("query_id"), "q1", "q2").join(kept.select("q1", "q2", "k1", "k2", "score"), ["q1", "q2"]) \
+            .join(members.select("k1", "k2", "vec_id"), ["k1", "k2"]).where("vec_id != query_id")
+        order = Window.partitionBy("query_id", "q1", "q2").orderBy(F.desc("score"), "vec_id")
+        return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "q1", "q2")
+
+    columns = ["query_id", "rank", "vec_id", "score"]
+    first = results(_met(probed, held, k + 1))
+    if not bands.where(F.col("n") > BLOCK_ROWS).count():
+        return first.select(*columns)
+    first = stored(first, "first-results")
+    # queries of hashed dimensions that got fewer than k go on to all vectors of their dimension
+    full = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "q1", "q2")
+    short = queries.join(hashed_dims, "dim", "left_semi").join(full, ["vec_id", "q1", "q2"], "left_anti") \
+        .groupBy("q1", "q2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"))
+    short = stored(short, "short-queries")
+    n_short = short.count()
+    if not n_short:
+        return first.select(*columns)
+    rest = kinds.join(small(short.select("dim").distinct(), n_short, 8), "dim", "left_semi")
+    again = results(_met(_whole(short, F.lit(0)), _whole(rest, F.lit(0)), k + 1))
+    return first.join(small(short.select("q1", "q2"), n_short, 16), ["q1", "q2"], "left_anti").select(*columns).unionByName(again.select(*columns))
