@@ -71,6 +71,32 @@ def test_lm_filter_reads_counts_back():
     assert (false > 0).mean() < 0.02
 
 
+def test_lm_segments_follow_the_corpus_and_are_sent_once(docs, monkeypatch):
+    plain = {r.doc_id: r.score for r in lm_score.score(docs, lm_score.train(docs)).collect()}
+    monkeypatch.setattr(lm_score, "SEGMENT_BYTES", 1 << 10)
+    model = lm_score.train(docs)
+    sizes = [len(r.bits) for r in model.bits.collect()]
+    assert model.segments == -(-3 * model.n * lm_score.BITS // 8 // 1024) > 32 and max(sizes) <= 1.5 * 1024
+    routed = lm_score.score(docs, model, filter_limit=0)
+    whole = lm_score.score(docs, model)
+    assert bag((r.doc_id, round(r.score, 6)) for r in routed.collect()) == bag((r.doc_id, round(r.score, 6)) for r in whole.collect())
+    assert len(plain) == len({r.doc_id for r in whole.collect()})
+    # no join carries bits: each segment's array is one row beside its requests
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert "bits" in plan and "= seg#" not in plan
+
+
+def test_lm_answers_hold_a_segment_over_batches():
+    grams = lm_score.mix(np.arange(1, 400, dtype=np.uint64))
+    seg = lm_score.build_segment(grams[:200], np.arange(1, 201))
+    schema = pa.schema([("seg", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("bits", pa.binary())])
+    batches = [[(3, None, None, seg.tobytes()), (3, 1, grams[:50].tobytes(), None)], [(3, 2, grams[50:399].tobytes(), None), (4, 1, grams[:5].tobytes(), None)]]
+    out = [x for b in lm_score._answer_batches(pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema) for rows in batches) for x in b.to_pylist()]
+    assert [(x["chunk"], x["seg"]) for x in out] == [(1, 3), (2, 3), (1, 4)]
+    want = lm_score.probe_segment(seg, np.zeros(399, np.int64), np.full(399, len(seg)), grams)
+    assert out[0]["levels"] + out[1]["levels"] == want.astype(np.uint8).tobytes() and out[2]["levels"] == bytes(5)
+
+
 def test_lm_score_is_a_distribution_over_known_words(spark):
     model = lm_score.train(spark.createDataFrame([(1, "a b a b a c"), (2, "b a")], "doc_id long, text string"))
     texts = spark.createDataFrame([(i, w) for i, w in enumerate(["a c a", "a b a", "c a c"])], "doc_id long, text string")

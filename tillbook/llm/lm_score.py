@@ -3,8 +3,9 @@
 Counts are quantised to levels on a logarithmic scale and an n-gram of level q
 is inserted q times, with its levels 1..q; a count is read back by probing
 levels upwards until one is missing.  The filter is made of segments, each built in one task from the n-grams that
-hash to it and sized to them.  Segments that together fit ``limit`` bytes are broadcast;
-beyond that the distinct n-grams of each text travel to their segment instead, with the same answers.
+hash to it and sized to them; there are as many as keep each below ``SEGMENT_BYTES``.  Segments that together fit ``limit`` bytes
+are broadcast; beyond that the distinct n-grams of each chunk of texts travel to their segment instead, whose
+bits are sent once, with the same answers.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ LAMBDA = 0.2
 #: Exact token counts (16 bytes each) are broadcast up to this size and joined beyond it.
 COUNT_BYTES = 128 << 20
 FILTER_BYTES = 192 << 20
+SEGMENT_BYTES = 8 << 20
+#: Text whose n-grams are asked for together, once each.
+CHUNK_BYTES = 4 << 20
 END, BEGIN = mix(np.array([1], U))[0], mix(np.array([2], U))[0]
 _PAIR, _STEP = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -186,20 +191,22 @@ def train(docs: DataFrame, segments: int | None = None) -> Model:
     """Count the tokens and bigrams of whole texts (null: empty) and build the filter."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    segments = segments or 4 * width
     texts = text_batches(docs).select("text")
     schema = "seg int, gram long, n long"
 
-    def counted(kind):
+    def counted(kind, segments=1):
         return texts.mapInArrow(_count_batches(kind, segments), schema)
 
     counts = stored(counted("token").groupBy("gram").agg(F.sum("n").alias("n")), "token-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    # a level is at most its count, and tokens, begins and bigrams are at most n each: the whole filter is at most this large
+    most = 3 * total.n * BITS // 8
+    segments = segments or max(4 * width, -(-most // SEGMENT_BYTES))
     ends = counts.where(F.col("gram") == int(np.array([END]).view(np.int64)[0])).select(
         F.lit(int(np.array([BEGIN]).view(np.int64)[0])).alias("gram"), "n")  # each training text has one begin
     seg = F.pmod(F.shiftrightunsigned("gram", 32), F.lit(segments).cast("long")).cast("int")
     single = counts.unionByName(ends).select(seg.alias("seg"), "gram", "n")
-    grams = single.unionByName(counted("bigram")).repartition(width, "seg").groupBy("seg", "gram").agg(F.sum("n").alias("n"))
+    grams = single.unionByName(counted("bigram", segments)).repartition(width, "seg").groupBy("seg", "gram").agg(F.sum("n").alias("n"))
     bits = stored(grams.sortWithinPartitions("seg").mapInArrow(_build_batches, "seg int, bits binary"), "lm-filter")
     size = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("b")).first().b
     return Model(counts, total.n, total.v, bits, segments, size)
@@ -218,6 +225,18 @@ def text_scores(toks, first, level_of_gram, n: int, v: int, weight: float) -> np
     return np.add.reduceat(np.log10(p), first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
+def base_scores(toks, first, gram, number, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n_known, base_score) of each text from sorted tokens and their counts."""
+    value, inverse = np.unique(toks, return_inverse=True)
+    c = np.zeros(len(value))
+    if len(gram):
+        at = np.minimum(np.searchsorted(gram, value), len(gram) - 1)
+        c = np.where(gram[at] == value, number[at], 0)
+    c = c[inverse]
+    logs = np.log10(c + 1.0)
+    return np.add.reduceat((c > 0).astype(np.int64), first[:-1]), np.add.reduceat(logs, first[:-1]) - np.diff(first) * math.log10(n + v + 1)
+
+
 def _score_batches(columns, counts, segs, n, v, weight):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,16 +246,7 @@ def _score_batches(columns, counts, segs, n, v, weight):
                 names = [*columns, "n_tokens"]
                 arrays.append(pa.array(np.diff(first), pa.int64()))
                 if counts is not None:
-                    gram, number = counts.value
-                    value, inverse = np.unique(toks, return_inverse=True)
-                    c = np.zeros(len(value))
-                    if len(gram):
-                        at = np.minimum(np.searchsorted(gram, value), len(gram) - 1)
-                        c = np.where(gram[at] == value, number[at], 0)
-                    c = c[inverse]
-                    logs = np.log10(c + 1.0)
-                    arrays += [pa.array(np.add.reduceat((c > 0).astype(np.int64), first[:-1])),
-                               pa.array(np.add.reduceat(logs, first[:-1]) - np.diff(first) * math.log10(n + v + 1))]
+                    arrays += map(pa.array, base_scores(toks, first, *counts.value, n, v))
                     names += ["n_known", "base_score"]
                 if segs is not None:
                     arrays.append(pa.array(text_scores(toks, first, segs.value.levels, n, v, weight)))
@@ -245,71 +255,101 @@ def _score_batches(columns, counts, segs, n, v, weight):
     return run
 
 
-def _joined_counts(rows: DataFrame, model: Model) -> DataFrame:
-    """(text_key, n_known, logs) by joining the distinct tokens of each distinct text with the counts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                toks, first = tokens(part)
-                row = np.repeat(np.arange(part.num_rows), np.diff(first))
-                order = np.lexsort((toks, row))
-                t, r = toks[order], row[order]
-                new = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (r[1:] != r[:-1])) + 1])
-                yield pa.RecordBatch.from_arrays([part.column("text_key").take(pa.array(r[new])), signed(t[new]), pa.array(np.diff(np.append(new, len(t))))],
-                                                 ["text_key", "gram", "k"])
-    return rows.select("text_key", "text").mapInArrow(run, "text_key binary, gram long, k long").dropDuplicates(["text_key", "gram"]) \
-        .join(model.counts, "gram").groupBy("text_key") \
-        .agg(F.sum("k").alias("n_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
-
-
-def _routed_scores(rows: DataFrame, model: Model, weight: float) -> DataFrame:
-    """(text_key, score): n-grams of each distinct text go to their segment and their levels come back."""
-    width, count, n, v = shuffle_width(rows.sparkSession), model.segments, model.n, model.v
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                toks, first = tokens(part)
-                left = histories(toks, first)
-                for i in range(part.num_rows):
-                    own = slice(first[i], first[i + 1])
-                    grams = np.unique(np.concatenate([toks[own], left[own], bigram(left[own], toks[own])]))
-                    seg = segment_of(grams, count)
-                    order = np.argsort(seg, kind="stable")
-                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(seg[order])) + 1, [len(grams)]])
-                    flat = grams[order]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part["text_key"][i].as_py()] * (len(cuts) - 1), pa.binary()), pa.array(seg[order][cuts[:-1]], pa.int32()),
-                         pa.array([flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["text_key", "seg", "grams"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, text_key, text): the distinct texts, dealt into chunks; stored, so that a second reading finds the same texts in them."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for grams, bits in zip(batch["grams"].to_pylist(), batch["bits"].to_pylist(), strict=True):
-                g = np.frombuffer(grams, U)
-                table = np.frombuffer(bits or b"", U)
-                level = probe_segment(table, np.zeros(len(g), np.int64), np.full(len(g), len(table)), g) if len(table) else np.zeros(len(g), np.int64)
-                out.append(level.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["text_key"], batch["grams"], pa.array(out, pa.binary())], ["text_key", "grams", "levels"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, got in enumerate(batch["got"].to_pylist()):
-                grams = np.concatenate([np.frombuffer(x["grams"], U) for x in got])
-                level = np.concatenate([np.frombuffer(x["levels"], np.uint8) for x in got]).astype(np.int64)
-                order = np.argsort(grams)
-                grams, level = grams[order], level[order]
-                toks, first = tokens(batch.slice(i, 1))
-                out.append(text_scores(toks, first, lambda g: level[np.searchsorted(grams, g)], n, v, weight)[0])
-            yield pa.RecordBatch.from_arrays([batch["text_key"], pa.array(out, pa.float64())], ["text_key", "score"])
-
+            for part in blocks(batch, limit=CHUNK_BYTES):
+                # named after its first text; should two chunks have one name, they count as one
+                name = int.from_bytes(part["text_key"][0].as_py()[:8], "big", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, name)), part["text_key"], part["text"]], ["chunk", "text_key", "text"])
     texts = rows.groupBy("text_key").agg(F.first("text").alias("text"))
-    asked = texts.mapInArrow(ask, "text_key binary, seg int, grams binary").repartition(width, "seg")
-    answers = asked.join(model.bits, "seg", "left").select("text_key", "grams", "bits") \
-        .mapInArrow(answer, "text_key binary, grams binary, levels binary")
-    got = answers.groupBy("text_key").agg(F.collect_list(F.struct("grams", "levels")).alias("got"))
-    return texts.join(got, "text_key").mapInArrow(score, "text_key binary, score double")
+    return stored(texts.mapInArrow(deal, "chunk long, text_key binary, text string"), "lm-chunks")
+
+
+def _joined_counts(texts: DataFrame, model: Model) -> DataFrame:
+    """(text_key, n_known, base_score) by joining the distinct tokens of each chunk of texts with the counts."""
+    n, v = model.n, model.v
+
+    def ask(part: pa.Table) -> pa.Table:
+        grams = np.unique(tokens(part)[0])
+        return pa.table({"chunk": pa.array(np.full(len(grams), part["chunk"][0].as_py())), "gram": signed(grams)})
+
+    def score(part: pa.Table, got: pa.Table) -> pa.Table:
+        gram, number = unsigned(got["gram"]), np.asarray(got["n"])
+        order = np.argsort(gram)
+        known, base = base_scores(*tokens(part), gram[order], number[order], n, v)
+        return pa.table({"text_key": part["text_key"], "n_known": pa.array(known), "base_score": pa.array(base)})
+
+    got = texts.groupBy("chunk").applyInArrow(ask, "chunk long, gram long").join(model.counts, "gram").select("chunk", "gram", "n")
+    return texts.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(score, "text_key binary, n_known long, base_score double")
+
+
+def _chunk_grams(part, count: int):
+    """(tokens, first, distinct n-grams, their order by segment, segments in that order); any order of the texts gives the same n-grams."""
+    toks, first = tokens(part)
+    left = histories(toks, first)
+    grams = np.unique(np.concatenate([toks, left, bigram(left, toks)]))
+    seg = segment_of(grams, count)
+    order = np.argsort(seg, kind="stable")
+    return toks, first, grams, order, seg[order]
+
+
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between each two of ``cuts``."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(((cuts - cuts[0]) * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _answer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by segment, its bits first: one segment is held and all its requests are answered from it."""
+    now, table = None, np.zeros(0, U)
+    for batch in batches:
+        seg, is_bits = np.asarray(batch["seg"]), np.asarray(batch["bits"].is_valid())
+        raw = batch["grams"].fill_null(b"")
+        size = np.asarray(pc.binary_length(raw)).astype(np.int64) // 8
+        grams = np.frombuffer(b"".join(raw.to_pylist()), U)
+        at = np.concatenate([[0], np.cumsum(size)])
+        cuts = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(seg)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if seg[a] != now:
+                now, table = seg[a], np.zeros(0, U)
+            if is_bits[a]:
+                table = np.frombuffer(batch["bits"][int(a)].as_py(), U)
+                a += 1
+            g = grams[at[a]:at[b]]
+            level = probe_segment(table, np.zeros(len(g), np.int64), np.full(len(g), len(table)), g) if len(table) else np.zeros(len(g), np.int64)
+            if b > a:
+                yield pa.RecordBatch.from_arrays([batch["chunk"].slice(a, b - a), batch["seg"].slice(a, b - a), _binaries(level.astype(np.uint8), at[a:b + 1])],
+                                                 ["chunk", "seg", "levels"])
+
+
+def _routed_scores(texts: DataFrame, model: Model, weight: float) -> DataFrame:
+    """(text_key, score): distinct n-grams of each chunk of texts go to their segment and their levels come back."""
+    width, count, n, v = shuffle_width(texts.sparkSession), model.segments, model.n, model.v
+
+    def ask(part: pa.Table) -> pa.Table:
+        _, _, grams, order, seg = _chunk_grams(part, count)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1, [len(grams)]])
+        return pa.table({"seg": pa.array(seg[cuts[:-1]], pa.int32()), "chunk": pa.array(np.full(len(cuts) - 1, part["chunk"][0].as_py())),
+                         "grams": _binaries(grams[order], cuts)})
+
+    def score(part: pa.Table, got: pa.Table) -> pa.Table:
+        toks, first, grams, order, _ = _chunk_grams(part, count)
+        by_seg = got.take(pa.array(np.argsort(np.asarray(got["seg"]))))
+        level = np.zeros(len(grams), np.int64)
+        level[order] = np.frombuffer(b"".join(by_seg["levels"].to_pylist()), np.uint8)
+        scores = text_scores(toks, first, lambda g: level[np.searchsorted(grams, g)], n, v, weight)
+        return pa.table({"text_key": part["text_key"], "score": pa.array(scores, pa.float64())})
+
+    asked = texts.groupBy("chunk").applyInArrow(ask, "seg int, chunk long, grams binary")
+    both = asked.withColumn("bits", F.lit(None).cast("binary")).unionByName(
+        model.bits.select("seg", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("grams"), "bits"))
+    answers = both.repartition(width, "seg").sortWithinPartitions("seg", F.col("bits").isNull()) \
+        .mapInArrow(_answer_batches, "chunk long, seg int, levels binary")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "text_key binary, score double")
 
 
 def _sorted_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -343,12 +383,11 @@ def score(docs: DataFrame, model: Model, weight: float = LAMBDA, filter_limit: i
     schema += ", n_known long, base_score double" if counts else ""
     schema += ", score double" if segs else ""
     out = rows.mapInArrow(_score_batches(["doc_id", "text_key"], counts, segs, model.n, model.v, weight), schema)
+    texts = None if counts and segs else _chunks(rows)
     if not counts:
-        base = F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(model.n + model.v + 1))
-        out = out.join(_joined_counts(rows, model), "text_key", "left").withColumns(
-            {"n_known": F.coalesce("n_known", F.lit(0)).cast("long"), "base_score": base})
+        out = out.join(_joined_counts(texts, model), "text_key", "left")
     if not segs:
-        out = out.join(_routed_scores(rows, model, weight), "text_key", "left")
+        out = out.join(_routed_scores(texts, model, weight), "text_key", "left")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
