@@ -68,6 +68,18 @@ def test_mixed_date_types(spark, tmp_path, first):
     assert [str(r.expense_date) for r in ok.collect()] == ["2024-03-18"] * 2
 
 
+def test_mixed_generations_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "2024" / "01_detailed_expenses.parquet"
+    folder.mkdir(parents=True)
+    for name, kind, extra in (("part-0", pa.int64(), {}), ("part-1", pa.date32(), {"primary_category": ["Fees"]})):
+        day = [19800] if kind == pa.int64() else [dt.date(2024, 3, 18)]
+        pq.write_table(pa.table({"expense_name": [name], "expense_date": pa.array(day, kind), "expense_amount": [1.0], **extra}), folder / f"{name}.parquet")
+    ok, rejects = IO.scan_legacy_ledger(spark, str(tmp_path))
+    got = sorted((r.expense_name, str(r.expense_date), r.primary_category) for r in ok.collect())
+    assert got == [("part-0", "2024-03-18", None), ("part-1", "2024-03-18", "Fees")]
+    assert len({r.expense_id for r in ok.collect()}) == 2 and rejects.count() == 0
+
+
 def test_null_only_columns_are_written_and_read(spark, micro_ledger, tmp_path):
     led = micro_ledger.drop("expense_id").withColumn("secondary_category", F.lit(None).cast("string"))
     IO.write_legacy_layout(led, str(tmp_path))

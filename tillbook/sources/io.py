@@ -149,8 +149,8 @@ def _generations(spark: SparkSession, pattern: str) -> list[tuple[T.StructType,
     """The files of a path pattern grouped by their stored schema.
 
     A legacy root holds a few files per year, written by several generations of the application.  Only
-    file names and footers are looked at here (a table that is a folder of part files by its first part:
-    one job wrote them all); each generation is then one scan.
+    file names and footers are looked at here (of a table that is a folder, every part file's: parts
+    of a newer version may stand beside old ones); each generation is then one scan.
     """
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     fs_path = hadoop.Path(pattern)
@@ -158,14 +158,13 @@ def _generations(spark: SparkSession, pattern: str) -> list[tuple[T.StructType,
     groups: dict[str, list[str]] = {}
     for status in fs.globStatus(fs_path) or []:
         parts = [status] if not status.isDirectory() else \
-            [p for p in fs.listStatus(status.getPath()) if p.getPath().getName().endswith(".parquet")]
-        if not parts:
-            continue
-        source = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(parts[0].getPath(), conf)
-        reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
-        stored_as = reader.getFooter().getFileMetaData().getSchema().toString()
-        reader.close()
-        groups.setdefault(stored_as, []).append(status.getPath().toString())
+            [p for p in fs.listStatus(status.getPath()) if p.getPath().getName().endswith(".parquet") and p.getPath().getName()[0] not in "._"]
+        for part in parts:
+            source = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(part.getPath(), conf)
+            reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+            stored_as = reader.getFooter().getFileMetaData().getSchema().toString()
+            reader.close()
+            groups.setdefault(stored_as, []).append(part.getPath().toString())
     return [(spark.read.parquet(paths[0]).schema, paths) for paths in groups.values()]
 
 
