@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm_score, neighbours, quality, sharding, simhash, substring, token_count, url_filter
+from . import bpe, decontaminate, divergence, lm_score, neighbours, quality, runs, set_join, sharding, simhash, substring, token_count, url_filter
 from .common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,43 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def echoed(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the text of one document in ten repeats itself from some word on (a row without doc_id stays as it is)."""
+    some = docs.select("doc_id", "text", F.expr("crc32(cast(cast(doc_id AS string) AS binary))").alias("h")) \
+        .select("doc_id", "text", F.when(F.col("h") % 10 == 0, F.expr("h div 10")).alias("g")) \
+        .withColumn("w", F.when(F.col("g").isNotNull(), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))) \
+        .withColumn("n", F.expr("nullif(size(w), 0)")) \
+        .withColumn("a", F.expr("int(g % n)")) \
+        .withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    again = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), int((n - a + p - 1) div p))), 1, n - a)), ' ')")
+    return some.select("doc_id", F.when(F.col("n").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(docs: DataFrame) -> DataFrame:
+    found = runs.find_runs(docs, carry=["doc_id"])
+    longer = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), F.aggregate("runs", F.lit(None).cast(runs.RUN), longer).alias("best"),
+                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(echoed(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join_alike(table(spark, sf_dir, "documents"))
+
+
 UPPER, LOW = url_filter.UPPER, url_filter.LOW
 
 ORACLES["op7_substring_dedup"] = r"""
@@ -135,3 +172,27 @@ SELECT page_id, host, path, CASE {_RULE} END AS rule,
        c.canonical_url, l.canonical_url IS NOT NULL AS listed
 FROM c LEFT JOIN l ON l.canonical_url = c.canonical_url
 """
+
+ORACLES["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT id, lang, source, unnest(ws) AS t FROM d),
+k AS (SELECT lang, t FROM w GROUP BY lang, t HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, t, count(*) AS n FROM w JOIN k USING (lang, t) GROUP BY lang, source, t),
+gm AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) + coalesce(max(v.v), 0) AS m
+       FROM g LEFT JOIN c USING (lang, source) LEFT JOIN v ON v.lang = g.lang GROUP BY g.lang, g.source),
+lm AS (SELECT lang, sum(c.n) + max(v.v) AS m FROM c JOIN v USING (lang) GROUP BY lang),
+p AS (SELECT gm.lang, gm.source, k.t, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 1) // gm.m AS BIGINT) AS p
+      FROM gm JOIN k ON k.lang = gm.lang LEFT JOIN c ON c.lang = gm.lang AND c.source = gm.source AND c.t = k.t),
+q AS (SELECT c.lang, c.t, CAST(1 + 1000000000 * (sum(c.n) + 1) // max(lm.m) AS BIGINT) AS q FROM c JOIN lm USING (lang) GROUP BY c.lang, c.t),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT p.lang, p.source, 'term', p.t, CAST((p.p - q.q) * (p.p - q.q) // q.q AS BIGINT) FROM p JOIN q ON q.lang = p.lang AND q.t = p.t WHERE n > 0 AND p.p > q.q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
