@@ -58,6 +58,5 @@ def categories_with_totals(known: DataFrame, totals: DataFrame, by: Sequence[str
     t = totals.select(*by, "kind", F.col("category").alias("name"), "total")
     j = k.join(t, [*by, "kind", "name"], "full")
     return (j.select(*by, "kind", "name",
-                     round2(F.coalesce(F.col("total").cast("decimal(38,2)"),
-                                       F.lit(0).cast("decimal(38,2)"))).cast("double").alias("total"))
+                     round2(F.coalesce(F.col("total").cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))).cast("double").alias("total"))
             .orderBy(*by, "kind", F.lower("name"), "name"))

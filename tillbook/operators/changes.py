@@ -78,6 +78,12 @@ def enrich_expenses(batch: DataFrame, mappings: DataFrame,
     each missing side.  No mapping: a missing primary is a reject, a missing
     secondary becomes "".  An impossible date is a reject.
     """
+    ok, rejects = _split(enrichment(batch, mappings, by).drop("reason"), F.col("_reason"))
+    return (ledger_rows_of(ok, [*by, "seq"]), rejects.select(*batch.columns, "reason"))
+
+
+def enrichment(batch: DataFrame, mappings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The batch (a table or a stream) with its looked-up ``_date``, ``_pri``, ``_sec`` and the ``_reason`` to refuse a row (null: none)."""
     m = mappings.select(*by, "name_key", F.col("primary_category").alias("_mp"),
                         F.col("secondary_category").alias("_ms"), F.lit(True).alias("_hit"))
     j = batch.withColumn("name_key", mapping_key("expense_name")).join(m, [*by, "name_key"], "left")
@@ -87,14 +93,15 @@ def enrich_expenses(batch: DataFrame, mappings: DataFrame,
     sec = F.when(F.col("secondary_category").isNotNull(), F.col("secondary_category")) \
         .when(hit, F.col("_ms")).otherwise(F.lit(""))
     d = safe_date("year", "month", "expense_day")
-    rows = j.select(
-        *batch.columns,
-        d.alias("_date"), pri.alias("_pri"), sec.alias("_sec"))
-    reason = (F.when(F.col("_pri").isNull(), F.lit("no mapping and no primary_category"))
-              .when(F.col("_date").isNull(), F.lit("invalid date")))
-    ok, rejects = _split(rows, reason)
-    out = ok.select(
-        *by, "seq",
+    reason = (F.when(pri.isNull(), F.lit("no mapping and no primary_category"))
+              .when(d.isNull(), F.lit("invalid date")))
+    return j.select(*batch.columns, d.alias("_date"), pri.alias("_pri"), sec.alias("_sec"), reason.alias("_reason"))
+
+
+def ledger_rows_of(enriched: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Ledger rows of accepted ``enrichment`` rows, with the columns ``keep`` before them."""
+    return enriched.select(
+        *keep,
         "expense_name",
         F.col("_date").alias("expense_date"),
         F.col("expense_amount"),
@@ -103,7 +110,6 @@ def enrich_expenses(batch: DataFrame, mappings: DataFrame,
         normalize_category("_pri").alias("primary_category"),
         normalize_category("_sec").alias("secondary_category"),
         F.year("_date").alias("year"), F.month("_date").alias("month"))
-    return out, rejects.select(*batch.columns, "reason")
 
 
 def next_id(table: DataFrame, id_col: str) -> Column:
@@ -115,14 +121,19 @@ def append_expenses(ledger: DataFrame, batch: DataFrame, mappings: DataFrame,
                     by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """M1 + U1: enrich the batch and append it; new ids are ``max(id)+1+seq``.
 
-    ``seq`` tells the rows of a batch apart: of rows that share one (or have none) the first by content is taken and the others are
-    rejects, so ids stay unique."""
-    once, repeated = _first_per_key(batch, ["seq"])
+    ``seq`` tells the rows of a ledger's batch apart: of rows that share one (or have none) the first by content is taken and the others are
+    rejects, so ids stay unique within each ledger (``by``)."""
+    new, rejects = new_expenses(ledger, batch, mappings, by)
+    return ledger.unionByName(new, allowMissingColumns=True), rejects
+
+
+def new_expenses(ledger: DataFrame, batch: DataFrame, mappings: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows that ``append_expenses`` adds, and its rejects."""
+    once, repeated = _first_per_key(batch, [*by, "seq"])
     ok, rejects = enrich_expenses(once, mappings, by)
     rejects = rejects.unionByName(repeated)
     base = next_id(ledger, "expense_id")
-    new = ok.withColumn("expense_id", base + F.col("seq").cast("long")).drop("seq")
-    return ledger.unionByName(new, allowMissingColumns=True), rejects
+    return ok.withColumn("expense_id", base + F.col("seq").cast("long")).drop("seq"), rejects
 
 
 def delete_expenses(ledger: DataFrame, ids: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -152,6 +163,21 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
       2. dates and categories are resolved on those rows; spellings are taken only from the months they touch;
       3. the resolved edits are broadcast the same way and applied by ONE left join.
     """
+    resolved, rejects = resolved_edits(ledger, edits, by)
+    return with_edits(ledger, resolved, by), rejects
+
+
+def with_edits(ledger: DataFrame, resolved: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The ledger with resolved edits applied by one left join."""
+    j = ledger.join(resolved, [*by, "expense_id"], "left")
+    new_of = {"expense_name": "_n_name", "expense_date": "_n_date", "expense_amount": "_n_amount",
+              "currency": "_n_currency", "expense_in_ref_currency": "_n_ref",
+              "primary_category": "_n_pri", "secondary_category": "_n_sec", "year": "_n_year", "month": "_n_month"}
+    return j.select(*[F.coalesce(F.col(new_of[c]), F.col(c)).alias(c) if c in new_of else F.col(c) for c in ledger.columns])
+
+
+def resolved_edits(ledger: DataFrame, edits: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Steps 1 and 2 of ``edit_expenses``: the new values by id, stored and size-checked, and the rejects."""
     keys = [*by, "expense_id"]
     month_keys = [*by, "year", "month"]
     latest, refused = _first_per_key(edits, keys, last=True)
@@ -183,13 +209,7 @@ def edit_expenses(ledger: DataFrame, edits: DataFrame,
         F.when(amount.isNotNull(), to_ref_currency(amount)).alias("_n_ref"),
         F.year("_date").alias("_n_year"), F.month("_date").alias("_n_month"),
         F.col("_res_primary_category").alias("_n_pri"), F.col("_res_secondary_category").alias("_n_sec")), "resolved-edits")
-    j = ledger.join(resolved, keys, "left")
-    new_of = {"expense_name": "_n_name", "expense_date": "_n_date", "expense_amount": "_n_amount",
-              "currency": "_n_currency", "expense_in_ref_currency": "_n_ref",
-              "primary_category": "_n_pri", "secondary_category": "_n_sec", "year": "_n_year", "month": "_n_month"}
-    edited = j.select(*[F.coalesce(F.col(new_of[c]), F.col(c)).alias(c) if c in new_of else F.col(c)
-                        for c in ledger.columns])
-    return edited, missing.unionByName(refused).unionByName(bad_rows)
+    return resolved, missing.unionByName(refused).unionByName(bad_rows)
 
 
 # --------------------------------------------------------------------------
@@ -361,7 +381,7 @@ def add_recurring(templates: DataFrame, adds: DataFrame,
     reason = F.when(day.isNull() | (day < RECURRING_DAY_MIN) | (day > RECURRING_DAY_MAX),
                     F.lit("day outside 1..28"))
     ok, bad = _split(adds, reason)
-    ok, repeated = _first_per_key(ok, ["seq"])  # ids come from seq
+    ok, repeated = _first_per_key(ok, [*by, "seq"])  # ids come from seq
     bad = bad.unionByName(repeated)
     base = next_id(templates, "template_id")
     new = ok.select(
@@ -482,8 +502,8 @@ def change_mappings(mappings: DataFrame, changes: DataFrame,
                       F.lit("mapping exists; pass overwrite"))
                 .when((F.col("op") == "remove") & ~exists, F.lit("no mapping found")))
 
-    added = {"primary_category": F.lower(F.trim(F.coalesce("_pri", F.lit("")))),
-             "secondary_category": F.lower(F.trim(F.coalesce("_sec", F.lit(""))))}
+    added = {"primary_category": mapping_key(F.coalesce("_pri", F.lit(""))),
+             "secondary_category": mapping_key(F.coalesce("_sec", F.lit("")))}
     out, bad = _apply_keyed(mappings, first, [*by, "name_key"], reason_of, added)
     rename = {"_pri": "primary_category", "_sec": "secondary_category"}
     bad = bad.unionByName(superseded).drop("name_key")
@@ -520,13 +540,16 @@ def retire_categories(known: DataFrame, summary: DataFrame, totals: DataFrame, r
     """Retire categories ``(by..., kind, category)`` from the known list
     and every summary, only when the all-time total (A5, rounded to 2) is 0.
 
+    Requests with a null key and of categories that neither the known list nor a summary holds are rejects; a repeated request counts once.
     Returns (known', summary', rejects)."""
     keys = [*by, "kind", "category"]
     t = totals.select(*keys, F.bround("total", 2).alias("_total"))
-    r = requests.join(t, keys, "left")
-    ok, bad = _split(r, F.when(F.coalesce("_total", F.lit(0.0)) != 0,
-                               F.lit("category still has expenses")))
-    ok = ok.drop("_total").select(*keys)
+    there = known.select(*keys).unionByName(summary.select(*keys)).distinct().withColumn("_there", F.lit(True))
+    r = requests.join(t, keys, "left").join(there, keys, "left")
+    null_key = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(f"missing {k}")) for k in keys], F.lit(None).cast("string"))
+    ok, bad = _split(r, F.coalesce(null_key, F.when(F.coalesce("_total", F.lit(0.0)) != 0, F.lit("category still has expenses"))
+                                   .when(F.col("_there").isNull(), F.lit("category not found"))))
+    ok, bad = ok.select(*keys), bad.drop("_there")
     return (known.join(ok, keys, "left_anti"), summary.join(ok, keys, "left_anti"),
             bad.drop("_total"))
 

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.domains import INVESTMENT_CATEGORIES, TOTAL_LABEL
-from tillbook.functions.scalars import money, round2
+from tillbook.functions.scalars import round2
 from tillbook.schemas import POSITION_SCALE
 
-VALUE_DEC = "decimal(38,4)"
+VALUE_DEC = f"decimal(38,{2 * POSITION_SCALE})"
+
+
 def _zero():
     return F.lit(0).cast(VALUE_DEC)
 
@@ -26,12 +28,15 @@ def position_value(holdings: DataFrame, prices: DataFrame, by: Sequence[str] = (
     """Quantity x price per asset and month; a missing price gives null.
 
     Left join from holdings on (by, asset_name, year, month); prices are not
-    carried forward.  ``value`` is double; ``value_dec`` the exact decimal.
+    carried forward.  ``value`` is double; ``value_dec`` the decimal: exact while both factors have at most
+    ``POSITION_SCALE`` decimals, else that of their product as doubles.  Values of 1e20 or more fail loudly.
     """
     keys = [*by, "asset_name", "year", "month"]
     p = prices.select(*keys, "price")
     j = holdings.join(p, keys, "left")
-    exact = (money("quantity", POSITION_SCALE) * money("price", POSITION_SCALE)).cast(VALUE_DEC)
+    quantity, price = F.col("quantity").try_cast(f"decimal(19,{POSITION_SCALE})"), F.col("price").try_cast(f"decimal(18,{POSITION_SCALE})")
+    whole = (quantity.cast("double") == F.col("quantity")) & (price.cast("double") == F.col("price"))
+    exact = F.when(whole, (quantity * price).cast(VALUE_DEC)).otherwise((F.col("quantity") * F.col("price")).cast(VALUE_DEC))
     return (j.withColumn("value_dec", exact)
             .withColumn("value", F.col("value_dec").cast("double")))
 
@@ -73,8 +78,8 @@ def networth_grid(holdings: DataFrame, prices: DataFrame, liquidity: DataFrame,
 
     v = position_value(holdings, prices, by)
     stacked = (rows(v, {c: F.when(F.col("category") == c, F.col("value_dec")) for c in INVESTMENT_CATEGORIES})
-               .unionByName(rows(liquidity, {"Liquidity": money("value", POSITION_SCALE).cast(VALUE_DEC)}))
-               .unionByName(rows(credits, {"Credits/Debts": money("value", POSITION_SCALE).cast(VALUE_DEC)})))
+               .unionByName(rows(liquidity, {"Liquidity": F.col("value").cast(VALUE_DEC)}))
+               .unionByName(rows(credits, {"Credits/Debts": F.col("value").cast(VALUE_DEC)})))
     # a stray year (0001, 9999) would stretch the spine: such months are left out (see stray_months)
     stacked = stacked.where(F.col("year").between(*PLAUSIBLE_YEARS))
     month = stacked.groupBy(*keys).agg(*[F.sum(_c(c)).alias(c) for c in COMPONENTS])
@@ -167,7 +172,7 @@ def table_with_totals(facts: DataFrame, name_col: str, value: str, attrs: Sequen
     """Any month table (holdings, prices, balances; one row per name and month) with a Total
     row per month.  Rows pass as they are; totals ignore nulls and are 0 when nothing is set."""
     keys = [*by, "year", "month"]
-    amount = money(value, POSITION_SCALE)
+    amount = F.col(value).cast(VALUE_DEC)
     totals = facts.groupBy(*keys).agg(F.coalesce(F.sum(amount), _zero()).cast("double").alias(value)).select(
         *keys, F.lit(TOTAL_LABEL).alias(name_col), *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in attrs], value)
     return facts.select(*keys, name_col, *attrs, F.col(value).cast("double").alias(value)).unionByName(totals)

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 MONEY_SCALE = 6          # decimals kept by exact money sums
 SUM_SCALE = 6            # decimals kept by sums in whole units (totals up to 9.2e12)
-POSITION_SCALE = 4       # quantity and price factors of a position value
+POSITION_SCALE = 9       # decimals of a quantity and a price whose product is taken exactly
 
 LEDGER = T.StructType([
     T.StructField("expense_name", T.StringType()),

@@ -17,6 +17,7 @@ import os
 import re
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, LEDGER_FILE_SU
 from tillbook.functions.scalars import month_label
 from tillbook.operators.summaries import to_long
 from tillbook.schemas import KNOWN_CATEGORIES_JSON, LEDGER, MAPPINGS_JSON, RECURRING
+from tillbook.session import stored
 
 LEDGER_PARTITIONED = T.StructType(LEDGER.fields + [
     T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
@@ -334,25 +336,27 @@ def discover_years(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # ---- S8, S9: JSON configuration ------------------------------------------------------
 
-def _one_object_per_line(lines: DataFrame) -> bool:
-    text = F.trim("value")
-    return lines.where(~(text.startswith("{") & text.endswith("}")) & (text != "")).limit(1).count() == 0
-
-
 def read_mappings_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON objects ``name -> {primary_category, secondary_category}``; the file name becomes ``source``.
 
     A file holds one object over several lines (the application's form, ``wholetext``) or one object per line (the
-    form written here): a line that is not an object by itself sends its file to the first reading.
+    form written here): a line that is not an object by itself sends its file, and no other, to the first reading.
     A missing path is an empty table."""
     lines = _try_read(lambda: spark.read.text(path))
-    raw = None if lines is None else lines if _one_object_per_line(lines) else spark.read.text(path, wholetext=True)
-    if raw is None:
+    if lines is None:
         return spark.createDataFrame([], "source string, name_key string, primary_category string, "
                                          "secondary_category string")
-    extra = [c for c in raw.columns if c != "value"]  # partition columns, if any
-    parsed = raw.select(*extra, F.col("_metadata.file_name").alias("source"),
-                        F.explode(F.from_json("value", MAPPINGS_JSON)).alias("name_key", "m"))
+    extra = [c for c in lines.columns if c != "value"]  # partition columns, if any
+    text, file = F.trim("value"), F.col("_metadata.file_path")
+    broken = lines.where(~(text.startswith("{") & text.endswith("}")) & (text != "")).select(file.alias("file")).distinct()
+    whole = [unquote(r.file) for r in broken.toLocalIterator()]  # names of files, which the driver lists for every scan anyway
+    raw = lines.select("value", *extra, F.col("_metadata.file_name").alias("source"), file.alias("file"))
+    if whole:
+        once = stored(broken, "files-read-whole")
+        texts = spark.read.option("basePath", path).text(whole, wholetext=True)
+        raw = raw.join(once, "file", "left_anti").drop("file").unionByName(
+            texts.select("value", *extra, F.col("_metadata.file_name").alias("source")))
+    parsed = raw.select(*extra, "source", F.explode(F.from_json("value", MAPPINGS_JSON)).alias("name_key", "m"))
     return parsed.select(*extra, "source", "name_key", "m.primary_category", "m.secondary_category")
 
 

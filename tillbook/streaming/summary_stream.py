@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillbook.domains import KINDS
 from tillbook.operators.summaries import _stack_kinds, summaries_from_stacked
@@ -46,8 +47,12 @@ class CellTable:
     so a later or replayed batch never meets the base, and what it replaces is then removed.
     """
 
-    def __init__(self, root: str, by: Sequence[str] = (), compact_every: int = 50):
+    VALUES = ("amt",)
+
+    def __init__(self, root: str, by: Sequence[str] = (), compact_every: int = 50, schema: T.StructType | None = None):
         self.root, self.by, self.compact_every = root.rstrip("/"), list(by), compact_every
+        #: Of an empty table; without one the ``by`` columns are text.
+        self.schema = schema or T.StructType.fromDDL(", ".join([*[f"`{c}` string" for c in by], "kind string, category string, year int, month int, amt long"]))
 
     def merge(self, batch: DataFrame, epoch_id: int) -> None:
         (batch.withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
@@ -65,17 +70,22 @@ class CellTable:
         return {n: p for n, p in found.items() if not marker or fs.exists(hadoop.Path(p, marker))}
 
     def read(self, spark: SparkSession) -> DataFrame:
-        keys = [*self.by, *CELL_KEYS]
+        keys, values = [*self.by, *CELL_KEYS], self.VALUES
         base = self._folders(spark, "base", "upto", "_SUCCESS")
         upto = max(base, default=-1)
         frames = []
         if self._folders(spark, "log", "epoch"):
-            frames.append(spark.read.parquet(f"{self.root}/log").where(F.col("epoch") > upto).select(*keys, "amt", "epoch"))
+            frames.append(spark.read.parquet(f"{self.root}/log").where(F.col("epoch") > upto).select(*keys, *values, "epoch"))
         if base:
-            frames.append(spark.read.parquet(base[upto].toString()).select(*keys, "amt", F.lit(upto).cast("long").alias("epoch")))
+            frames.append(spark.read.parquet(base[upto].toString()).select(*keys, *values, F.lit(upto).cast("long").alias("epoch")))
+        if not frames:  # nothing has arrived yet
+            return spark.createDataFrame([], self.schema)
         log = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-        return (log.groupBy(*keys).agg(F.max_by("amt", "epoch").alias("amt"))
-                .select(*keys, "amt"))
+        return self._folded(log.groupBy(*keys)).select(*keys, *values)
+
+    def _folded(self, cells) -> DataFrame:
+        """One row per cell: its latest total."""
+        return cells.agg(F.max_by("amt", "epoch").alias("amt"))
 
     def compact(self, spark: SparkSession, upto: int) -> None:
         """Fold everything up to epoch ``upto`` into a new base, then remove what it replaces."""
@@ -90,8 +100,9 @@ def run_summary_stream(ledger_stream: DataFrame, root: str, kinds: Sequence[str]
                        by: Sequence[str] = (), trigger: dict | None = None,
                        on_start: Callable | None = None, compact_every: int = 50) -> CellTable:
     """Start the stream, process everything available, and return the table."""
-    table = CellTable(os.path.join(root, "cells"), by, compact_every)
-    q = (running_cells(ledger_stream, kinds, by).writeStream
+    cells = running_cells(ledger_stream, kinds, by)
+    table = CellTable(os.path.join(root, "cells"), by, compact_every, cells.schema)
+    q = (cells.writeStream
          .outputMode("update")
          .option("checkpointLocation", os.path.join(root, "checkpoint"))
          .foreachBatch(table.merge)
