@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tillbook.operators import categories as C
 from tillbook.operators import changes as M
+from tillbook.operators import filters as V
 from tillbook.operators import networth as N
 from tillbook.sources import io as IO
 from tests.conftest import rows_of
@@ -67,3 +68,49 @@ def test_totals_round_ties_to_even(spark):
     known = spark.createDataFrame([], "kind string, category string")
     totals = spark.createDataFrame([("primary", "a", 0.125), ("primary", "b", 0.375), ("primary", "c", 1.0)], "kind string, category string, total double")
     assert rows_of(C.categories_with_totals(known, totals), "name", "total") == [("a", 0.12), ("b", 0.38), ("c", 1.0)]
+
+
+def test_ids_count_over_all_files(spark, micro_ledger, tmp_path):
+    root = str(tmp_path / "files")
+    many = micro_ledger.crossJoin(spark.range(40).select(F.col("id").alias("_copy"))).drop("expense_id", "_copy").repartition(4)
+    IO.write_legacy_layout(many, root)
+    led, _ = IO.scan_legacy_ledger(spark, root)
+    assert sorted(r.expense_id for r in led.collect()) == list(range(240))
+    assert led.where("month = 1").agg(F.max("expense_id")).first()[0] == 79
+    assert dict(led.dtypes)["expense_id"] == "bigint"
+    left = M.delete_expenses(led, spark.createDataFrame([(0,), (239,), (500,)], "expense_id long"))
+    assert left.count() == 238
+    sizes = spark.read.parquet(f"{root}/2026/01_detailed_expenses.parquet").groupBy(F.col("_metadata.file_path")).count()
+    assert "ReadSchema: struct<>" in sizes._jdf.queryExecution().toString()  # footers only
+
+
+def test_pages_of_an_index(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).cast("double").alias("expense_amount"))
+    for descending in (False, True):
+        index = V.PageIndex.build(rows, str(tmp_path / f"pages{descending}"), "expense_amount", descending, part_rows=150)
+        assert spark.read.parquet(f"{index.root}/parts").count() >= 6
+        for n in (0, 3, 9, 19, 20, 500):
+            assert [r.id for r in index.page(n, 50).collect()] == [r.id for r in V.page(rows, "expense_amount", descending, n, 50).collect()]
+    empty = V.PageIndex.build(rows.limit(0), str(tmp_path / "none"), "expense_amount")
+    assert empty.page(0).collect() == []
+
+
+def test_small_batches_do_not_shuffle_the_table(spark, tmp_path):
+    table = spark.range(2000).select(F.concat(F.lit("a"), F.col("id") % 200).alias("asset_name"), F.lit("Bonds").alias("category"), F.lit("").alias("link"),
+                                     F.lit(2026).alias("year"), (F.col("id") % 12 + 1).cast("int").alias("month"), F.lit(1.0).alias("quantity")).distinct()
+    path = str(tmp_path / "holdings")
+    table.write.parquet(path)
+    stored = spark.read.parquet(path)
+    adds = spark.createDataFrame([(0, 2026, "a1", "Bonds", ""), (1, 2026, "new", "Bonds", "")], "seq long, year int, asset_name string, category string, link string")
+    out, added, bad = M.add_entities(stored, adds, "asset_name", "quantity")
+    assert added.count() == 12 and rows_of(bad, "asset_name", "reason") == [("a1", "already exists")] and out.count() == stored.count() + 12
+    renames = spark.createDataFrame([(0, 2026, "a2", "fresh"), (1, 2026, "a3", "a4"), (2, 2026, "ghost", "x")], "seq long, year int, old_name string, new_name string")
+    ok, refused = M.rename_entities(stored, renames, "asset_name")
+    assert rows_of(ok, "old_name") == [("a2",)] and refused.count() == 2
+    values = spark.createDataFrame([(0, 2026, 1, "a5", 9.0), (1, 2026, 99, "a5", 9.0), (2, 2026, 2, "ghost", 9.0)], "seq long, year int, month int, asset_name string, quantity double")
+    new, no = M.set_values(stored, values, "asset_name", "quantity")
+    assert rows_of(no, "asset_name", "reason") == [("a5", "month out of range"), ("ghost", "not found")]
+    assert new.where("asset_name = 'a5' AND quantity = 9.0 AND category = 'Bonds'").count() == 1
+    for frame in (added, ok, new):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert path not in plan or "SortMergeJoin" not in plan

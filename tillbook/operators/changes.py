@@ -224,12 +224,17 @@ def upsert_cells(table: DataFrame, changes: DataFrame, keys: Sequence[str], valu
     join, and changes that met no stored cell are added.  The table is not shuffled for a small batch.
     """
     ch = _resolved(changes, "cells")
+    met = _resolved(table.select(*keys).join(ch.select(*keys), list(keys), "left_semi").distinct(), "met-cells")
+    return _with_cells(table, ch, ch.join(met, list(keys), "left_anti"), keys, value)
+
+
+def _with_cells(table: DataFrame, ch: DataFrame, fresh: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The table with the values of ``ch`` at its cells, and the cells ``fresh`` added."""
     new = ch.select(*keys, F.col(value).alias("_v"), F.lit(True).alias("_set"))
     j = table.join(new, list(keys), "left")
     updated = j.select(*[F.when(F.col("_set"), F.col("_v")).otherwise(F.col(value)).alias(value) if c == value else F.col(c)
                          for c in table.columns])
-    met = _resolved(table.select(*keys).join(ch.select(*keys), list(keys), "left_semi").distinct(), "met-cells")
-    added = ch.join(met, list(keys), "left_anti").select(
+    added = fresh.select(
         *[(F.col(c) if c in ch.columns else F.lit(None)).cast(table.schema[c].dataType).alias(c) for c in table.columns])
     return updated.unionByName(added)
 
@@ -248,8 +253,9 @@ def set_income(income: DataFrame, changes: DataFrame,
 
 
 def _entity_exists(changes: DataFrame, table: DataFrame, keys: Sequence[str]) -> Column:
-    """Mark changes whose entity exists in ``table`` (adds column ``_exists``)."""
-    present = table.select(*keys).distinct().withColumn("_exists", F.lit(True))
+    """Mark changes whose entity exists in ``table`` (adds column ``_exists``); the table is cut to the batch's entities before it is shuffled."""
+    asked = _resolved(changes.select(*keys).distinct(), "asked-entities")
+    present = _resolved(table.select(*keys).join(asked, list(keys), "left_semi").distinct(), "present-entities").withColumn("_exists", F.lit(True))
     return changes.join(present, list(keys), "left") \
         .withColumn("_exists", F.coalesce("_exists", F.lit(False)))
 
@@ -261,8 +267,8 @@ def set_values(table: DataFrame, changes: DataFrame, name_col: str, value: str,
     last change per cell wins.
 
     Plan: changes are reduced to the last one per cell (an aggregation, so a hot cell never gathers in one task),
-    stored and broadcast when few.  The table is read for the batch's entities (do they exist, their attributes) and
-    joined once to apply the cells; it is not shuffled for a small batch.
+    stored and broadcast when few.  The table is read once for the batch's entities (do they exist, their attributes, their
+    months, which tell the cells to add) and joined once to apply the cells; it is not shuffled for a small batch.
     """
     ok, bad = _split(changes, F.when(~F.col("month").isin(MONTHS), F.lit("month out of range")))
     cell = [*by, "year", "month", name_col]
@@ -271,11 +277,13 @@ def set_values(table: DataFrame, changes: DataFrame, name_col: str, value: str,
     latest = _resolved(latest, "values")
     attrs = [c for c in table.columns if c not in (*cell, value)]
     names = latest.select(*ent).distinct()
-    known = table.select(*ent, *attrs).join(names, ent, "left_semi").groupBy(*ent) \
-        .agg(F.lit(True).alias("_known"), *[F.min(c).alias(c) for c in attrs])
-    accepted = latest.join(known, ent).select(*cell, *attrs, F.col(value).cast(table.schema[value].dataType).alias(value))
-    notfound = latest.join(known, ent, "left_anti").withColumn("reason", F.lit("not found"))
-    out = upsert_cells(table, accepted, cell, value)
+    known = table.select(*ent, "month", *attrs).join(names, ent, "left_semi").groupBy(*ent) \
+        .agg(F.collect_set("month").alias("_months"), *[F.min(c).alias(f"_of_{c}") for c in attrs])
+    checked = _resolved(latest.join(known, ent, "left"), "checked-values")
+    accepted = checked.where("_months IS NOT NULL").select(
+        *cell, "_months", *[F.col(f"_of_{c}").alias(c) for c in attrs], F.col(value).cast(table.schema[value].dataType).alias(value))
+    notfound = checked.where("_months IS NULL").withColumn("reason", F.lit("not found"))
+    out = _with_cells(table, accepted, accepted.where(~F.array_contains("_months", F.col("month"))), cell, value)
     return out, bad.unionByName(refused).unionByName(notfound.select(*changes.columns, "reason"))
 
 
@@ -343,7 +351,10 @@ def rename_entities(table: DataFrame, renames: DataFrame, name_col: str,
     table of the entity (holdings and prices together) with ``apply_renames``.
     """
     yk = [*by, "year"]
-    names = table.select(*yk, F.col(name_col).alias("_n")).distinct().withColumn("_hit", F.lit(True))
+    asked = renames.select(*yk, F.explode(F.array("old_name", "new_name")).alias("_n")).distinct()
+    asked = _resolved(asked, "asked-names")
+    names = _resolved(table.select(*yk, F.col(name_col).alias("_n")).join(asked, [*yk, "_n"], "left_semi").distinct(), "known-names") \
+        .withColumn("_hit", F.lit(True))
     old = names.select(*yk, F.col("_n").alias("old_name"), F.col("_hit").alias("_old_ok"))
     new = names.select(*yk, F.col("_n").alias("new_name"), F.col("_hit").alias("_new_taken"))
     r = renames.join(old, [*yk, "old_name"], "left").join(new, [*yk, "new_name"], "left").select(*renames.columns, "_old_ok", "_new_taken")

@@ -8,12 +8,14 @@ from tillbook.functions.scalars import mapping_key
 from tillbook.operators import categories as C
 from tillbook.operators import changes as M
 from tillbook.operators import deltas as D
+from tillbook.operators import filters as V
 from tillbook.operators import maintenance as MT
 from tillbook.operators import networth as N
 from tillbook.operators import summaries as S
 from tillbook.plans import sql_parts as Q
 from tillbook.plans.change_queries import EVENT_BATCH_SQL, MAPPINGS_SQL, enrich_sql, event_batch
 from tillbook.plans.registry import register
+from tillbook.plans.view_queries import VIEW_COLS
 from tillbook.session import scratch_dir, stored
 from tillbook.sources import adapters as A
 from tillbook.sources import io as IO
@@ -274,3 +276,41 @@ def stray_months(spark, sf_dir):
     """Rejects of the net-worth months: rows of years that no ledger can have."""
     led = A.Tables(spark, sf_dir).orders.select(F.when(F.col("o_custkey") % 4 == 0, F.year("o_orderdate") + 1000).otherwise(F.year("o_orderdate")).alias("year"))
     return N.stray_months(led).groupBy("year", "reason").agg(F.count("*").alias("n_rows"))
+
+
+# ---- ids and deep pages -----------------------------------------------------------------
+
+@register("dense_ids", f"""
+WITH {Q.LEDGER}
+SELECT count(*) AS n_rows, count(*) AS n_ids, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id, CAST(0 AS BIGINT) AS out_of_order FROM ledger""")
+def dense_ids(spark, sf_dir):
+    """The ids of a ledger in the application's layout count from 0 over all its part files, month after month."""
+    root = scratch_dir(spark, "dense-ids")
+    IO.write_legacy_layout(A.ledger(A.Tables(spark, sf_dir)).repartition(5, "expense_name"), root)
+    led, _ = IO.scan_legacy_ledger(spark, root)
+    months = led.groupBy("year", "month").agg(F.min("expense_id").alias("low"), F.max("expense_id").alias("high"), F.count("*").alias("n"), F.countDistinct("expense_id").alias("ids"))
+    gaps = F.count(F.when(F.col("high") - F.col("low") + 1 != F.col("n"), 1))
+    return months.agg(F.sum("n").alias("n_rows"), F.sum("ids").alias("n_ids"), F.min("low").alias("first_id"), F.max("high").alias("last_id"), gaps.alias("out_of_order"))
+
+
+@register("file_id_deletes", f"""
+WITH {Q.LEDGER} SELECT year, month, count(*) AS n_rows, CAST(SUM({Q.money('expense_amount')}) AS DOUBLE) AS amount
+FROM ledger WHERE NOT (month = 5 AND expense_amount > 30000) GROUP BY year, month""")
+def file_id_deletes(spark, sf_dir):
+    """M2 on files: rows are named by the ids that the scan gives them."""
+    root = scratch_dir(spark, "id-deletes")
+    IO.write_legacy_layout(A.ledger(A.Tables(spark, sf_dir)), root)
+    led, _ = IO.scan_legacy_ledger(spark, root)
+    left = M.delete_expenses(led, led.where((F.col("month") == 5) & (F.col("expense_amount") > 30000)).select("expense_id"))
+    return left.groupBy("year", "month").agg(F.count("*").alias("n_rows"), F.sum(F.col("expense_amount").cast("decimal(18,2)")).cast("double").alias("amount"))
+
+
+@register("ledger_deep_page", f"""
+WITH {Q.LEDGER_IDS}, n AS (SELECT count(*) // 100 * 50 AS low FROM ledger_ids),
+r AS (SELECT *, row_number() OVER (ORDER BY expense_amount DESC, expense_id) - 1 AS place FROM ledger_ids)
+SELECT {VIEW_COLS} FROM r, n WHERE place >= low AND place < low + 50""")
+def ledger_deep_page(spark, sf_dir):
+    """A page from the middle of the sorted ledger, read from the partition that holds it."""
+    view = V.ledger_view(A.ledger_with_ids(A.Tables(spark, sf_dir)))
+    index = V.PageIndex.build(view, scratch_dir(spark, "pages"), "expense_amount", descending=True, part_rows=2000)
+    return index.page(view.count() // 100)

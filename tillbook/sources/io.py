@@ -20,12 +20,11 @@ from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, LEDGER_FILE_SUFFIX, MONTH_COLUMNS
-from tillbook.functions.scalars import month_label
 from tillbook.operators.summaries import to_long
 from tillbook.schemas import KNOWN_CATEGORIES_JSON, LEDGER, MAPPINGS_JSON, RECURRING
 from tillbook.session import stored
@@ -190,36 +189,47 @@ def scan_legacy_ledger(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     """S2 + S4 + S5 + W1: every ``<root>/<year>/MM_detailed_expenses.parquet``.
 
     Returns (ledger, rejects).  Ledger rows get ``year``, ``month`` from
-    the path and ``expense_id`` from the file and the row's place in it,
+    the path and a dense ``expense_id`` (0, 1, ... by month, file and the row's place in the file; see ``first_ids``),
     so ids exist before any filter.  Rows of unparsable paths are rejected
     with the path and a reason.  Files of several generations may be mixed: each generation is one scan,
     upgraded on its own; columns that it lacks are null.
     """
-    schema = T.StructType([*LEDGER_PARTITIONED.fields, T.StructField("expense_id", T.StringType())])
+    schema = T.StructType([*LEDGER_PARTITIONED.fields, T.StructField("expense_id", T.LongType())])
     reject_ddl = "file_path string, reason string, rows long"
-    good, rejects = [], []
+    good, rejects, sizes = [], [], []
 
     def one(df: DataFrame) -> None:
         y, m, reason = parse_legacy_path("_file")
         tagged = df.withColumn("year", y).withColumn("month", m).withColumn("reason", reason)
-        ok = upgrade_ledger(tagged.where(F.col("reason").isNull())) \
-            .withColumn("expense_id", legacy_expense_id("year", "month", "_file", "_row"))
+        ok = upgrade_ledger(tagged.where(F.col("reason").isNull()))
+        sizes.append(tagged.where(F.col("reason").isNull()).groupBy("year", "month", "_file").agg(F.count("*").alias("rows")))
         good.append(ok.select(*[(F.col(f.name) if f.name in ok.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                                for f in schema.fields]))
+                                for f in schema.fields if f.name != "expense_id"], "_file", "_row"))
         rejects.append(tagged.where(F.col("reason").isNotNull())
                        .groupBy(F.col("_file").alias("file_path"), "reason").agg(F.count("*").alias("rows")))
 
     _scan_generations(spark, os.path.join(root, "*", "*" + LEDGER_FILE_SUFFIX), one)
-    return (_union(good, spark.createDataFrame([], schema)),
-            _union(rejects, spark.createDataFrame([], reject_ddl)))
+    bad = _union(rejects, spark.createDataFrame([], reject_ddl))
+    if not good:
+        return spark.createDataFrame([], schema), bad
+    rows = _union(good[1:], good[0])
+    numbered = rows.join(first_ids(_union(sizes[1:], sizes[0])), "_file").withColumn("expense_id", F.col("first_id") + F.col("_row"))
+    return numbered.select(*schema.fieldNames()), bad
 
 
-def legacy_expense_id(year, month, file, row) -> F.Column:
-    """A stable id: the month, the file within it and the row in the file, as text of three parts.
+def first_ids(sizes: DataFrame) -> DataFrame:
+    """``(_file, first_id)`` from ``(year, month, _file, rows)``: how many rows lie in earlier months and in earlier files of the month.
 
-    ``row`` restarts in every part file, so the file's name (a hash of its path) is a part of the id; there is no bound on rows.
+    Row counts of whole files come from their footers, in the scan's own tasks; no column is read.  The prefix sums run over
+    the files of a month, and over the months (as many as the ledger has months of history).
     """
-    return F.concat_ws("-", month_label(year, month), F.hex(F.xxhash64(F.col(file))), F.col(row).cast("string"))
+    sizes = stored(sizes, "file-rows")
+    months = sizes.groupBy("year", "month").agg(F.sum("rows").alias("rows"))
+    earlier = Window.orderBy("year", "month").rowsBetween(Window.unboundedPreceding, -1)
+    before = months.select("year", "month", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    files = Window.partitionBy("year", "month").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    within = sizes.select("year", "month", "_file", F.coalesce(F.sum("rows").over(files), F.lit(0)).alias("within"))
+    return within.join(before, ["year", "month"]).select("_file", (F.col("before") + F.col("within")).alias("first_id"))
 
 
 def _write_layout(df: DataFrame, root: str, keys: list[str], folder_of) -> list[str]:
