@@ -3,8 +3,8 @@
 The first pass counts exactly in how many documents of its language each term occurs and keeps those of enough
 documents.  The kept terms of a language are dealt to shards by hash; every shard gets a minimal perfect hash (levels of
 bits, a key's slot is the rank of its bit) with the terms themselves beside it, so that a word is taken for a term
-only when its bytes are the stored ones.  The second pass adds the words of every (language, source) group into one dense row
-of slots per shard.  The shards are broadcast while they fit ``limit`` bytes; beyond, the counts of each task's terms travel to their
+only when its bytes are the stored ones.  The second pass looks up the slots of all words and adds them
+into one dense row of slots per shard and (language, source) group.  The shards are broadcast while they fit ``limit`` bytes; beyond, the counts of each task's terms travel to their
 shard, which leads its partition.  Both ways use the same hashes and give the same counts.
 """
 
@@ -25,8 +25,10 @@ LEAST_DOCS, BEST = 3, 200
 UNIT_STEPS = 3
 #: Terms of a shard: few enough that the shard's counts of all sources stay below CELLS, between FEWEST and MOST.
 MOST, FEWEST, CELLS = 8192, 64, 1 << 22
-#: Text of a block, and counters that a task holds before it sends them on.
-TERM_BLOCK, HELD_CELLS = 2 << 20, 1 << 23
+#: Text of a block, and counts that a task holds before it sends them on.
+TERM_BLOCK, HELD_ROWS = 2 << 20, 1 << 21
+#: More than a shard has slots.
+SLOTS = 1 << 32
 #: Bits of a level for each key that it may place.
 SPREAD = 2
 
@@ -160,57 +162,69 @@ def _shard(table: pa.Table) -> pa.Table:
 
 
 _SHARD = "lang string, shard long, n int, hash binary, keys binary"
+_MET = "lang string, shard long, sources array<string>, slots array<array<int>>, counts array<array<long>>"
 _COUNTS = "lang string, shard long, source string, slots array<int>, counts array<long>"
 
 
-def _count_rows(rows) -> pa.RecordBatch:
-    """One Arrow batch of (lang, shard, source, slots, counts)."""
-    lang, shard, source, slots, counts = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(shard, pa.int64()), pa.array(source, pa.string()),
-                                       pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
-                                      ["lang", "shard", "source", "slots", "counts"])
+class Held:
+    """Counts of a task by (lang, shard): numbers of source and slot, sent on as one row per shard."""
+
+    def __init__(self):
+        self.sources: dict[str, int] = {}
+        self.parts: list[tuple[str, int, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, lang: str, shard: int, source: np.ndarray, slot: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((lang, shard, source * SLOTS + slot, n))
+        self.size += len(n)
+
+    def number(self, source: str) -> int:
+        return self.sources.setdefault(source, len(self.sources))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Batches of lang, shard, source, slots, counts: lists with an entry for each count, sources by name."""
+        names = pa.array(list(self.sources), pa.string())
+        by: dict[tuple[str, int], list] = {}
+        for lang, shard, at, n in self.parts:
+            by.setdefault((lang, shard), []).append((at, n))
+        for (lang, shard), parts in by.items():
+            at, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([x for _, x in parts]).astype(float)).astype(np.int64)
+            number, first = np.unique(at // SLOTS, return_index=True)
+            edge = pa.array(np.append(first, len(at)), pa.int32())
+            wrap = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang], pa.string()), pa.array([shard], pa.int64()), wrap(names.take(pa.array(number))),
+                 wrap(pa.ListArray.from_arrays(edge, pa.array(at % SLOTS, pa.int32()))), wrap(pa.ListArray.from_arrays(edge, pa.array(n)))],
+                ["lang", "shard", "sources", "slots", "counts"])
+        self.__init__()
 
 
 def _recount(shards):
-    """Dense slot counts of a task's groups by broadcast shards; sent on as rows of the slots that were met."""
+    """Slot counts of a task's groups by broadcast shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {lang: [PerfectHash.of(*x) for x in rows] for lang, rows in shards.value.items()}
-        starts = {lang: np.cumsum([0, *(len(x.offsets) - 1 for x in t)]) for lang, t in tables.items()}
-        held: dict[tuple[str, str], np.ndarray] = {}
-
-        def flush():
-            for (lang, source), dense in held.items():
-                at = np.flatnonzero(dense)
-                edge = np.searchsorted(at, starts[lang])
-                rows = [(lang, k, source, (at[a:b] - starts[lang][k]).astype(np.int32), dense[at[a:b]])
-                        for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-                if rows:
-                    yield _count_rows(rows)
-            held.clear()
-
+        held = Held()
         for batch in batches:
             for w, term, lead, keys, code, groups in _term_blocks(batch, ["lang", "source"]):
-                group = code[w.row]
-                for lang in {g[0] for g in groups}:
-                    own = [i for i, g in enumerate(groups) if g[0] == lang]
-                    pair, n = np.unique((group * len(keys) + term)[np.isin(group, own)], return_counts=True)
-                    word = np.unique(pair % len(keys))
-                    slot = np.full(len(keys), -1)
-                    t = tables[lang]
-                    home = np.mod(keys[word].view(np.int64), len(t))
-                    for k in np.unique(home):
-                        at = word[home == k]
-                        found = t[k].find(keys[at], w.buf, w.starts[lead[at]], w.ends[lead[at]])
-                        slot[at] = np.where(found < 0, -1, found + starts[lang][k])
-                    at = slot[pair % len(keys)]
-                    for i in own:
-                        on = (pair // len(keys) == i) & (at >= 0)
-                        if groups[i] not in held:
-                            held[groups[i]] = np.zeros(starts[lang][-1], np.int64)
-                        held[groups[i]][at[on]] += n[on]
-                if sum(map(len, held.values())) > HELD_CELLS:
-                    yield from flush()
-        yield from flush()
+                pair, n = np.unique(code[w.row] * len(keys) + term, return_counts=True)
+                group, word = pair // len(keys), pair % len(keys)
+                langs = [g[0] for g in groups]
+                number = np.array([held.number(g[1]) for g in groups])
+                for lang in dict.fromkeys(langs[g] for g in np.unique(group)):
+                    own = np.flatnonzero(np.array([x == lang for x in langs])[group])
+                    home = np.mod(keys[word[own]].view(np.int64), len(tables[lang]))
+                    order = np.argsort(home, kind="stable")
+                    own, home = own[order], home[order]
+                    shard, first = np.unique(home, return_index=True)
+                    for k, part in zip(shard.tolist(), np.split(own, first[1:]), strict=True):
+                        at, place = np.unique(word[part], return_inverse=True)
+                        slot = tables[lang][k].find(keys[at], w.buf, w.starts[lead[at]], w.ends[lead[at]])[place]
+                        on = slot >= 0
+                        held.add(lang, k, number[group[part[on]]], slot[on], n[part[on]])
+                if held.size > HELD_ROWS:
+                    yield from held.rows()
+        yield from held.rows()
     return run
 
 
@@ -226,13 +240,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of asked terms; rows come by (lang, shard), the shard's hash first, then by source."""
-    key, shard, group, dense = None, None, None, np.zeros(0, np.int64)
-
-    def rest():
-        if group is not None and (at := np.flatnonzero(dense)).size:
-            yield _count_rows([(*key, group, at.astype(np.int32), dense[at])])
-
+    """Counts of asked terms; rows come by (lang, shard), the shard's hash first."""
+    shard, held = None, Held()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -240,47 +249,45 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             lang, number, source = groups[code[a]]
-            if (lang, number, source) != (key or ()) + (group,):
-                yield from rest()
-                key, group = (lang, number), source
-                if source is not None:
-                    dense = np.zeros(len(shard.offsets) - 1, np.int64)
             part = batch.slice(a, b - a)
             if source is None:  # the shard's own row
                 shard = PerfectHash.of(part["hash"][0].as_py(), part["keys"][0].as_py(), part["n"][0].as_py())
                 continue
             buf, offsets = text_buffer(part["term"])
             slot = shard.find(unsigned(part["h"]), buf, offsets[:-1], offsets[1:])
-            np.add.at(dense, slot[slot >= 0], np.asarray(part["n"])[slot >= 0])
-    yield from rest()
+            on = slot >= 0
+            held.add(lang, number, np.full(on.sum(), held.number(source)), slot[on], np.asarray(part["n"])[on])
+        if held.size > HELD_ROWS:
+            yield from held.rows()
+    yield from held.rows()
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one (lang, shard, source), which follow each other, become one."""
-    key, dense = None, np.zeros(MOST, np.int64)
+    """One row of dense slots per source and shard; the rows of a (lang, shard) follow each other."""
+    key, dense = None, {}
 
     def out():
-        if key is not None:
-            at = np.flatnonzero(dense)
-            return [(*key, at.astype(np.int32), dense[at])]
-        return []
+        slots = [np.flatnonzero(x) for x in dense.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]] * len(dense), pa.string()), pa.array([key[1]] * len(dense), pa.int64()), pa.array(list(dense), pa.string()),
+             pa.array([x.astype(np.int32) for x in slots], pa.list_(pa.int32())), pa.array([x[at] for x, at in zip(dense.values(), slots, strict=True)], pa.list_(pa.int64()))],
+            ["lang", "shard", "source", "slots", "counts"])
 
     for batch in batches:
-        ready = []
-        for lang, shard, source, slots, counts in zip(*(batch[c].to_pylist() if c not in ("slots", "counts") else batch[c]
-                                                        for c in ("lang", "shard", "source", "slots", "counts")), strict=True):
-            if (lang, shard, source) != key:
-                ready += out()
-                key = (lang, shard, source)
-                dense[:] = 0
-            at = np.asarray(slots.values)
-            if at[-1] >= len(dense):  # slots come in order
-                dense = np.concatenate([dense, np.zeros(at[-1], np.int64)])
-            dense[at] += np.asarray(counts.values)
-        if ready:
-            yield _count_rows(ready)
-    if last := out():
-        yield _count_rows(last)
+        for i, at in enumerate(zip(batch["lang"].to_pylist(), batch["shard"].to_pylist(), strict=True)):
+            if at != key:
+                if dense:
+                    yield out()
+                key, dense = at, {}
+            sources, slots, counts = (batch[c][i].values for c in ("sources", "slots", "counts"))
+            for source, slot, n in zip(sources.to_pylist(), slots, counts, strict=True):
+                slot = np.asarray(slot.values)
+                row = dense.setdefault(source, np.zeros(0, np.int64))
+                if slot[-1] >= len(row):  # slots come in order
+                    row = dense[source] = np.concatenate([row, np.zeros(slot[-1] + 1 - len(row), np.int64)])
+                row[slot] += np.asarray(n.values)
+    if dense:
+        yield out()
 
 
 def probabilities(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -360,7 +367,7 @@ def recount(rows: DataFrame, shards: DataFrame, limit: int) -> DataFrame:
         for batch in shards.orderBy("lang", "shard").toArrow().to_batches():
             for r in batch.to_pylist():
                 sent.setdefault(r["lang"], []).append((r["hash"], r["keys"], r["n"]))
-        met = rows.mapInArrow(_recount(spark.sparkContext.broadcast(sent)), _COUNTS)
+        met = rows.mapInArrow(_recount(spark.sparkContext.broadcast(sent)), _MET)
     else:
         many = shards.groupBy("lang").agg(F.count("*").alias("shards"))
         asked = rows.mapInArrow(_asked, "lang string, source string, h long, term string, n long").join(many, "lang") \
@@ -368,8 +375,8 @@ def recount(rows: DataFrame, shards: DataFrame, limit: int) -> DataFrame:
         none = {c: F.lit(None).cast(t) for c, t in (("source", "string"), ("h", "long"), ("term", "string"))}
         own = shards.select("lang", "shard", *[c.alias(k) for k, c in none.items()], F.col("n").cast("long").alias("n"), "hash", "keys")
         met = own.unionByName(asked).repartition(width, "lang", "shard").sortWithinPartitions("lang", "shard", F.asc_nulls_first("source")) \
-            .mapInArrow(_answered, _COUNTS)
-    return met.repartition(width, "lang", "shard").sortWithinPartitions("lang", "shard", "source").mapInArrow(_summed, _COUNTS)
+            .mapInArrow(_answered, _MET)
+    return met.repartition(width, "lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(_summed, _COUNTS)
 
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, best: int = BEST, limit: int = BROADCAST_BYTES) -> DataFrame:
