@@ -7,7 +7,7 @@ Light sets (up to a size chosen by cost) are joined by enumerating their subsets
 are alike share c(a, b) shingles, so they have a subset of that size in common, and meet under its name.
 Heavy sets are joined by scanning the inverted lists of their first shingles, from the rarest on.  Every list is
 scanned twice: neighbours in it are compared first; then, in lists whose members do not yet hang together,
-all pairs of different components whose sizes and places in the lists leave enough room for a link.
+all pairs of different components whose sizes, places in the lists and parity sketches leave enough room for a link.
 Links are checked on the sets themselves.
 """
 
@@ -33,9 +33,11 @@ BUCKET_ROWS, HELD_ROWS = 1 << 20, 1 << 21
 #: Members of a list that are compared in one place; longer lists are cut into parts.
 LIST_ROWS = 4096
 #: Pairs made at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 _LANES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 _SIGNS = 4
+#: Bits of a set's parity sketch: sketches of two sets differ in no more bits than the sets differ in shingles.
+SKETCH = 512
 
 
 def fewest(size, percent):
@@ -148,26 +150,66 @@ def _first_batches(length: int, percent: int, buckets: int):
     return run
 
 
-def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, shingles shared) of each bucket; a bucket's rows follow each other."""
-    bucket, entries, counts = None, [], []
+def _totals(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct first numbers of all pairs, and the sums of their second ones."""
+    pairs = np.concatenate(held)
+    name, at = np.unique(pairs[:, 0], return_inverse=True)
+    return name, np.bincount(at, pairs[:, 1].astype(float), len(name)).astype(U)
 
-    def out():
+
+def _shared_batches(buckets: int):
+    """How many of its first shingles each set shares, as far as a task's buckets tell; a bucket's rows follow each other."""
+    def shared(entries):
         pairs = np.frombuffer(b"".join(entries), U).reshape(-1, 2)
         _, k, n, _ = _grouped(pairs[:, 0], pairs[:, 1])
-        known = np.frombuffer(b"".join(counts), U).reshape(-1, 2)
-        name, at = np.unique(np.concatenate([k[n > 1], known[:, 0]]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.ones((n > 1).sum()), known[:, 1].astype(float)]), len(name))
-        return pa.RecordBatch.from_arrays([signed(name), pa.array(total.astype(np.int64))], ["k", "c"])
+        own, times = np.unique(k[n > 1], return_counts=True)
+        return np.stack([own, times.astype(U)], 1)
+
+    def out(held):
+        name, total = _totals(held)
+        bucket = (name % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return _pairs_out(np.stack([name, total], 1)[order], bucket[order], "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, entries, held, rows = None, [], [], 0
+        for batch in batches:
+            for number, entry, count in zip(*(batch[c].to_pylist() for c in ("bucket", "entries", "counts")), strict=True):
+                if number != bucket and entries:
+                    held.append(shared(entries))
+                    rows, entries = rows + len(held[-1]), []
+                bucket = number
+                if entry is not None:
+                    entries.append(entry)
+                else:
+                    held.append(np.frombuffer(count, U).reshape(-1, 2))
+                    rows += len(held[-1])
+                if rows > HELD_ROWS:
+                    yield out(held)
+                    held, rows = [], 0
+        if entries:
+            held.append(shared(entries))
+        if held:
+            yield out(held)
+    return run
+
+
+def _total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, shingles shared): every set comes once; a bucket's rows follow each other."""
+    bucket, held = None, []
+
+    def out():
+        name, total = _totals(held)
+        return pa.RecordBatch.from_arrays([signed(name), signed(total)], ["k", "c"])
 
     for batch in batches:
-        for number, entry, count in zip(*(batch[c].to_pylist() for c in ("bucket", "entries", "counts")), strict=True):
-            if number != bucket:
-                if bucket is not None:
-                    yield out()
-                bucket, entries, counts = number, [], []
-            (counts if entry is None else entries).append(count if entry is None else entry)
-    if bucket is not None:
+        for number, count in zip(batch["bucket"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            if number != bucket and held:
+                yield out()
+                held = []
+            bucket = number
+            held.append(np.frombuffer(count, U).reshape(-1, 2))
+    if held:
         yield out()
 
 
@@ -183,7 +225,10 @@ def _set_batches(length: int):
                 names = [signed(x) for x in _digests(h, size)]
                 signs = [signed(np.minimum.reduceat(mix(h ^ mix(np.full(1, i + 1, U))), start)) for i in range(_SIGNS)]
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((np.append(start, len(h)) * 8).astype(np.int32)), pa.py_buffer(h.view(np.uint8))])
-                yield pa.RecordBatch.from_arrays([*names, pa.array(size, pa.int64()), data, *signs], ["k1", "k2", "size", "elements", *[f"s{i}" for i in range(_SIGNS)]])
+                at = np.repeat(np.arange(len(size)), size) * SKETCH + (mix(h ^ _LANES[0]) % U(SKETCH)).astype(np.int64)
+                sketch = np.packbits((np.bincount(at, minlength=len(size) * SKETCH) & 1).astype(np.uint8))
+                sketch = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((np.arange(len(size) + 1) * (SKETCH // 8)).astype(np.int32)), pa.py_buffer(sketch)])
+                yield pa.RecordBatch.from_arrays([*names, pa.array(size, pa.int64()), data, sketch, *signs], ["k1", "k2", "size", "elements", "sketch", *[f"s{i}" for i in range(_SIGNS)]])
     return run
 
 
@@ -301,6 +346,7 @@ def _rest_batches(light: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, start in _groups(batches, ["h", "low", "high"]):
             ids, size, pos, comp, part, low, high = (np.asarray(batch[c]) for c in ("id", "size", "pos", "comp", "part", "low", "high"))
+            sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), U).reshape(len(ids), -1)
             end = np.repeat(np.append(start[1:], len(ids)), np.diff(np.append(start, len(ids))))
             # sizes go up inside a group, so the partners of a member follow it
             group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(ids))))
@@ -317,6 +363,9 @@ def _rest_batches(light: int, percent: int):
                 on = (comp[i] != comp[j]) & ((low[i] == high[i]) | (part[i] != part[j]))
                 i, j = i[on], j[on]
                 on = _room(size[i], size[j], pos[i], pos[j], light, percent)
+                i, j = i[on], j[on]
+                apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+                on = (size[i] + size[j] - apart) // 2 >= overlap(size[i], size[j], percent)
                 if on.any():
                     yield _out(ids, i[on], j[on])
                 at = to
@@ -363,7 +412,7 @@ def _part(n: Column) -> Column:
 
 
 def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) that connect exactly the sets (id, size, elements, s0..s3) reachable over similarities of ``percent`` or more."""
+    """Links (u, v) that connect exactly the sets (id, size, elements, sketch, s0..s3) reachable over similarities of ``percent`` or more."""
     width = shuffle_width(sets.sparkSession)
     lists = posted(sets, percent)
     short = F.col("size") <= LIGHT_MOST
@@ -381,8 +430,8 @@ def link_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     now = heavy.join(roots, heavy["id"] == roots["node"], "left").select("h", "id", "size", "pos", "part", "n", F.coalesce("root", "id").alias("comp"))
     mixed = now.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("h")
     parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / LIST_ROWS) - 1)
-    dealt = now.join(mixed, "h").withColumn("other", F.explode(parts)) \
-        .select("h", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "size", "pos", "comp")
+    dealt = now.join(mixed, "h").join(sets.select("id", "sketch"), "id").withColumn("other", F.explode(parts)) \
+        .select("h", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "size", "pos", "comp", "sketch")
     rest = dealt.repartition(width, "h", "low", "high").sortWithinPartitions("h", "low", "high", "size", "id") \
         .mapInArrow(_rest_batches(light, percent), "u long, v long").distinct()
     rest = stored(rest.join(tried, ["u", "v"], "left_anti"), "other-pairs")
@@ -407,14 +456,16 @@ def join_alike(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     buckets = max(width, -(-total // (2 * BUCKET_ROWS)))
-    sent = rows.select("text").mapInArrow(_first_batches(shingle, percent, buckets), "bucket long, entries binary, counts binary")
-    shared = sent.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    packed = "bucket long, entries binary, counts binary"
+    sent = rows.select("text").mapInArrow(_first_batches(shingle, percent, buckets), packed)
+    counted = sent.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_batches(buckets), packed)
+    shared = counted.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_total_batches, "k long, c long")
     need = F.greatest(F.lit(1), F.floor(F.floor((percent * F.col("n") + 99) / 100) / 10))
     kept = stored(kinds.join(shared, kinds.k1 == shared.k).where(F.col("c") >= need).select("who.doc_id", "who.text_key"), "kept-sets")
     some = small(kept, kept.count(), 64)
     texts = rows.join(some, rows["doc_id"].eqNullSafe(some["doc_id"]) & (rows["text_key"] == some["text_key"]), "left_semi").select("text")
     signs = ", ".join(f"s{i} long" for i in range(_SIGNS))
-    sets = stored(texts.mapInArrow(_set_batches(shingle), f"k1 long, k2 long, size long, elements binary, {signs}").dropDuplicates(["k1", "k2"])
+    sets = stored(texts.mapInArrow(_set_batches(shingle), f"k1 long, k2 long, size long, elements binary, sketch binary, {signs}").dropDuplicates(["k1", "k2"])
                   .withColumn("id", F.monotonically_increasing_id()), "sets")
 
     roots = components(link_sets(sets, percent))
