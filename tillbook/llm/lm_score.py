@@ -2,7 +2,7 @@
 
 Counts are quantised to levels on a logarithmic scale and an n-gram of level q
 is inserted q times, with its levels 1..q; a count is read back by probing
-levels upwards until one is missing.  The filter is made of segments, each built in one task from the n-grams that
+levels upwards until one is missing.  A level's bits lie in two words.  The filter is made of segments, each built in one task from the n-grams that
 hash to it and sized to them; there are as many as keep each below ``SEGMENT_BYTES``.  Segments that together fit ``limit`` bytes
 are broadcast; beyond that the distinct n-grams of each chunk of texts travel to their segment instead, whose
 bits are sent once, with the same answers.
@@ -23,7 +23,8 @@ from .common import SPACE, U, blocks, crc_fold, mix, scan_words, shuffle_width,
 
 BASE = 1.5
 BITS = 12
-PROBES = 6
+#: An n-gram of a level has its bits in so many words of the filter, and so many bits in each: a word is read once for all of them.
+WORDS, WORD_BITS = 2, 3
 #: Weight of the bigram estimate in the linear interpolation with the unigram estimate.
 LAMBDA = 0.2
 #: Exact token counts (16 bytes each) are broadcast up to this size and joined beyond it.
@@ -66,13 +67,10 @@ def histories(toks: np.ndarray, first: np.ndarray) -> np.ndarray:
     return left
 
 
-def _places(grams: np.ndarray, level: int, m: int):
-    """The probed bits of (n-gram, level) in a segment of m bits."""
-    h = mix(grams + np.array([level], U) * _STEP)
-    step = mix(h + _PAIR) | U(1)
-    for _ in range(PROBES):
-        yield (h % U(m)).astype(np.int64)
-        h = h + step
+def _places(h: np.ndarray, words) -> tuple[np.ndarray, list[np.ndarray]]:
+    """From a hash: a word of a segment of ``words`` words, and the bits in it."""
+    at = ((h >> U(32)) * words >> U(32)).astype(np.int64)
+    return at, [h >> U(6 * k) & U(63) for k in range(WORD_BITS)]
 
 
 def build_segment(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -82,24 +80,30 @@ def build_segment(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     words = max(1, -(-total * BITS // 64))
     bits = np.zeros(words * 64, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
-        for at in _places(grams[level >= q], q, words * 64):
-            bits[at] = 1
+        h = mix(grams[level >= q] + np.array([q], U) * _STEP)
+        for _ in range(WORDS):
+            at, inside = _places(h, U(words))
+            for bit in inside:
+                bits[at * 64 + bit.astype(np.int64)] = 1
+            h = mix(h + _PAIR)
     return np.packbits(bits, bitorder="little").view(U)
 
 
 def probe_segment(table: np.ndarray, begin: np.ndarray, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Levels read for n-grams whose segment starts at word ``begin`` and has ``words`` words."""
     level, alive, q = np.zeros(len(grams), np.int64), np.arange(len(grams)), 1
+    words = words.astype(U)
     while len(alive):
         h = mix(grams[alive] + np.array([q], U) * _STEP)
-        step = mix(h + _PAIR) | U(1)
-        size = words[alive].astype(U) * U(64)
-        for _ in range(PROBES):
-            at = h % size
-            on = (table[begin[alive] + (at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
-            alive, h, step, size = alive[on], (h + step)[on], step[on], size[on]
-            if not len(alive):
-                break
+        for k in range(WORDS):
+            if k:
+                h = mix(h + _PAIR)
+            at, inside = _places(h, words[alive])
+            mask = U(1) << inside[0]
+            for bit in inside[1:]:
+                mask |= U(1) << bit
+            on = np.flatnonzero(table[begin[alive] + at] & mask == mask)
+            alive, h = alive[on], h[on]
         level[alive] = q
         q += 1
     return level
@@ -214,20 +218,23 @@ def train(docs: DataFrame, segments: int | None = None) -> Model:
 
 # --- scoring -----------------------------------------------------------------------------------------------------
 
-def text_scores(toks, first, level_of_gram, n: int, v: int, weight: float) -> np.ndarray:
+def text_scores(toks, first, level_of_gram, n: int, v: int, weight: float, distinct=None) -> np.ndarray:
     """log10 probability of each text: weight * c(hw)/c(h) + (1 - weight) * (c(w)+1)/(n+v+1)."""
-    left = histories(toks, first)
-    grams, inverse = np.unique(np.concatenate([toks, left, bigram(left, toks)]), return_inverse=True)
-    c = count_of(level_of_gram(grams))[inverse].reshape(3, -1)
-    unigram = (c[0] + 1) / (n + v + 1)
-    seen = np.minimum(c[2], c[1])
-    p = np.where(c[1] > 0, weight * seen / np.maximum(c[1], 1) + (1 - weight) * unigram, unigram)
+    value, inverse = distinct or np.unique(toks, return_inverse=True)
+    c = count_of(level_of_gram(np.append(value, BEGIN)))
+    own, before = c[inverse], np.empty(len(toks))
+    before[1:] = own[:-1]
+    before[first[:-1]] = c[-1]  # nothing but a begin stands before a text
+    pair, at = np.unique(bigram(histories(toks, first), toks), return_inverse=True)
+    seen = np.minimum(count_of(level_of_gram(pair))[at], before)
+    unigram = (own + 1) / (n + v + 1)
+    p = np.where(before > 0, weight * seen / np.maximum(before, 1) + (1 - weight) * unigram, unigram)
     return np.add.reduceat(np.log10(p), first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-def base_scores(toks, first, gram, number, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+def base_scores(toks, first, gram, number, n: int, v: int, distinct=None) -> tuple[np.ndarray, np.ndarray]:
     """(n_known, base_score) of each text from sorted tokens and their counts."""
-    value, inverse = np.unique(toks, return_inverse=True)
+    value, inverse = distinct or np.unique(toks, return_inverse=True)
     c = np.zeros(len(value))
     if len(gram):
         at = np.minimum(np.searchsorted(gram, value), len(gram) - 1)
@@ -242,14 +249,15 @@ def _score_batches(columns, counts, segs, n, v, weight):
         for batch in batches:
             for part in blocks(batch):
                 toks, first = tokens(part)
+                distinct = np.unique(toks, return_inverse=True)
                 arrays = [part.column(c) for c in columns]
                 names = [*columns, "n_tokens"]
                 arrays.append(pa.array(np.diff(first), pa.int64()))
                 if counts is not None:
-                    arrays += map(pa.array, base_scores(toks, first, *counts.value, n, v))
+                    arrays += map(pa.array, base_scores(toks, first, *counts.value, n, v, distinct))
                     names += ["n_known", "base_score"]
                 if segs is not None:
-                    arrays.append(pa.array(text_scores(toks, first, segs.value.levels, n, v, weight)))
+                    arrays.append(pa.array(text_scores(toks, first, segs.value.levels, n, v, weight, distinct)))
                     names.append("score")
                 yield pa.RecordBatch.from_arrays(arrays, names)
     return run
