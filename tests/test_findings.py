@@ -114,3 +114,11 @@ def test_small_batches_do_not_shuffle_the_table(spark, tmp_path):
     for frame in (added, ok, new):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert path not in plan or "SortMergeJoin" not in plan
+
+
+def test_a_batch_of_few_but_large_rows_is_not_broadcast(spark, monkeypatch):
+    rows = spark.range(10).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    hinted = lambda: "ResolvedHint" in M._resolved(rows, "sized")._jdf.queryExecution().analyzed().toString()
+    assert hinted()
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 100)
+    assert not hinted()

@@ -53,14 +53,15 @@ def _first_per_key(df: DataFrame, keys: Sequence[str], order: str = "seq",
     return won, losers.unionByName(missing.select(*cols, "reason"))
 
 
-#: A resolved batch of up to so many rows is broadcast, so the table it changes is not shuffled.
-BROADCAST_ROWS = 500_000
+#: A resolved batch of up to so many rows and bytes of files is broadcast, so the table it changes is not shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def _resolved(batch: DataFrame, name: str) -> DataFrame:
-    """A batch worked out once and stored; broadcast when its counted rows are few, else joined by a shuffle."""
+    """A batch worked out once and stored; broadcast when its counted rows and its files are small, else joined by a shuffle."""
     once = stored(batch, name)
-    return F.broadcast(once) if once.count() <= BROADCAST_ROWS else once
+    size = int(str(once._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(once) if size <= BROADCAST_BYTES and once.count() <= BROADCAST_ROWS else once
 
 
 # --------------------------------------------------------------------------
