@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import brute
@@ -280,6 +281,41 @@ def test_proximity(spark):
     assert decontaminate.proximity_matches(index, planned, 0).count() <= decontaminate.proximity_matches(index, planned, 2).count()
 
 
+def test_near_items_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 6, 7])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def near(text, item, window, slop):
+        words, terms = text.split(), item.split()
+        width = min(window, len(terms))
+        for s in range(len(terms) - width + 1):
+            for a in range(len(words)):
+                span = iter(words[a:a + width + slop])
+                if words[a] == terms[s] and all(t in span for t in terms[s:s + width]):
+                    return True
+        return False
+    for slop in (1, 3):
+        got = decontaminate.decontaminate(docs, bench, window=5, slop=slop).collect()
+        assert bag((r.doc_id, tuple(r.near_items)) for r in got) == \
+            bag((i, tuple(sorted(str(k) for k, item in items if near(t, item, 5, slop)))) for i, t in enumerate(texts))
+        assert all(set(r["items"]) <= set(r.near_items) for r in got)
+
+
+def test_repeats_of_one_word_and_parts_of_items(spark, monkeypatch):
+    """Long runs of a word or of a pair of words in text and item: the work follows the lengths, not their product."""
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 300)
+    texts = ["na " * 20000, "a b " * 8000, "c " + "b a " * 5 + "c", None, "x " + "na " * 9 + "y"]
+    items = [(1, "na " * 1000), (2, "a b " * 400), (3, "b"), (4, "na " * 9 + "y")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), slop=2).collect()}
+    assert [got[i].n_hit for i in range(5)] == [20000, 16000, 10, 0, 10]
+    assert [got[i]["items"] for i in range(5)] == [["1"], ["2", "3"], ["2", "3"], [], ["4"]]
+    assert got[0].near_items == ["1"] and got[1].near_items == ["2", "3"]
+
+
 def test_empty_tables(none, spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert lm_score.score_held_out(none).count() == 0
