@@ -130,17 +130,32 @@ def proximity_matches(index: DataFrame, planned: DataFrame, slop: int) -> DataFr
     A text's lists for an item come together as they are stored, so the work follows the text's length, however
     often a term is repeated in the text and in the item.
     """
-    wanted = planned.select("item", F.explode(F.array_distinct(F.flatten("patterns")["term"])).alias("term"))
-    lists = index.join(wanted, "term").groupBy("text_key", "item").agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
+    terms_of = F.transform("patterns", lambda p: F.array_distinct(p["term"]))
+    wanted = planned.select("item", F.array_min(F.transform(terms_of, F.size)).alias("least"), F.explode(F.array_distinct(F.flatten(terms_of))).alias("term"))
+    lists = index.join(wanted, "term").groupBy("text_key", "item").agg(
+        F.collect_list(F.struct("term", "positions")).alias("lists"), F.first("least").alias("least"))
+    # patterns with a term that the text lacks leave before positions are looked at
+    whole = F.filter("patterns", lambda p: F.forall(p, lambda x: F.array_contains(F.col("lists.term"), x["term"])))
+    met = lists.where(F.size("lists") >= F.col("least")).join(planned, "item").select("text_key", "item", "lists", whole.alias("patterns")).where("size(patterns) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, first, values = _parts(batch.column("lists"), "term", "positions")
             keep = []
-            for lists, patterns in zip(batch.column("lists"), batch.column("patterns"), strict=True):
-                places = {x["term"].as_py(): np.asarray(x["positions"].values).astype(np.int64) for x in lists}
-                keep.append(any(_meet(places, p, slop) for p in patterns.as_py()))
+            for i, patterns in enumerate(batch.column("patterns").to_pylist()):
+                places = {int(names[k]): values[k] for k in range(first[i], first[i + 1])}
+                keep.append(any(_meet(places, p, slop) for p in patterns))
             yield batch.select(["text_key", "item"]).filter(pa.array(keep, pa.bool_()))
-    return text_batches(lists).join(planned, "item").select("text_key", "item", "lists", "patterns").mapInArrow(run, "text_key binary, item long")
+    return text_batches(met).mapInArrow(run, "text_key binary, item long")
+
+
+def _parts(column: pa.ListArray, name: str, values: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A column of lists of (number, numbers): the numbers, where each row's begin, and the lists behind them."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    inside = column.values
+    lists = inside.field(name), inside.field(values)
+    at, flat = np.asarray(lists[1].offsets).astype(np.int64), np.asarray(lists[1].values).astype(np.int64)
+    return np.asarray(lists[0]), offsets, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _names(words: np.ndarray, width: int) -> np.ndarray:
