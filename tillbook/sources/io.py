@@ -344,6 +344,18 @@ def discover_years(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return (df.select(*by, "year").unionByName(cur).distinct().orderBy(*by, "year"))
 
 
+def listed_months(spark: SparkSession, root: str) -> DataFrame:
+    """``(year, month)`` of the partition folders of a ledger under ``root``; no file is opened.
+
+    A month whose rows have all gone has no folder (``replace_months``), and there are as many folders as months of
+    history, whatever the rows; rows without a year or month are in no month.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/year=*/month=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [[p.split("=", 1)[1] for p in s.getPath().toString().split("/")[-2:]] for s in found]
+    return spark.createDataFrame([(int(y), int(m)) for y, m in names if y.isdigit() and m.isdigit()], "year int, month int")
+
+
 # ---- S8, S9: JSON configuration ------------------------------------------------------
 
 def read_mappings_json(spark: SparkSession, path: str) -> DataFrame:
