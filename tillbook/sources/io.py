@@ -28,6 +28,7 @@ from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, LEDGER_FILE_SU
 from tillbook.operators.summaries import to_long
 from tillbook.schemas import KNOWN_CATEGORIES_JSON, LEDGER, MAPPINGS_JSON, RECURRING
 from tillbook.session import stored
+from tillbook.sources.footers import FooterIndex, footers
 
 LEDGER_PARTITIONED = T.StructType(LEDGER.fields + [
     T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
@@ -146,34 +147,35 @@ def upgrade_ledger(df: DataFrame) -> DataFrame:
     return df
 
 
-def _generations(spark: SparkSession, pattern: str) -> list[tuple[T.StructType, list[str]]]:
+def _driver_footer(spark: SparkSession, file: str) -> list[str]:
+    """The stored columns of one file, for a store that only Spark's own file system reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+        jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+    try:
+        return [reader.getFooter().getFileMetaData().getSchema().toString()]
+    finally:
+        reader.close()
+
+
+def _generations(spark: SparkSession, pattern: str, index: FooterIndex | None = None) -> list[tuple[T.StructType, list[str]]]:
     """The files of a path pattern grouped by their stored schema.
 
-    A legacy root holds a few files per year, written by several generations of the application.  Only
-    file names and footers are looked at here (of a table that is a folder, every part file's: parts
-    of a newer version may stand beside old ones); each generation is then one scan.
+    A legacy root is written by several generations of the application.  Footers (of a table that is a folder, every
+    part file's: parts of a newer version may stand beside old ones) are read in tasks, and only of files that ``index``
+    does not remember; each generation is then one scan.  Names of files come to the driver, which lists them for a scan anyway.
     """
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    fs_path = hadoop.Path(pattern)
-    fs = fs_path.getFileSystem(conf)
-    groups: dict[str, list[str]] = {}
-    for status in fs.globStatus(fs_path) or []:
-        parts = [status] if not status.isDirectory() else \
-            [p for p in fs.listStatus(status.getPath()) if p.getPath().getName().endswith(".parquet") and p.getPath().getName()[0] not in "._"]
-        for part in parts:
-            source = spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(part.getPath(), conf)
-            reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
-            stored_as = reader.getFooter().getFileMetaData().getSchema().toString()
-            reader.close()
-            groups.setdefault(stored_as, []).append(part.getPath().toString())
-    return [(spark.read.parquet(paths[0]).schema, paths) for paths in groups.values()]
-
-
-def _scan_generations(spark: SparkSession, pattern: str, read_one) -> list[DataFrame]:
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in footers(spark, pattern, index).select("file", "columns").toLocalIterator():
+        groups.setdefault(tuple(_driver_footer(spark, r.file) if r.columns is None else r.columns), []).append(r.file)
+    return [(spark.read.parquet(min(paths)).schema, sorted(paths)) for _, paths in sorted(groups.items())]
+
+
+def _scan_generations(spark: SparkSession, pattern: str, read_one, index: FooterIndex | None = None) -> list[DataFrame]:
     """``read_one`` applied to one scan per file generation, with the files' paths and row numbers as
     ``_file`` and ``_row``."""
     out = []
-    for schema, paths in _generations(spark, pattern):
+    for schema, paths in _generations(spark, pattern, index):
         raw = spark.read.schema(schema).parquet(*paths)
         out.append(read_one(raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))))
     return out
@@ -185,14 +187,14 @@ def _union(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
     return empty
 
 
-def scan_legacy_ledger(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def scan_legacy_ledger(spark: SparkSession, root: str, index: FooterIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """S2 + S4 + S5 + W1: every ``<root>/<year>/MM_detailed_expenses.parquet``.
 
     Returns (ledger, rejects).  Ledger rows get ``year``, ``month`` from
     the path and a dense ``expense_id`` (0, 1, ... by month, file and the row's place in the file; see ``first_ids``),
     so ids exist before any filter.  Rows of unparsable paths are rejected
     with the path and a reason.  Files of several generations may be mixed: each generation is one scan,
-    upgraded on its own; columns that it lacks are null.
+    upgraded on its own; columns that it lacks are null.  ``index`` remembers footers between scans.
     """
     schema = T.StructType([*LEDGER_PARTITIONED.fields, T.StructField("expense_id", T.LongType())])
     reject_ddl = "file_path string, reason string, rows long"
@@ -208,7 +210,7 @@ def scan_legacy_ledger(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
         rejects.append(tagged.where(F.col("reason").isNotNull())
                        .groupBy(F.col("_file").alias("file_path"), "reason").agg(F.count("*").alias("rows")))
 
-    _scan_generations(spark, os.path.join(root, "*", "*" + LEDGER_FILE_SUFFIX), one)
+    _scan_generations(spark, os.path.join(root, "*", "*" + LEDGER_FILE_SUFFIX), one, index)
     bad = _union(rejects, spark.createDataFrame([], reject_ddl))
     if not good:
         return spark.createDataFrame([], schema), bad
@@ -271,12 +273,13 @@ def write_year_tables(wide: DataFrame, root: str, filename: str) -> list[str]:
     return _write_layout(wide, root, ["year"], lambda y: f"{int(y)}/{filename}")
 
 
-def _year_frames(spark: SparkSession, root: str, filename: str, shape) -> list[DataFrame]:
+def _year_frames(spark: SparkSession, root: str, filename: str, shape, index: FooterIndex | None = None) -> list[DataFrame]:
     year = F.regexp_extract(F.col("_file"), YEAR_TABLE_RE, 1).try_cast("int")
-    return _scan_generations(spark, os.path.join(root, "*", filename), lambda df: shape(df.withColumn("year", year)))
+    return _scan_generations(spark, os.path.join(root, "*", filename), lambda df: shape(df.withColumn("year", year)), index)
 
 
-def read_year_table(spark: SparkSession, root: str, filename: str, ids: Sequence[str], value: str) -> DataFrame:
+def read_year_table(spark: SparkSession, root: str, filename: str, ids: Sequence[str], value: str,
+                    index: FooterIndex | None = None) -> DataFrame:
     """S3 + S4 + R2: a yearly wide table from every ``<root>/<year>/<filename>``,
     upgraded and turned long: ``(ids..., year, month, value)``.
 
@@ -295,7 +298,7 @@ def read_year_table(spark: SparkSession, root: str, filename: str, ids: Sequence
     empty = spark.createDataFrame([], T.StructType(
         [T.StructField(c, T.StringType()) for c in ids] + [T.StructField("year", T.IntegerType()),
          T.StructField("month", T.IntegerType()), T.StructField(value, T.DoubleType())]))
-    return _union(_year_frames(spark, root, filename, shape), empty)
+    return _union(_year_frames(spark, root, filename, shape, index), empty)
 
 
 def read_summary_table(spark: SparkSession, root: str, filename: str, kind: str) -> DataFrame:
