@@ -7,8 +7,8 @@ tables, the axes nearest to it, and everything in those buckets is ranked exactl
 Vectors are hashed by their directions, so what is found does not depend on the spread of their lengths:
 no long vector moves the others to other buckets.  Lengths count again in the exact scores.
 
-Bands of like lengths with few vectors (small tables, the longest vectors) are not hashed: queries meet
-all of them.  A query with fewer results than asked for meets all vectors of its dimension.
+Bands of like lengths with no more vectors than a table has axes (the longest vectors, tiny tables) leave buckets of
+one vector or none, so queries probe them to the end.  A query with fewer results than asked for meets all vectors of its dimension.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ PROBES = 40
 #: Axes joined into one bucket name; more of them make smaller buckets for larger tables.
 AXES = 1
 BLOCK_ROWS = 4096
+#: A band of as many vectors, one for each signed axis of 128 dimensions, is probed to its end; larger ones are hashed.
+SPARSE_BAND = 256
 #: Ratio of the largest to the smallest length in a band.
 BAND = 1.25
 
@@ -183,9 +185,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
     kinds = stored(kinds, "vector-kinds")
     bands = stored(kinds.groupBy("dim", "band").agg(F.count("*").alias("n")), "vector-bands")
     n_bands = bands.count()
-    few = small(bands.where(F.col("n") <= BLOCK_ROWS).select("dim", "band"), n_bands, 12)
-    many = small(bands.where(F.col("n") > BLOCK_ROWS).select("dim", "band"), n_bands, 12)
-    hashed_dims = small(bands.where(F.col("n") > BLOCK_ROWS).select("dim").distinct(), n_bands, 8)
+    dense = F.col("n") > min(SPARSE_BAND, BLOCK_ROWS)
+    few = small(bands.where(~dense).select("dim", "band"), n_bands, 12)
+    many = small(bands.where(dense).select("dim", "band"), n_bands, 12)
+    hashed_dims = small(bands.where(dense).select("dim").distinct(), n_bands, 8)
     queries = rows.where(is_query).select("vec_id", F.col("k1").alias("q1"), F.col("k2").alias("q2"), "dim", "vector")
     asked = queries.groupBy("q1", "q2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"))
 
@@ -209,7 +212,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, pro
 
     columns = ["query_id", "rank", "vec_id", "score"]
     first = results(_met(probed, held, k + 1))
-    if not bands.where(F.col("n") > BLOCK_ROWS).count():
+    if not bands.where(dense).count():
         return first.select(*columns)
     first = stored(first, "first-results")
     # queries of hashed dimensions that got fewer than k go on to all vectors of their dimension
