@@ -11,7 +11,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillbook.session import stored
@@ -21,20 +21,30 @@ FILE = ["file", "length", "modified"]
 FOOTERS = "file string, length long, modified timestamp, columns array<string>, rows long"
 
 
-def listed_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """``(file, length, modified)`` of the Parquet files that a path pattern names, or that lie in folders it names.
-
-    Listed by Spark (in a job of its own when folders are many); hidden files do not count and a pattern that
-    matches nothing has no files.  The files' contents are not read.
-    """
+def _listed(spark: SparkSession, pattern: str, columns: list[Column], schema: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     try:
         found = reader.load(pattern)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], "file string, length long, modified timestamp")
+            return spark.createDataFrame([], schema)
         raise
-    return found.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+    return found.select(*columns)
+
+
+def listed_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(file, length, modified)`` of the Parquet files that a path pattern names, or that lie in folders it names.
+
+    Listed by Spark (in a job of its own when folders are many); hidden files do not count and a pattern that
+    matches nothing has no files.  The files' contents are not read.
+    """
+    columns = [F.col("path").alias("file"), F.col("length"), F.col("modificationTime").alias("modified")]
+    return _listed(spark, pattern, columns, "file string, length long, modified timestamp")
+
+
+def scan_names(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(file, _file)`` of the same files: their names as listed and as a scan's ``_metadata.file_path`` has them (URL-encoded)."""
+    return _listed(spark, pattern, [F.col("path").alias("file"), F.col("_metadata.file_path").alias("_file")], "file string, _file string")
 
 
 def _file_system(path: str):

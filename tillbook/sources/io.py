@@ -28,7 +28,7 @@ from tillbook.domains import DEFAULT_CURRENCY, INCOME_CATEGORIES, LEDGER_FILE_SU
 from tillbook.operators.summaries import to_long
 from tillbook.schemas import KNOWN_CATEGORIES_JSON, LEDGER, MAPPINGS_JSON, RECURRING
 from tillbook.session import stored
-from tillbook.sources.footers import FooterIndex, footers
+from tillbook.sources.footers import FooterIndex, footers, scan_names
 
 LEDGER_PARTITIONED = T.StructType(LEDGER.fields + [
     T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
@@ -147,38 +147,47 @@ def upgrade_ledger(df: DataFrame) -> DataFrame:
     return df
 
 
-def _driver_footer(spark: SparkSession, file: str) -> list[str]:
-    """The stored columns of one file, for a store that only Spark's own file system reads."""
+def _driver_footer(spark: SparkSession, file: str) -> tuple[list[str], int]:
+    """The stored columns and the rows of one file, for a store that only Spark's own file system reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
         jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
     try:
-        return [reader.getFooter().getFileMetaData().getSchema().toString()]
+        return [reader.getFooter().getFileMetaData().getSchema().toString()], int(reader.getRecordCount())
     finally:
         reader.close()
 
 
-def _generations(spark: SparkSession, pattern: str, index: FooterIndex | None = None) -> list[tuple[T.StructType, list[str]]]:
-    """The files of a path pattern grouped by their stored schema.
+def _all_footers(spark: SparkSession, pattern: str, index: FooterIndex | None = None) -> DataFrame:
+    """``(file, columns, rows)`` of the files of a path pattern; the driver reads the footers that Python in a task cannot open."""
+    found = footers(spark, pattern, index).select("file", "columns", "rows")
+    told = [(r.file, *_driver_footer(spark, r.file)) for r in found.where("columns IS NULL").select("file").toLocalIterator()]
+    return found.where("columns IS NOT NULL").unionByName(spark.createDataFrame(told, found.schema)) if told else found
+
+
+def _by_generation(spark: SparkSession, files: DataFrame) -> list[tuple[T.StructType, list[str]]]:
+    """``(file, columns, ...)`` grouped by the stored schema.
 
     A legacy root is written by several generations of the application.  Footers (of a table that is a folder, every
-    part file's: parts of a newer version may stand beside old ones) are read in tasks, and only of files that ``index``
+    part file's: parts of a newer version may stand beside old ones) are read in tasks, and only of files that an index
     does not remember; each generation is then one scan.  Names of files come to the driver, which lists them for a scan anyway.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
-    for r in footers(spark, pattern, index).select("file", "columns").toLocalIterator():
-        groups.setdefault(tuple(_driver_footer(spark, r.file) if r.columns is None else r.columns), []).append(r.file)
+    for r in files.select("file", "columns").toLocalIterator():
+        groups.setdefault(tuple(r.columns), []).append(r.file)
     return [(spark.read.parquet(min(paths)).schema, sorted(paths)) for _, paths in sorted(groups.items())]
 
 
-def _scan_generations(spark: SparkSession, pattern: str, read_one, index: FooterIndex | None = None) -> list[DataFrame]:
-    """``read_one`` applied to one scan per file generation, with the files' paths and row numbers as
-    ``_file`` and ``_row``."""
-    out = []
-    for schema, paths in _generations(spark, pattern, index):
-        raw = spark.read.schema(schema).parquet(*paths)
-        out.append(read_one(raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))))
-    return out
+def _generations(spark: SparkSession, pattern: str, index: FooterIndex | None = None) -> list[tuple[T.StructType, list[str]]]:
+    """The files of a path pattern grouped by their stored schema."""
+    return _by_generation(spark, _all_footers(spark, pattern, index))
+
+
+def _scans(spark: SparkSession, generations: list[tuple[T.StructType, list[str]]]) -> list[DataFrame]:
+    """One scan per file generation, with the files' paths and row numbers as ``_file`` and ``_row``."""
+    return [spark.read.schema(schema).parquet(*paths)
+            .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            for schema, paths in generations]
 
 
 def _union(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
@@ -195,43 +204,37 @@ def scan_legacy_ledger(spark: SparkSession, root: str, index: FooterIndex | None
     so ids exist before any filter.  Rows of unparsable paths are rejected
     with the path and a reason.  Files of several generations may be mixed: each generation is one scan,
     upgraded on its own; columns that it lacks are null.  ``index`` remembers footers between scans.
+
+    What a path says is worked out once per file, and rows are counted by footers; each row then takes its file's year, month and
+    first id by a broadcast join (the table of files is as long as the list that the driver holds for a scan), so no path is parsed per row.
     """
     schema = T.StructType([*LEDGER_PARTITIONED.fields, T.StructField("expense_id", T.LongType())])
-    reject_ddl = "file_path string, reason string, rows long"
-    good, rejects, sizes = [], [], []
-
-    def one(df: DataFrame) -> None:
-        y, m, reason = parse_legacy_path("_file")
-        tagged = df.withColumn("year", y).withColumn("month", m).withColumn("reason", reason)
-        ok = upgrade_ledger(tagged.where(F.col("reason").isNull()))
-        sizes.append(tagged.where(F.col("reason").isNull()).groupBy("year", "month", "_file").agg(F.count("*").alias("rows")))
-        good.append(ok.select(*[(F.col(f.name) if f.name in ok.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                                for f in schema.fields if f.name != "expense_id"], "_file", "_row"))
-        rejects.append(tagged.where(F.col("reason").isNotNull())
-                       .groupBy(F.col("_file").alias("file_path"), "reason").agg(F.count("*").alias("rows")))
-
-    _scan_generations(spark, os.path.join(root, "*", "*" + LEDGER_FILE_SUFFIX), one, index)
-    bad = _union(rejects, spark.createDataFrame([], reject_ddl))
+    pattern = os.path.join(root, "*", "*" + LEDGER_FILE_SUFFIX)
+    y, m, reason = parse_legacy_path("_file")
+    files = stored(_all_footers(spark, pattern, index).join(scan_names(spark, pattern), "file")
+                   .select("*", y.alias("year"), m.alias("month"), reason.alias("reason")), "layout-files")
+    bad = files.where("reason IS NOT NULL AND rows > 0").select(F.col("_file").alias("file_path"), "reason", "rows")
+    placed = files.where("reason IS NULL")
+    good = [df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LEDGER.fields], "_file", "_row")
+            for df in map(upgrade_ledger, _scans(spark, _by_generation(spark, placed)))]
     if not good:
         return spark.createDataFrame([], schema), bad
-    rows = _union(good[1:], good[0])
-    numbered = rows.join(first_ids(_union(sizes[1:], sizes[0])), "_file").withColumn("expense_id", F.col("first_id") + F.col("_row"))
+    numbered = _union(good[1:], good[0]).join(F.broadcast(first_ids(placed)), "_file").withColumn("expense_id", F.col("first_id") + F.col("_row"))
     return numbered.select(*schema.fieldNames()), bad
 
 
 def first_ids(sizes: DataFrame) -> DataFrame:
-    """``(_file, first_id)`` from ``(year, month, _file, rows)``: how many rows lie in earlier months and in earlier files of the month.
+    """``(year, month, _file, first_id)`` from ``(year, month, _file, rows)``: how many rows lie in earlier months and in earlier files of the month.
 
-    Row counts of whole files come from their footers, in the scan's own tasks; no column is read.  The prefix sums run over
+    Row counts of whole files come from their footers; no column is read.  The prefix sums run over
     the files of a month, and over the months (as many as the ledger has months of history).
     """
-    sizes = stored(sizes, "file-rows")
     months = sizes.groupBy("year", "month").agg(F.sum("rows").alias("rows"))
     earlier = Window.orderBy("year", "month").rowsBetween(Window.unboundedPreceding, -1)
     before = months.select("year", "month", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     files = Window.partitionBy("year", "month").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     within = sizes.select("year", "month", "_file", F.coalesce(F.sum("rows").over(files), F.lit(0)).alias("within"))
-    return within.join(before, ["year", "month"]).select("_file", (F.col("before") + F.col("within")).alias("first_id"))
+    return within.join(before, ["year", "month"]).select("year", "month", "_file", (F.col("before") + F.col("within")).alias("first_id"))
 
 
 def _write_layout(df: DataFrame, root: str, keys: list[str], folder_of) -> list[str]:
@@ -274,8 +277,14 @@ def write_year_tables(wide: DataFrame, root: str, filename: str) -> list[str]:
 
 
 def _year_frames(spark: SparkSession, root: str, filename: str, shape, index: FooterIndex | None = None) -> list[DataFrame]:
+    """``shape`` applied to one scan per file generation, whose rows take the year of their file."""
+    pattern = os.path.join(root, "*", filename)
+    scans = _scans(spark, _generations(spark, pattern, index))
+    if not scans:
+        return []
     year = F.regexp_extract(F.col("_file"), YEAR_TABLE_RE, 1).try_cast("int")
-    return _scan_generations(spark, os.path.join(root, "*", filename), lambda df: shape(df.withColumn("year", year)), index)
+    years = F.broadcast(stored(scan_names(spark, pattern).select("_file", year.alias("year")), "file-years"))
+    return [shape(df.drop("year").join(years, "_file", "left")) for df in scans]
 
 
 def read_year_table(spark: SparkSession, root: str, filename: str, ids: Sequence[str], value: str,
