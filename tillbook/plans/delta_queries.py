@@ -14,6 +14,7 @@ from tillbook.operators import networth as N
 from tillbook.operators import summaries as S
 from tillbook.plans import sql_parts as Q
 from tillbook.plans.change_queries import EVENT_BATCH_SQL, MAPPINGS_SQL, enrich_sql, event_batch
+from tillbook.plans.io_queries import in_parts
 from tillbook.plans.registry import register
 from tillbook.plans.view_queries import VIEW_COLS
 from tillbook.session import scratch_dir, stored
@@ -286,7 +287,7 @@ SELECT count(*) AS n_rows, count(*) AS n_ids, CAST(0 AS BIGINT) AS first_id, cou
 def dense_ids(spark, sf_dir):
     """The ids of a ledger in the application's layout count from 0 over all its part files, month after month."""
     root = scratch_dir(spark, "dense-ids")
-    IO.write_legacy_layout(A.ledger(A.Tables(spark, sf_dir)).repartition(5, "expense_name"), root)
+    IO.write_legacy_layout(in_parts(A.ledger(A.Tables(spark, sf_dir))), root)
     led, _ = IO.scan_legacy_ledger(spark, root)
     months = led.groupBy("year", "month").agg(F.min("expense_id").alias("low"), F.max("expense_id").alias("high"), F.count("*").alias("n"), F.countDistinct("expense_id").alias("ids"))
     gaps = F.count(F.when(F.col("high") - F.col("low") + 1 != F.col("n"), 1))

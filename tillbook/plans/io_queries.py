@@ -36,12 +36,18 @@ def legacy_layout_scan(spark, sf_dir):
     return ok.drop("expense_id")
 
 
+def in_parts(ledger, parts=5):
+    """Dealt so that a month is written as several part files (``parts`` groups of names), by as many tasks as a shuffle has."""
+    tasks = max(parts, int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return ledger.repartition(tasks, "year", "month", F.pmod(F.xxhash64("expense_name"), F.lit(parts)))
+
+
 @register("legacy_ids", f"""
 WITH {Q.LEDGER} SELECT year, month, count(*) AS n_rows, count(*) AS n_ids FROM ledger GROUP BY year, month""")
 def legacy_ids(spark, sf_dir):
     """Ids are distinct although a month is stored as several part files."""
     root = scratch_dir(spark, "legacy-ids")
-    IO.write_legacy_layout(A.ledger(A.Tables(spark, sf_dir)).repartition(5, "expense_name"), root)
+    IO.write_legacy_layout(in_parts(A.ledger(A.Tables(spark, sf_dir))), root)
     ok, _ = IO.scan_legacy_ledger(spark, root)
     return ok.groupBy("year", "month").agg(F.count("*").alias("n_rows"), F.countDistinct("expense_id").alias("n_ids"))
 
