@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tillbook.domains import INCOME_CATEGORIES, KINDS
 from tillbook.operators.cashflow import cashflow_statement
-from tillbook.operators.summaries import _cells, summaries_from_stacked
+from tillbook.operators.summaries import _stack_kinds, summaries_from_stacked
 from tillbook.session import stored
 from tillbook.sources.io import LEDGER_PARTITIONED, month_filter, read_ledger, write_partitioned
 
@@ -26,7 +26,8 @@ from tillbook.sources.io import LEDGER_PARTITIONED, month_filter, read_ledger, w
 def summary_cells(ledger: DataFrame, kinds: Sequence[str] = KINDS, by: Sequence[str] = ()) -> DataFrame:
     """Sparse cells ``(by..., kind, category, year, month, amt)``; null and
     ``Total`` categories are kept as cells (they mark recorded months)."""
-    return (_cells(ledger, kinds, by)
+    # stacked first: one shuffle, as many ledgers' category combinations are nearly as many as their rows
+    return (_stack_kinds(ledger, kinds, by)
             .groupBy(*by, "kind", "category", "year", "month").agg(F.sum("amt").alias("amt")))
 
 
