@@ -424,12 +424,14 @@ def apply_recurring(ledger: DataFrame, templates: DataFrame, targets: DataFrame,
     """
     if not by:
         raise ValueError("apply_recurring needs `by`; use apply_recurring_month for one ledger")
-    tgt = (targets.groupBy(*by).agg(F.max(F.struct("year", "month")).alias("_t"))
-           .select(*by, "_t.year", "_t.month"))
-    cand = _first_templates(templates, by).join(tgt, list(by))
+    tgt = _resolved(targets.groupBy(*by).agg(F.max(F.struct("year", "month")).alias("_t"))
+                    .select(*by, "_t.year", "_t.month"), "targets")
+    # Templates are wide rows, often widened by a join in the tasks that make them; dealt anew, a task of the
+    # aggregation holds as many of them as a shuffle deals it (by template, so a hot name and day is still combined first).
+    cand = _first_templates(templates.repartition(*by, "expense_name", "expense_day", "template_id"), by).join(tgt, list(by))
     # Only the target months matter; distinct() then combines map-side, so a hot (name, day) shrinks
     # to one row before the anti join's shuffle.
-    present = ledger.join(_resolved(tgt, "targets"), [*by, "year", "month"], "left_semi").select(*by, "year", "month", "expense_name",
+    present = ledger.join(tgt, [*by, "year", "month"], "left_semi").select(*by, "year", "month", "expense_name",
                             F.dayofmonth("expense_date").cast("long").alias("expense_day")).distinct()
     new = cand.join(present, [*by, "year", "month", "expense_name", "expense_day"], "left_anti")
     return _template_rows(new, by)
