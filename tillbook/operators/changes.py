@@ -46,9 +46,9 @@ def _first_per_key(df: DataFrame, keys: Sequence[str], order: str = "seq",
     cols = list(df.columns)
     named = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(f"missing {k}")) for k in keys], F.lit(None).cast("string"))
     ok, missing = _split(df, named)
-    pick = F.max_by if last else F.min_by
+    pick = F.max if last else F.min
     row = F.struct(*[F.col(c) for c in cols])
-    won = ok.groupBy(*keys).agg(pick(row, F.struct(F.col(order), row)).alias("_w")).select("_w.*").select(*cols)
+    won = ok.groupBy(*keys).agg(pick(F.struct(F.col(order).alias("_order"), row.alias("_row"))).alias("_w")).select("_w._row.*").select(*cols)
     losers = ok.select(*cols).exceptAll(won).withColumn("reason", F.lit("superseded in batch"))
     return won, losers.unionByName(missing.select(*cols, "reason"))
 
@@ -60,8 +60,13 @@ BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 def _resolved(batch: DataFrame, name: str) -> DataFrame:
     """A batch worked out once and stored; broadcast when its counted rows and its files are small, else joined by a shuffle."""
     once = stored(batch, name)
+    return F.broadcast(once) if _few(once) else once
+
+
+def _few(once: DataFrame) -> bool:
+    """Whether a stored batch is small by its files and its counted rows."""
     size = int(str(once._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(once) if size <= BROADCAST_BYTES and once.count() <= BROADCAST_ROWS else once
+    return size <= BROADCAST_BYTES and once.count() <= BROADCAST_ROWS
 
 
 # --------------------------------------------------------------------------
@@ -350,12 +355,17 @@ def rename_entities(table: DataFrame, renames: DataFrame, name_col: str,
     run against the table before the batch; one rename per old name and per
     new name (the first by ``seq``) is accepted.  Apply the result to every
     table of the entity (holdings and prices together) with ``apply_renames``.
+
+    Plan: the batch is worked out once and stored.  The table's names are cut to a small batch's names by a broadcast, else
+    taken whole (cutting them would shuffle the table twice); the accepted renames are stored and broadcast when few.
     """
     yk = [*by, "year"]
-    asked = renames.select(*yk, F.explode(F.array("old_name", "new_name")).alias("_n")).distinct()
-    asked = _resolved(asked, "asked-names")
-    names = _resolved(table.select(*yk, F.col(name_col).alias("_n")).join(asked, [*yk, "_n"], "left_semi").distinct(), "known-names") \
-        .withColumn("_hit", F.lit(True))
+    renames = stored(renames, "renames")
+    names = table.select(*yk, F.col(name_col).alias("_n"))
+    if _few(renames):
+        asked = renames.select(*yk, F.explode(F.array("old_name", "new_name")).alias("_n")).distinct()
+        names = names.join(F.broadcast(asked), [*yk, "_n"], "left_semi")
+    names = _resolved(names.distinct(), "known-names").withColumn("_hit", F.lit(True))
     old = names.select(*yk, F.col("_n").alias("old_name"), F.col("_hit").alias("_old_ok"))
     new = names.select(*yk, F.col("_n").alias("new_name"), F.col("_hit").alias("_new_taken"))
     r = renames.join(old, [*yk, "old_name"], "left").join(new, [*yk, "new_name"], "left").select(*renames.columns, "_old_ok", "_new_taken")
@@ -367,7 +377,7 @@ def rename_entities(table: DataFrame, renames: DataFrame, name_col: str,
     ok, bad = ok.drop("_old_ok", "_new_taken"), bad.drop("_old_ok", "_new_taken")
     first_old, sup1 = _first_per_key(ok, [*yk, "old_name"])
     first_new, sup2 = _first_per_key(first_old, [*yk, "new_name"])
-    return first_new, bad.unionByName(sup1).unionByName(sup2)
+    return _resolved(first_new, "accepted-renames"), bad.unionByName(sup1).unionByName(sup2)
 
 
 def apply_renames(table: DataFrame, accepted: DataFrame, name_col: str,
