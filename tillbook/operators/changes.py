@@ -282,14 +282,16 @@ def set_values(table: DataFrame, changes: DataFrame, name_col: str, value: str,
     latest, refused = _first_per_key(ok, cell, last=True)
     latest = _resolved(latest, "values")
     attrs = [c for c in table.columns if c not in (*cell, value)]
-    names = latest.select(*ent).distinct()
-    known = table.select(*ent, "month", *attrs).join(names, ent, "left_semi").groupBy(*ent) \
-        .agg(F.collect_set("month").alias("_months"), *[F.min(c).alias(f"_of_{c}") for c in attrs])
+    # The months as bits, and first per entity with its attributes: numbers fold by hash, where sets and texts sort every row.
+    held = F.bit_or(F.when(F.col("month").isin(MONTHS), F.expr("shiftleft(1, cast(month AS int))")).otherwise(F.lit(0)))
+    known = table.select(*ent, "month", *attrs).join(latest.select(*ent), ent, "left_semi").groupBy(*ent, *attrs).agg(held.alias("_months"))
+    if attrs:
+        known = known.groupBy(*ent).agg(F.bit_or("_months").alias("_months"), *[F.min(c).alias(f"_of_{c}") for c in attrs])
     checked = _resolved(latest.join(known, ent, "left"), "checked-values")
     accepted = checked.where("_months IS NOT NULL").select(
         *cell, "_months", *[F.col(f"_of_{c}").alias(c) for c in attrs], F.col(value).cast(table.schema[value].dataType).alias(value))
     notfound = checked.where("_months IS NULL").withColumn("reason", F.lit("not found"))
-    out = _with_cells(table, accepted, accepted.where(~F.array_contains("_months", F.col("month"))), cell, value)
+    out = _with_cells(table, accepted, accepted.where(F.getbit("_months", F.col("month").cast("int")) == 0), cell, value)
     return out, bad.unionByName(refused).unionByName(notfound.select(*changes.columns, "reason"))
 
 

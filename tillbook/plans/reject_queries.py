@@ -14,6 +14,7 @@ from tillbook.operators import summaries as S
 from tillbook.plans import sql_parts as Q
 from tillbook.plans.change_queries import KNOWN_SQL, MAPPINGS_SQL, PART_YEARS_SQL, TEMPLATES_SQL, _part_years, enrich_sql, event_batch, EVENT_BATCH_SQL
 from tillbook.plans.registry import register
+from tillbook.session import stored
 from tillbook.sources import adapters as A
 
 f1, f3, money = Q.f1, Q.f3, Q.money
@@ -165,8 +166,8 @@ def set_quantities_and_prices(spark, sf_dir):
     """M10 on holdings and prices: every July cell of a held asset's year is set (new cells take the asset's attributes)."""
     t = A.Tables(spark, sf_dir)
     holdings, prices = A.positions(t)
-    cells = _part_years(t).select(F.col("l_partkey").alias("seq"), "year", F.lit(7).alias("month"),
-                                  A.asset_name_of_part("l_partkey").alias("asset_name"), F.col("p_size").cast("double").alias("v"))
+    cells = stored(_part_years(t).select(F.col("l_partkey").alias("seq"), "year", F.lit(7).alias("month"),
+                                         A.asset_name_of_part("l_partkey").alias("asset_name"), F.col("p_size").cast("double").alias("v")), "july-cells")
     h, _ = M.set_values(holdings, cells.withColumnRenamed("v", "quantity"), "asset_name", "quantity")
     p, _ = M.set_values(prices, cells.withColumnRenamed("v", "price"), "asset_name", "price")
     return h.select("asset_name", "year", "month", "quantity").join(p, ["asset_name", "year", "month"], "left")
